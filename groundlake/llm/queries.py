@@ -29,3 +29,96 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_mixing": op1_mixing, "op8_bpe": op8_bpe}
 
 ORACLES: dict[str, str] = {}
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES["op6_line_dedup"] = op6_line_dedup
+
+ORACLES["op6_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, i, parts[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS t(i)
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM cut
+), repeated AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first_doc <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE first_doc IS NULL OR first_doc = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated USING (k) GROUP BY doc_id
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_profiles, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = fit_profiles(docs.filter(~held_out()))
+    done = identify(docs.select("doc_id", "text"), profiles)
+    return done.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gif_media import store_texts
+
+    kept = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("gif").cast("long").alias("media_bytes"),
+        F.sha2("gif", 256).alias("media_sha256"),
+        F.array_join("histogram", ",").alias("feature"),
+    )
+
+
+QUERIES |= {"op3_language_id": op3_language_id, "op2_gif_media": op2_gif_media}
+
+
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import fit, score_texts
+    from .language_id import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = held_out(folds=10)
+    model, vocabulary = fit(docs.filter(~kept))
+    return score_texts(docs, model, vocabulary).withColumn("held_out", kept)
+
+
+QUERIES["op5_brown_lm"] = op5_brown_lm
+
+
+def op7_rabitq_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rabitq_ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0)
+
+
+def op9_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .role_repair import repair
+
+    done = repair(table(spark, sf_dir, "conversations"))
+    return done.withColumn("rendered_sha256", F.sha2(F.col("rendered").cast("binary"), 256)).drop("rendered")
+
+
+QUERIES |= {"op7_rabitq_ann": op7_rabitq_ann, "op9_role_repair": op9_role_repair}
+
+ORACLES["op7_rabitq_ann"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
