@@ -122,3 +122,12 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum_join import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_hash", "set_id")
+
+
+QUERIES["op10_partenum_join"] = op10_partenum_join
