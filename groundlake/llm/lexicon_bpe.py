@@ -1,9 +1,9 @@
 """BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-The corpus' frequent pieces are compiled into one automaton that shares suffixes as
-well as prefixes; walking a piece sums path counts, which number the accepted pieces,
-and that number leads to the piece's ids. The automaton is one flat byte string, memory
-mapped by every worker. Pieces outside it are merged exactly, pair by pair.
+The corpus' frequent words are compiled into one automaton that shares suffixes as
+well as prefixes; walking a word sums path counts, which number the accepted words, and
+that number leads to the word's ids. The automaton is one flat byte string, memory
+mapped by every worker. Words outside it are merged exactly, pair by pair.
 """
 
 from __future__ import annotations
@@ -70,66 +70,82 @@ class Vocabulary:
         data = json.loads(content)
         model = data["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.pairs = {self.ids[a] << 20 | self.ids[b]: (rank, self.ids[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
-        self.letters = dict(enumerate(byte_letters()))
+        letters = byte_letters()
+        self._first = [self.ids[c] for c in letters]
+        self._last = [self.ids[c + END] for c in letters]
+        self._odd, self._space = regex.compile("[\x1c-\x1f]"), regex.compile(r"\p{White_Space}+")
         self._cut = regex.compile(piece_pattern(), regex.V1)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of one text; a special text stays whole."""
-        if self._special is None or not any(s in text for s in self.special):
-            return self._cut.findall(normal(text))
+    def words(self, text: str) -> list[str]:
+        """The runs between white space, in which all pieces and special texts lie."""
+        return self._space.split(text) if self._odd.search(text) else text.split()
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of one word, normalised; a special text stays whole."""
+        if self._special is None or not any([t in word for t in self.special]):
+            word = normal(word)
+            if word.isalpha():
+                return [word]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return [word[:-1], word[-1]]
+            return self._cut.findall(word)
         out: list[str] = []
-        for part in self._special.split(text):
+        for part in self._special.split(word):
             out += [part] if part in self.special else self._cut.findall(normal(part))
         return out
 
+    def encode(self, word: str) -> list[int]:
+        """The ids of one word, merged piece by piece."""
+        pieces = self.pieces(word)
+        return self.merge(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.merge(p)]
+
     def merge(self, piece: str) -> list[int]:
         """Exact ids of one piece: always the lowest-ranked pair, the leftmost of equals."""
         if piece in self.special:
             return [self.special[piece]]
-        parts = piece.encode().decode("latin-1").translate(self.letters)
-        if parts + END in self.ids and len(parts) == 1:
-            return [self.ids[parts + END]]
-        symbols: list[str] = [*parts[:-1], parts[-1] + END]
-        return [self.ids[s] for s in (self._short(symbols) if len(symbols) <= 40 else self._long(symbols))]
-
-    def _short(self, symbols: list[str]) -> list[str]:
-        rank = self.ranks.get
-        none = len(self.ranks)
-        found = [rank(p, none) for p in zip(symbols, symbols[1:])]
-        while found and (best := min(found)) < none:
+        raw, first = piece.encode(), self._first
+        ids = [first[b] for b in raw]
+        ids[-1] = self._last[raw[-1]]
+        if len(ids) > 60:
+            return self._long(ids)
+        pairs, none = self.pairs.get, (1 << 60,)
+        found = [pairs(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) is not none:
             i = found.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            ids[i : i + 2] = [best[1]]
             del found[i]
             if i:
-                found[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+                found[i - 1] = pairs(ids[i - 1] << 20 | ids[i], none)
             if i < len(found):
-                found[i] = rank((symbols[i], symbols[i + 1]), none)
-        return symbols
+                found[i] = pairs(ids[i] << 20 | ids[i + 1], none)
+        return ids
 
-    def _long(self, symbols: list[str]) -> list[str]:
+    def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for pieces of any length."""
-        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
-        heap = [(self.ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in self.ranks]
+        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        pairs = self.pairs.get
+        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := pairs(a << 20 | b))]
+        heap = [(rank, i, a, b, new) for rank, new, i, a, b in heap]
         heapq.heapify(heap)
-        alive: list[str | None] = list(symbols)
+        alive = list(ids)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, new = heapq.heappop(heap)
             j = after[i]
             if alive[i] != a or j < 0 or alive[j] != b:
                 continue
-            alive[i], alive[j] = a + b, None
+            alive[i], alive[j] = new, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0 and (r := self.ranks.get((alive[left], alive[right]))) is not None:
-                    heapq.heappush(heap, (r, left, alive[left], alive[right]))
-        return [s for s in alive if s is not None]
+                if left >= 0 and (right := after[left]) >= 0 and (m := pairs(alive[left] << 20 | alive[right])):
+                    heapq.heappush(heap, (m[0], left, alive[left], alive[right], m[1]))
+        return [i for i in alive if i >= 0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids as the file's (absent) decoder gives it: tokens joined by a blank."""
@@ -149,9 +165,11 @@ def normal(text: str) -> str:
 def compile_lexicon(words: dict[str, list[int]]) -> bytes:
     """A minimal acyclic automaton over the words' UTF-8 with their ids as output.
 
-    Layout: ``<5I`` header (arcs, states, outputs, ids, root), then per state the first
-    arc and whether it accepts, arc labels, targets and path counts before each arc,
-    output offsets, ids.
+    All arcs lie in one table: a state is a place in it, and its arc for byte b, if it
+    has one, is at place + b and says b + 1 there. No two states share a place. Layout:
+    ``<4I`` header (table size, outputs, ids, root place), then per slot the target's
+    place and the accepted words passed over, output offsets, ids, per slot label and
+    whether the state placed there accepts.
     """
     register: dict[tuple, int] = {}
     states: list[tuple[bool, tuple]] = []
@@ -165,7 +183,7 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
             paths.append(key[0] + sum(paths[t] for _, t in key[1]))
         return at
 
-    order = sorted(w.encode() for w in words)
+    order = sorted(w.encode("utf-8", "surrogatepass") for w in words)
     spine: list[list] = [[False, []]]
     last = b""
     for w in order:
@@ -182,22 +200,40 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
         child = freeze(spine.pop())
         spine[-1][1].append((last[len(spine) - 1], child))
     root = freeze(spine[0])
-    first, accept, labels, targets, skipped = [], [], [], [], []
-    for final, arcs in states:
-        first.append(len(labels))
-        accept.append(final)
+    room = sum(len(a) for _, a in states) + len(states) + 1024
+    used, taken = bytearray(4 * room), bytearray(4 * room)
+    place = [0] * len(states)
+    start, arcs_before = 0, 256
+    for s in sorted(range(len(states)), key=lambda s: -len(states[s][1])):
+        labels = [b for b, _ in states[s][1]]
+        if len(labels) != arcs_before and len(labels) < 3:
+            start = 0
+        arcs_before = len(labels)
+        at, tries = start, 0
+        while taken[at] or any([used[at + b] for b in labels]):
+            at, tries = at + 1, tries + 1
+            if tries % 40 == 0:  # crowded here: later states begin further on
+                start = at
+            if at + 512 > len(used):
+                used += bytes(len(used))
+                taken += bytes(len(taken))
+        taken[at], place[s] = 1, at
+        for b in labels:
+            used[at + b] = 1
+    size = max(place) + 257
+    label, target, skipped, accept = [np.zeros(size, k) for k in ("<u2", "<u4", "<u4", "u1")]
+    for s, (final, arcs) in enumerate(states):
+        accept[place[s]] = final
         count = int(final)
-        for label, target in arcs:
-            labels.append(label)
-            targets.append(target)
-            skipped.append(count)
-            count += paths[target]
-    first.append(len(labels))
-    outputs = [words[w.decode()] for w in order]
-    offsets = np.cumsum([0, *map(len, outputs)])
-    flat = [i for ids in outputs for i in ids]
-    head = struct.pack("<5I", len(labels), len(states), len(outputs), len(flat), root)
-    return head + b"".join(np.array(x, dtype="<u4").tobytes() for x in (first, targets, skipped, offsets, flat)) + bytes(labels) + bytes(accept)
+        for b, to in arcs:
+            at = place[s] + b
+            label[at], target[at], skipped[at] = b + 1, place[to], count
+            count += paths[to]
+    outputs = [words[w.decode("utf-8", "surrogatepass")] for w in order]
+    offsets = np.cumsum([0, *map(len, outputs)]).astype("<u4")
+    flat = np.array([i for ids in outputs for i in ids], dtype="<u4")
+    head = struct.pack("<4I", size, len(outputs), len(flat), place[root])
+    return head + b"".join(x.tobytes() for x in (target, skipped, offsets, flat, label, accept))
 
 
 class Lexicon:
@@ -207,34 +243,31 @@ class Lexicon:
         with tempfile.TemporaryFile() as f:
             f.write(compiled)
             f.flush()
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        arcs, states, outputs, ids, self.root = struct.unpack_from("<5I", self._map)
-        at = 20
-        cut = []
-        for n in (states + 1, arcs, arcs, outputs + 1, ids):
-            cut.append(memoryview(self._map)[at : at + 4 * n].cast("I"))
-            at += 4 * n
-        self._first, self._targets, self._skipped, self._offsets, self._ids = cut
-        self._labels, self._accept = at, at + arcs
+            view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        size, outputs, ids, self._root = struct.unpack_from("<4I", view)
+        at, cut = 16, []
+        for n, kind in ((size, "I"), (size, "I"), (outputs + 1, "I"), (ids, "I"), (size, "H"), (size, "B")):
+            end = at + n * struct.calcsize(kind)
+            cut.append(view[at:end].cast(kind))
+            at = end
+        self._target, self._skipped, self._offsets, self._ids, self._label, self._accept = cut
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or ``None`` where the automaton does not accept it."""
-        state, number, find = self.root, 0, self._map.find
+        state, number, label, target, skipped = self._root, 0, self._label, self._target, self._skipped
         for b in word:
-            lo, hi = self._labels + self._first[state], self._labels + self._first[state + 1]
-            at = find(b.to_bytes(), lo, hi)
-            if at < 0:
+            at = state + b
+            if label[at] != b + 1:
                 return None
-            arc = at - self._labels
-            number += self._skipped[arc]
-            state = self._targets[arc]
-        if not self._map[self._accept + state]:
+            number += skipped[at]
+            state = target[at]
+        if not self._accept[state]:
             return None
         return self._ids[self._offsets[number] : self._offsets[number + 1]].tolist()
 
 
-def frequent_pieces(docs: DataFrame, vocabulary, size: int, text_col: str = "text") -> list[str]:
-    """The ``size`` pieces seen most in all texts, counted by summaries of bounded size.
+def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text") -> list[str]:
+    """The ``size`` words seen most in all texts, counted by summaries of bounded size.
 
     A task keeps at most ``8 * size`` counters and drops the rarest beyond that, so the
     counts are lower bounds. They only choose what the automaton holds; ids do not
@@ -247,7 +280,7 @@ def frequent_pieces(docs: DataFrame, vocabulary, size: int, text_col: str = "tex
         def f(batch):
             for text in column(batch, text_col):
                 if text:
-                    seen.update(v.pieces(text))
+                    seen.update(v.words(text))
             if len(seen) > 8 * size:
                 kept = seen.most_common(4 * size)
                 seen.clear()
@@ -261,25 +294,25 @@ def frequent_pieces(docs: DataFrame, vocabulary, size: int, text_col: str = "tex
 
         return f, end
 
-    parts = emit_rows(docs.select(text_col), make, T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())]))
-    top = parts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
-    return [r.piece for r in top.collect()]
+    parts = emit_rows(docs.select(text_col), make, T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
+    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return [r.word for r in top.collect()]
 
 
-def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 200_000, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 300_000, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, ``decoded``).
 
     A null or empty text has no ids and decodes to the empty text. Texts are processed
     whole, however long. Columns with these names are replaced, all others stay;
     repeated rows and an empty table need no special care.
     ``tokenizer_json`` is the path of the file on the driver; its content is broadcast
-    (a fixed 2 MB), and so is the automaton (at most ``lexicon_size`` pieces).
+    (a fixed 2 MB), and so is the automaton (at most ``lexicon_size`` words).
     """
     spark = docs.sparkSession
     with open(tokenizer_json, encoding="utf-8") as f:
         v = Vocabulary(f.read())
     vocabulary = spark.sparkContext.broadcast(v)
-    compiled = spark.sparkContext.broadcast(compile_lexicon({w: v.merge(w) for w in frequent_pieces(docs, vocabulary, lexicon_size, text_col)}))
+    compiled = spark.sparkContext.broadcast(compile_lexicon({w: v.encode(w) for w in frequent_words(docs, vocabulary, lexicon_size, text_col)}))
     docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
@@ -289,25 +322,27 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50
         v, lexicon = vocabulary.value, Lexicon(compiled.value)
         known: dict[str, tuple] = {}
 
-        def look_up(piece):
-            ids = lexicon.get(piece.encode())
+        def look_up(word):
+            ids = lexicon.get(word.encode("utf-8", "surrogatepass"))
             if ids is None:
-                ids = v.merge(piece)
+                ids = v.encode(word)
             if len(known) >= cache_size:
                 known.clear()
-            got = known[piece] = (len(ids), " ".join(map(str, ids)), v.decode(ids), ids)
+            got = known[word] = (len(ids), " ".join(map(str, ids)), v.decode(ids))
             return got
 
         def f(batch):
             sizes, hashes, texts, all_ids, decoded = [], [], [], [], []
             for text in column(batch, text_col):
-                got = [known.get(p) or look_up(p) for p in v.pieces(text or "")]
+                got = [known.get(w) or look_up(w) for w in v.words(text or "") if w]
+                got = [g for g in got if g[0]]
                 sizes.append(sum([g[0] for g in got]))
-                hashes.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
+                line = " ".join([g[1] for g in got])
+                hashes.append(hashlib.sha256(line.encode()).hexdigest())
                 whole = " ".join([g[2] for g in got])
                 texts.append(hashlib.sha256(whole.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([i for g in got for i in g[3]])
+                    all_ids.append([int(i) for i in line.split()])
                     decoded.append(whole)
             out = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
             return out + [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else out
