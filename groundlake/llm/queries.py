@@ -131,3 +131,14 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_partenum_join"] = op10_partenum_join
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op4_suffix_dedup"] = op4_suffix_dedup
