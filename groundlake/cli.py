@@ -1,0 +1,70 @@
+"""``python -m groundlake.cli ask|resolve|health|export``: thin wrappers (OPS-1 to OPS-6)."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from .functions.prompts import SYSTEM, joined_passages, passage, rag_prompt
+from .operators import encode, generate, health, index, resolve, retrieve
+from .sources import readers
+
+
+def main(argv: list[str] | None = None) -> int:
+    ap = argparse.ArgumentParser(prog="groundlake")
+    ap.add_argument("--index", required=True)
+    sub = ap.add_subparsers(dest="what", required=True)
+    ask = sub.add_parser("ask")
+    ask.add_argument("question")
+    ask.add_argument("-k", type=int, default=8)
+    ask.add_argument("--show-passages", action="store_true")
+    ask.add_argument("--provider", default="extractive", choices=generate.available_providers())
+    ask.add_argument("--model")
+    ask.add_argument("--retrieve-only", action="store_true")
+    ask.add_argument("--guardrail", action="store_true")
+    res = sub.add_parser("resolve")
+    res.add_argument("titles", nargs="*")
+    res.add_argument("--stdin", action="store_true")
+    exp = sub.add_parser("export")
+    exp.add_argument("out")
+    sub.add_parser("health")
+    a = ap.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    table = readers.index_table(spark, a.index)
+    if a.what == "ask":
+        if not a.question.strip():
+            return 0
+        backend = None if a.retrieve_only else generate.get_backend(a.provider, a.model)
+        q = encode.encode(readers.arguments(spark, [a.question], "question"), "question", out_col="q_embedding", make=lambda: encode.HashingEncoder(encode.DIM))
+        hits = retrieve.with_payload(retrieve.top_k(table, q, a.k), table.drop("embedding"), "chunk_id")
+        shown = hits.withColumn("p", passage(F.col("rank"), F.col("score"), F.col("title"), F.col("paper_id"), F.col("year"), F.col("text")))
+        row = shown.agg(joined_passages(F.col("rank"), F.col("p")).alias("passages"), F.collect_set("paper_id").alias("ids")).first()
+        if a.show_passages or a.retrieve_only:
+            print(row["passages"])
+        if backend:
+            user = spark.range(1).select(rag_prompt(F.lit(a.question), F.lit(row["passages"]))).first()[0]
+            answer, grounded, _ = generate.generate_grounded(backend, SYSTEM, user, row["ids"], max_retries=generate.MAX_RETRIES if a.guardrail else 0)
+            print(answer)
+            if not grounded:
+                print("warning: the answer cites what was not retrieved", file=sys.stderr)
+        return 0
+    if a.what == "resolve":
+        titles = a.titles + ([x for x in sys.stdin.read().splitlines()] if a.stdin else [])
+        for r in resolve.resolve(readers.arguments(spark, titles), resolve.papers_of(table)).orderBy("qid", "rank").collect():
+            print(f"{titles[int(r['qid'])]}\t{r['band']}\t{r['score']:.2f}\t{r['paper_id']}\t({r['year']}) {r['title']}")
+        return 0
+    if a.what == "export":
+        print(index.export_public(table, a.out))
+        return 0
+    papers = table.groupBy("paper_id").agg(F.first("title").alias("title"), F.first("year").alias("published"))
+    report = health.health(spark, papers, table, table).collect()
+    for r in report:
+        print(f"{r['status']:5}{r['check']}  {r['detail']}")
+    return int(any(r["status"] == "FAIL" for r in report))
+
+
+if __name__ == "__main__":
+    sys.exit(main())
