@@ -293,7 +293,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     classes = short.groupBy("_class").agg(F.min(F.struct("_doc", "_row")).alias("m"), F.count("*").alias("c"), F.first("_n").alias("_n"))
     many = written(classes.filter(F.col("c") > 1).select("_class", F.col("m._row").alias("_first"), "_n"), "repeat-copies")
     shared = written(shared_anchors(keyed), "repeat-anchors")
-    found = windows(keyed, shared, limit)
+    copies = short.join(many.drop("_n"), "_class")
+    same = written(copies.filter(F.col("_row") == F.col("_first")).groupBy("_row").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("_row").alias("row"), F.col("k")), "repeat-twins")
+    twins = same.limit(1).count() > 0
+    # rows equal in everything: only one of them can be the first
+    found = windows(keyed.dropDuplicates(["_row"]) if twins else keyed, shared, limit)
     dealt = found.repartition(F.coalesce("anchor", "row")).sortWithinPartitions("anchor", "doc", "tie", "row", "start")
     pieces = written(dealt.mapInArrow(_sort_shards, "row long, spans binary"), "repeat-spans")
     joined = pieces.groupBy("row").agg(F.collect_list("spans").alias("parts"))
@@ -309,15 +313,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return f
 
     spans = map_columns(joined, merged, [T.StructField("spans", T.BinaryType())], ["row"])
-    copies = short.join(many.drop("_n"), "_class")
-    # rows equal in everything: only one of them can be the first
     whole = copies.filter((F.col("_row") != F.col("_first")) & (F.col("_n") >= LENGTH)).select(F.col("_row").alias("row"), F.lit(True).alias("whole")).distinct()
-    same = copies.filter(F.col("_row") == F.col("_first")).groupBy("_row").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("_row").alias("row"), F.col("k"))
     table = spans.join(whole, "row", "full_outer").select("row", F.when(F.col("whole"), F.lit(b"")).otherwise(F.col("spans")).alias("spans"))
     mark = F.when(F.length("spans") == 0, F.lit(b"*")).otherwise(F.col("spans"))
     table = written(table.select("row", mark.alias("spans")), "repeat-table")
     base = keyed
-    if same.limit(1).count():
+    if twins:
         counted = keyed.join(same.withColumnRenamed("row", "_row"), "_row", "left")
         nth = F.when(F.col("k") > 1, F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).otherwise(1)
         base = counted.withColumn("_row", F.when(nth > 1, F.lit(0)).otherwise(F.col("_row"))).drop("k")
