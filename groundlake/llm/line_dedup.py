@@ -153,7 +153,7 @@ def line_index(repeated: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataF
     """The sharded index: rows ``shard, packed``, the number of shards, the bytes of all."""
     shards = max(1, -(-repeated.count() // shard_keys))
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, rows):
         h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
         return pd.DataFrame({"shard": [int(key[0])], "packed": [pack_shard(h1, h2, rows["n"].to_numpy(), rows["first"].to_numpy())]})
 

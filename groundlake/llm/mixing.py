@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
 def _round_block(seed: int, level: int):
     """Rounds one block in key order; at most one row keeps a fraction."""
 
-    def run(keys, block: pd.DataFrame) -> pd.DataFrame:
+    def run(keys, block):
         block = block.sort_values(["key", "size", "frac"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(keys[-1]) & 0xFFFFFFFF, len(block), int(block.key.iloc[0]) & 0xFFFFFFFF])
         draws = rng.random(len(block)).tolist()
