@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ids import strip
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file; blank lines are skipped, broken ones kept apart."""
-    whole = T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(whole).json(path)
+    return spark.read.schema(f"{schema}, _corrupt_record string").json(path)
 
 
 def work_list(spark: SparkSession, path: str) -> DataFrame:

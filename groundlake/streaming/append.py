@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ..operators.index import append
 
 
-def append_stream(spark: SparkSession, incoming: str, index_path: str, checkpoint: str, schema: T.StructType, *, once: bool = True):
+def append_stream(spark: SparkSession, incoming: str, index_path: str, checkpoint: str, schema: str, *, once: bool = True):
     """Appends files that arrive in ``incoming``; a batch that is replayed adds nothing."""
 
     def each(batch: DataFrame, _: int) -> None:
