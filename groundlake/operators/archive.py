@@ -45,10 +45,14 @@ def latex_files(blob: bytes | None) -> list[tuple[str, str]]:
     return []
 
 
-@F.pandas_udf("array<struct<name: string, content: string>>")
-def extract(blobs: pd.Series) -> pd.Series:
+def extract(blobs: Column | str) -> Column:
     """Arrow stage: the LaTeX files of each blob."""
-    return blobs.map(lambda b: [{"name": n, "content": c} for n, c in latex_files(b)])
+
+    @F.pandas_udf("array<struct<name: string, content: string>>")
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: [{"name": n, "content": c} for n, c in latex_files(b)])
+
+    return run(blobs)
 
 
 def main_file(files: Column) -> Column:
