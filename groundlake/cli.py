@@ -1,15 +1,17 @@
-"""``python -m groundlake.cli ask|resolve|health|export``: thin wrappers (OPS-1 to OPS-6)."""
+"""``python -m groundlake.cli ask|eval|resolve|health|export``: thin wrappers (OPS-1 to OPS-6)."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.prompts import SYSTEM, joined_passages, passage, rag_prompt
-from .operators import encode, generate, health, index, resolve, retrieve
+from . import schemas
+from .operators import encode, evaluate, generate, health, index, resolve, retrieve, runs
 from .sources import readers
 
 
@@ -25,9 +27,21 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("--model")
     ask.add_argument("--retrieve-only", action="store_true")
     ask.add_argument("--guardrail", action="store_true")
+    ev = sub.add_parser("eval")
+    ev.add_argument("--gold")
+    ev.add_argument("--providers", default="extractive")
+    ev.add_argument("-k", type=int, default=8)
+    ev.add_argument("--baseline", action="store_true")
+    ev.add_argument("--max-tokens", type=int, default=generate.MAX_TOKENS)
+    ev.add_argument("--limit", type=int)
+    ev.add_argument("--out")
+    ev.add_argument("--report")
+    ev.add_argument("--retrieve-only", action="store_true")
     res = sub.add_parser("resolve")
     res.add_argument("titles", nargs="*")
     res.add_argument("--stdin", action="store_true")
+    res.add_argument("--gold")
+    res.add_argument("--write")
     exp = sub.add_parser("export")
     exp.add_argument("out")
     sub.add_parser("health")
@@ -51,6 +65,30 @@ def main(argv: list[str] | None = None) -> int:
             if not grounded:
                 print("warning: the answer cites what was not retrieved", file=sys.stderr)
         return 0
+    if a.what == "eval":
+        if not a.report:
+            gold = readers.json_lines(spark, a.gold, schemas.GOLD, keep_broken=False)
+            gold = gold.orderBy("qid").limit(a.limit) if a.limit else gold
+            if a.retrieve_only:
+                total = evaluate.recall_total(evaluate.recall_preview(runs.preview(gold, table, k=a.k))).first()
+                print(f"mean recall {total['mean_recall']}, questions {total['questions']}, with a miss {total['missed']}")
+                return 0
+            a.report = a.out or runs.default_path(datetime.now())
+            conditions = runs.CONDITIONS if a.baseline else ("rag",)
+            runs.run(gold, table, a.providers.split(","), conditions=conditions, k=a.k, max_tokens=a.max_tokens).write.json(a.report)
+        done = spark.read.schema(f"{schemas.RUN}, seq long").json(a.report)
+        print(evaluate.markdown(evaluate.summary(done)))
+        print("\n".join(r["line"] for r in evaluate.worst_first(evaluate.failures(done)).collect()) or "(no flagged answers)")
+        return 0
+    if a.what == "resolve" and a.gold:
+        gold = readers.json_lines(spark, a.gold, schemas.GOLD, keep_broken=False)
+        done = resolve.resolve_expected(gold, resolve.papers_of(table))
+        if a.write:
+            done.write.json(a.write)
+        else:
+            for r in done.select("qid", "expected_citations").orderBy("qid").collect():
+                print(r["qid"], *r["expected_citations"])
+        return 0
     if a.what == "resolve":
         titles = a.titles + ([x for x in sys.stdin.read().splitlines()] if a.stdin else [])
         for r in resolve.resolve(readers.arguments(spark, titles), resolve.papers_of(table)).orderBy("qid", "rank").collect():

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import strip
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON-lines file; blank lines are skipped, broken ones kept apart."""
+def json_lines(spark: SparkSession, path: str, schema: str, *, keep_broken: bool = True) -> DataFrame:
+    """Records of a JSON-lines file; blank lines are skipped, broken ones kept apart or dropped."""
+    if not keep_broken:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return spark.read.schema(f"{schema}, _corrupt_record string").json(path)
 
 

@@ -282,3 +282,27 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF" + b"x" * 3000)
     pdfs = readers.pdf_blobs(spark, str(tmp_path))
     assert [r.stem for r in pdfs.collect()] == ["b"] and pdfs.select(archive.is_pdf(F.col("content")).alias("x")).first().x
+
+
+def test_evaluation_run(spark, tmp_path, capsys):
+    """Build, ask and evaluate through the command line with the offline defaults."""
+    from groundlake import cli
+
+    papers = [("1106.4789v2", "Knots", "2011-06-01", "hep-th", "knots and gauge theory " * 20), ("hep-th/9112056", "Mirrors", "1991-12-01", "hep-th", "mirror manifolds and strings " * 20)]
+    chunks = chunk.chunk_papers(spark.createDataFrame(papers, "paper_id string, title string, published string, primary_category string, text string"))
+    index.build(encode.encode(chunks), str(tmp_path / "index"))
+    gold = tmp_path / "gold.jsonl"
+    gold.write_text('{"qid": "q1", "question": "gauge knots", "type": "in_corpus", "expected_citations": ["1106.4789"]}\n{"qid": "q2", "question": "weather", "type": "out_of_corpus", "expected_citations": []}\n')
+    at = ["--index", str(tmp_path / "index")]
+    assert cli.main([*at, "eval", "--gold", str(gold), "--baseline", "-k", "1", "--out", str(tmp_path / "run")]) == 0
+    said = capsys.readouterr().out
+    assert "| extractive·rag |" in said and "| extractive·closed_book |" in said and "(no flagged answers)" in said
+    rows = {(r.qid, r.condition): r for r in spark.read.json(str(tmp_path / "run")).collect()}
+    assert len(rows) == 4 and rows["q1", "rag"].auto.retrieval_recall == 1.0 and rows["q1", "rag"].answer.endswith("[1106.4789]")
+    assert cli.main([*at, "eval", "--gold", str(gold), "--retrieve-only"]) == 0
+    assert "mean recall 1.0" in capsys.readouterr().out
+    assert cli.main([*at, "ask", "mirror strings", "-k", "1", "--show-passages", "--guardrail"]) == 0
+    assert "[hep-th/9112056]" in capsys.readouterr().out
+    assert cli.main([*at, "resolve", "Knots (2011)"]) == 0
+    assert "confident" in capsys.readouterr().out
+    assert cli.main([*at, "health"]) == 0
