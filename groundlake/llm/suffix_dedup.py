@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, emit_rows, map_columns, without, written
+from .common import collect_blobs, column, emit_rows, map_columns, without, written
 from .induced_sort import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -130,7 +130,7 @@ def windows(docs: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
     schema = T.StructType.fromDDL(_WINDOW)
     columns = ["_doc", "_tie", "_row", "_text"]
     if shared.count() * 8 <= limit:
-        table = np.sort(shared.toPandas()["anchor"].to_numpy(np.int64).view(U))
+        table = np.sort(np.frombuffer(b"".join(x for (x,) in collect_blobs(shared, "anchor")), dtype=U))
         given = docs.sparkSession.sparkContext.broadcast(table)
 
         def make():
@@ -259,11 +259,24 @@ def _covered(docs: DataFrame, spans: DataFrame, limit: int, make, fields, carry:
     """Columns made by ``make(lookup)`` where ``lookup(batch)`` gives each row's covered spans."""
     size = spans.agg(F.sum(F.length("spans") + 40)).first()[0] or 0
     if size <= limit:
-        given = docs.sparkSession.sparkContext.broadcast({r["row"]: bytes(r["spans"]) for r in spans.collect()})
+        sized = spans.withColumn("size", F.length("spans").cast("long"))
+        parts = collect_blobs(sized, "row", "size", "spans")
+        rows = np.frombuffer(b"".join(p[0] for p in parts), dtype="<i8")
+        ends = np.cumsum(np.frombuffer(b"".join(p[1] for p in parts), dtype="<i8"))
+        order = np.argsort(rows)
+        given = docs.sparkSession.sparkContext.broadcast((rows[order], np.concatenate(([0], ends))[order], ends[order], b"".join(p[2] for p in parts)))
 
         def broadcast_make():
-            table = given.value
-            return make(lambda batch: [table.get(r, b"") for r in column(batch, "_row")])
+            rows, start, end, flat = given.value
+
+            def lookup(batch):
+                wanted = np.array(column(batch, "_row"), dtype=np.int64)
+                if not len(rows):
+                    return [b""] * len(wanted)
+                at = np.minimum(np.searchsorted(rows, wanted), len(rows) - 1)
+                return [flat[start[i] : end[i]] if hit else b"" for i, hit in zip(at.tolist(), (rows[at] == wanted).tolist())]
+
+            return make(lookup)
 
         return map_columns(docs, broadcast_make, fields, carry)
     joined = docs.join(spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "_row", "left")
