@@ -20,14 +20,17 @@ from .common import column, emit_rows, map_columns, written
 
 #: Standard deviations of the estimate that the bound covers.
 EPSILON = 4.0
+#: Vectors of fewer dimensions are padded with zeros before the rotation, for longer codes.
+LEAST_BITS = 256
 QUERY_BLOCK = 4096
 _TOLERANCE = 1e-9
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The rows of a random orthogonal matrix that meet the unpadded components."""
+    bits = max(dim, LEAST_BITS)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -56,7 +59,7 @@ def build_index(vectors: DataFrame, k: int, *, seed: int = 7) -> tuple[DataFrame
             length = np.sqrt((x * x).sum(1))
             turned = (x / np.where(length > 0, length, 1.0)[:, None]) @ turn
             bits = turned > 0
-            fit = np.abs(turned).sum(1) / math.sqrt(dim)
+            fit = np.abs(turned).sum(1) / math.sqrt(turned.shape[1])
             return [pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary()), pa.array(length), pa.array(fit)]
 
         return f
@@ -86,10 +89,10 @@ class _Best:
         self.found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
 
     def scan(self, ids: np.ndarray, x: np.ndarray, signs: np.ndarray, length: np.ndarray, fit: np.ndarray) -> None:
-        dim = x.shape[1]
+        bits = signs.shape[1]
         fit = np.maximum(fit, 1e-9)
-        scale = (length / fit / math.sqrt(dim)).astype(np.float32)
-        spread = length * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / math.sqrt(max(dim - 1, 1)) + 1e-6
+        scale = (length / fit / math.sqrt(bits)).astype(np.float32)
+        spread = length * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / math.sqrt(bits - 1) + 1e-6
         for lo in range(0, len(self.q), 256):
             part = slice(lo, lo + 256)
             guess = (signs @ self.turned[part].T) * scale[:, None] + self.base[part].astype(np.float32)
@@ -98,15 +101,13 @@ class _Best:
                 top = np.argpartition(-guess, self.k - 1, axis=0)[: self.k]
                 got = np.einsum("knd,nd->kn", x[top], self.q[part])
                 self.least[part] = np.maximum(self.least[part], got.min(0) - _TOLERANCE)
-            rows, cols = np.nonzero(guess + spread.astype(np.float32)[:, None] * self.norm[part].astype(np.float32) >= self.least[part].astype(np.float32) - np.float32(1e-5))
-            keep_r, keep_c = [], []
-            for at in range(0, len(rows), 100_000):
-                r, c = rows[at : at + 100_000], cols[at : at + 100_000]
-                near = np.einsum("nd,nd->n", x[r], self.q[lo + c]) >= self.least[lo + c] - _TOLERANCE
-                keep_r.append(r[near])
-                keep_c.append(c[near])
-            if keep_r:
-                r, c = np.concatenate(keep_r), np.concatenate(keep_c) + lo
+            chosen = guess + spread.astype(np.float32)[:, None] * self.norm[part].astype(np.float32) >= self.least[part].astype(np.float32) - np.float32(1e-5)
+            some = np.flatnonzero(chosen.any(1))
+            # the chosen vectors of the block are compared in one matrix product
+            near = chosen[some] & (x[some] @ self.q[part].T >= self.least[part] - _TOLERANCE)
+            r, c = np.nonzero(near)
+            r, c = some[r], c + lo
+            if len(r):
                 own = (self.found[0] >= lo) & (self.found[0] < lo + n)
                 q = np.concatenate((self.found[0][own], c))
                 i = np.concatenate((self.found[1][own], ids[r]))
@@ -144,7 +145,7 @@ def search(index: DataFrame, centre: np.ndarray, turn: np.ndarray, queries: Data
 
             def f(batch):
                 code = np.frombuffer(b"".join(column(batch, "code")), dtype=np.uint8).reshape(batch.num_rows, -1)
-                signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+                signs = np.unpackbits(code, axis=1, count=turn.shape[1]).astype(np.float32) * 2 - 1
                 get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
                 flat = batch.column(batch.schema.get_field_index("_vec")).flatten().to_numpy(zero_copy_only=False)
                 if len(names):
