@@ -71,7 +71,8 @@ class Vocabulary:
         model = data["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.pairs = {self.ids[a] << 20 | self.ids[b]: (rank, self.ids[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        #: pair of ids to its rank and the merged id, packed: the least is merged first
+        self.pairs = {self.ids[a] << 20 | self.ids[b]: rank << 20 | self.ids[a + b] for rank, (a, b) in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
         letters = byte_letters()
@@ -113,12 +114,12 @@ class Vocabulary:
         ids[-1] = self._last[raw[-1]]
         if len(ids) > 60:
             return self._long(ids)
-        pairs, none = self.pairs.get, (1 << 60,)
+        pairs, none = self.pairs.get, 1 << 62
         found = [pairs(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-        while found and (best := min(found)) is not none:
+        while found and (best := min(found)) < none:
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], found[i]
             if i:
                 found[i - 1] = pairs(ids[i - 1] << 20 | ids[i], none)
             if i < len(found):
@@ -129,22 +130,21 @@ class Vocabulary:
         """The same by a heap over a linked list, for pieces of any length."""
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         pairs = self.pairs.get
-        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := pairs(a << 20 | b))]
-        heap = [(rank, i, a, b, new) for rank, new, i, a, b in heap]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := pairs(a << 20 | b)) is not None]
         heapq.heapify(heap)
         alive = list(ids)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if alive[i] != a or j < 0 or alive[j] != b:
                 continue
-            alive[i], alive[j] = new, -1
+            alive[i], alive[j] = m & 0xFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0 and (m := pairs(alive[left] << 20 | alive[right])):
-                    heapq.heappush(heap, (m[0], left, alive[left], alive[right], m[1]))
+                if left >= 0 and (right := after[left]) >= 0 and (m := pairs(alive[left] << 20 | alive[right])) is not None:
+                    heapq.heappush(heap, (m, left, alive[left], alive[right]))
         return [i for i in alive if i >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -299,7 +299,7 @@ def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text
     return [r.word for r in top.collect()]
 
 
-def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 300_000, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 350_000, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, ``decoded``).
 
     A null or empty text has no ids and decodes to the empty text. Texts are processed
@@ -321,14 +321,20 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50
     def make():
         v, lexicon = vocabulary.value, Lexicon(compiled.value)
         known: dict[str, tuple] = {}
+        before: dict[str, tuple] = {}  # what was known when it last grew full
 
         def look_up(word):
-            ids = lexicon.get(word.encode("utf-8", "surrogatepass"))
-            if ids is None:
-                ids = v.encode(word)
+            nonlocal before
+            got = before.get(word)
+            if got is None:
+                ids = lexicon.get(word.encode("utf-8", "surrogatepass"))
+                if ids is None:
+                    ids = v.encode(word)
+                got = (len(ids), " ".join(map(str, ids)), v.decode(ids))
             if len(known) >= cache_size:
+                before = dict(known)
                 known.clear()
-            got = known[word] = (len(ids), " ".join(map(str, ids)), v.decode(ids))
+            known[word] = got
             return got
 
         def f(batch):
