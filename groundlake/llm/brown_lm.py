@@ -1,11 +1,13 @@
 """Brown class-based bigrams: exchange clustering, class transitions, word emissions.
 
 The most frequent words are clustered by the exchange algorithm over their class bigram
-counts; every other word belongs to a class named by its shape (length, punctuation),
-so each word of any text has a class. A text's probability is the product of smoothed
-class transitions and word emissions. Counts come from all training documents: class
-bigrams as one bounded table, word counts as a distributed one. Frequent words' counts
-are broadcast; the rarest words, no one of which can be frequent, are joined.
+counts; every other training word then takes the class that the same step of exchange
+gives it, from the classes of all its neighbours, summed over all training texts. Words
+not seen in training have a class named by their shape (length, punctuation). A text's
+probability is the product of smoothed class transitions and word emissions, both
+counted over all training documents: class bigrams as one bounded table, words as a
+distributed one. Frequent words' counts and classes are broadcast; the rarest words, no
+one of which can be frequent, are joined, place by place.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ ADD = 0.1
 PRIOR = 10.0
 #: Shape classes: five lengths, with and without a last character that is punctuation.
 SHAPES = 10
-
+U = np.uint64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -97,13 +100,14 @@ def exchange(counts: np.ndarray, words: int, classes: int, rounds: int = 20) ->
 
 @dataclass
 class ClassModel:
-    """All that scoring needs but the counts of rare words; bounded by its parameters."""
-
-    head: dict[bytes, int]  # count of each frequent word
-    classes: dict[bytes, int]  # class of each clustered word
-    emission: dict[bytes, float]  # log10 P(word | class) of each clustered word
-    transition: np.ndarray  # log10 P(class | class before); the last class is the end
-    shape_total: list[float]  # divisor of a shape class' emissions
+    """All that scoring needs but the counts and classes of rare words; bounded by its parameters."""
+
+    head: dict[bytes, tuple[int, int]]  # count and class of each frequent word
+    classes: dict[bytes, int]  # class of each word clustered with the others
+    emission: dict[bytes, float]  # log10 P(word | class, clustered with the others)
+    clustered: np.ndarray  # log10 P(clustered with the others | class)
+    class_total: np.ndarray  # tokens of each class; shapes and the end have none of their own
+    transition: np.ndarray | None  # log10 P(class | class before); the last class is the end
     first_shape: int
     n: int
     distinct: int
@@ -113,6 +117,11 @@ class ClassModel:
     def base_total(self) -> float:
         return self.n + ADD * (self.distinct + 1)
 
+    @property
+    def line_type(self) -> np.dtype:
+        """Of the classes of a text's words."""
+        return np.dtype("<u1" if self.first_shape + SHAPES < 256 else "<u2")
+
 
 def count_words(train: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n`` over all training texts; each task sums before it sends."""
@@ -174,43 +183,205 @@ def count_bigrams(train: DataFrame, words: list[bytes], text_col: str = "text")
     return counts.reshape(size, size)
 
 
-def fit(train: DataFrame, *, text_col: str = "text", exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> tuple[ClassModel, DataFrame]:
-    """The class model of the training texts and the table of all word counts."""
-    vocabulary = written(count_words(train, text_col), "lm-words")
+def best_classes(after: np.ndarray, before: np.ndarray, itself: np.ndarray, own: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """For each word the class of most gain: one step of ``exchange`` for words of shape classes.
+
+    ``after[w, c]`` and ``before[w, c]`` count the neighbours of other words by class,
+    ``itself`` those that are the word again, ``own`` is its shape class in the table ``n``.
+    """
+    at = np.arange(len(own))
+    rows, cols = np.repeat(n[None, :classes], len(own), 0), np.repeat(n[:, :classes].T[None], len(own), 0)
+    rows[at, :, own] -= before[:, :classes]
+    cols[at, :, own] -= after[:, :classes]
+    gain = (_f(rows + after[:, None]) - _f(rows)).sum(2) + (_f(cols + before[:, None]) - _f(cols)).sum(2)
+    same, x, y, z = n.diagonal()[:classes], after[:, :classes], before[:, :classes], itself[:, None]
+    gain += _f(same + x + y + z) + _f(same) - _f(same + x) - _f(same + y)
+    left, right = n[:classes].sum(1), n[:, :classes].sum(0)
+    gain -= _f(left + after.sum(1)[:, None] + z) - _f(left) + _f(right + before.sum(1)[:, None] + z) - _f(right)
+    return gain.argmax(1)
+
+
+def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes: int, text_col: str = "text") -> DataFrame:
+    """``word, n, class`` of all training words but those of ``of``, by the classes of their neighbours.
+
+    Neighbours that are not in ``of`` count by shape. A task sums its neighbours before it
+    sends them, so that a word costs a row per task and some bytes per class it meets.
+    """
+    k, first, spark = len(n), len(n) - SHAPES - 1, train.sparkSession
+    given = spark.sparkContext.broadcast((of, n))
+    wide = 2 * k + 1  # classes after, classes before, itself
+
+    class Numbers(dict):
+        """Below 0: -1 - class; others are numbered as they come."""
+
+        def __missing__(self, w):
+            self.words.append(w)
+            self[w] = j = len(self.words) - 1
+            return j
+
+    def make():
+        known = {w: -1 - c for w, c in given.value[0].items()}
+        state: dict = {}
+
+        def fresh():
+            state["ids"], state["line"] = Numbers(known), [-k]
+            state["ids"].words = []
+
+        fresh()
+
+        def flush():
+            words, v = state["ids"].words, np.array(state["line"], dtype=np.int64)
+            fresh()
+            if not words:
+                return
+            shapes = first + np.array([shape(w) for w in words], dtype=np.int64)
+            c = np.where(v < 0, -1 - v, shapes[np.maximum(v, 0)])
+            at = np.flatnonzero(v >= 0)
+            own = v[at]
+            again, was = v[at + 1] == own, v[at - 1] == own
+            keys = np.concatenate((own * wide + np.where(again, 2 * k, c[at + 1]), (own * wide + k + c[at - 1])[~was]))
+            keys, counts = np.unique(keys, return_counts=True)
+            packed = (keys % wide).astype("<u8") << U(40) | counts.astype("<u8")
+            edge = np.searchsorted(keys, np.arange(len(words) + 1) * wide).astype(np.int32) * 8
+            for lo in range(0, len(words), 4096):
+                part = edge[lo : lo + 4097]
+                held = packed[part[0] // 8 : part[-1] // 8].tobytes()
+                yield [pa.array(words[lo : lo + 4096], pa.binary()), pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), pa.py_buffer(held)])]
+
+        def f(batch):
+            line, number = state["line"], state["ids"].__getitem__
+            for text in column(batch, text_col):
+                line.extend(map(number, tokens(text)))
+                line.append(-k)
+            if len(state["ids"].words) > 300_000 or len(line) > 1 << 22:
+                yield from flush()
+
+        return f, flush
+
+    def choose(batches):
+        table = given.value[1]
+        once = np.full(k * k * SHAPES, -1)
+
+        def done(words, held):
+            own = np.array([first + shape(w) for w in words], dtype=np.int64)
+            packed = np.frombuffer(b"".join(held), dtype="<u8")
+            w = np.repeat(np.arange(len(words)), [len(x) // 8 for x in held])
+            seen = np.bincount(w * wide + (packed >> U(40)).astype(np.int64), weights=(packed & U((1 << 40) - 1)).astype(float), minlength=len(words) * wide).reshape(-1, wide)
+            after, before, itself = seen[:, :k], seen[:, k:-1], seen[:, -1]
+            total = after.sum(1) + itself
+            best = np.zeros(len(words), dtype=np.int64)
+            single = total == 1
+            # words met once differ in few ways only
+            key = (after.argmax(1) * k + before.argmax(1)) * SHAPES + own - first
+            best[single] = once[key[single]]
+            todo = np.flatnonzero(~single | (best < 0))
+            for lo in range(0, len(todo), 256):
+                at = todo[lo : lo + 256]
+                best[at] = best_classes(after[at], before[at], itself[at], own[at], table, classes)
+            once[key[single]] = best[single]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+        words, held = [], []
+        for b in batches:
+            for w, x in zip(column(b, "word"), column(b, "met")):
+                if words and words[-1] == w:
+                    held[-1] += x
+                    continue
+                if len(words) == 4096:
+                    yield done(words, held)
+                    words, held = [], []
+                words.append(w)
+                held.append(x)
+        if words:
+            yield done(words, held)
+
+    rows = emit_rows(train.select(text_col), make, T.StructType.fromDDL("word binary, met binary"))
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
+
+
+def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> tuple[ClassModel, DataFrame]:
+    """The model less its transitions, and ``word, n, class`` of all training words."""
+    spark = train.sparkSession
     ends = train.count()
-    by_shape = {r["shape"]: (r["n"], r["v"]) for r in vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    head = [(bytes(r["word"]), r["n"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(head_words).collect()]
-    clustered = head[:exchange_words]
-    counts = count_bigrams(train, [w for w, _ in clustered], text_col)
-    of = exchange(counts, len(clustered), classes)
-    k = int(of.max()) + 1
+    top = [(bytes(r["word"]), r["n"]) for r in count_words(train, text_col).orderBy(F.desc("n"), "word").limit(exchange_words).collect()]
+    counts = count_bigrams(train, [w for w, _ in top], text_col)
+    of = exchange(counts, len(top), classes)
+    k, first = int(of.max()) + 1, int(of[len(top)])
     pick = np.zeros((len(counts), k))
     pick[np.arange(len(counts)), of] = 1.0
-    n = pick.T @ counts @ pick
-    tokens_of = n.sum(0)
-    prior = (tokens_of + 1) / (tokens_of.sum() + k)
-    transition = np.log10((n + PRIOR * prior) / (n.sum(1, keepdims=True) + PRIOR))
-    emission = {w: math.log10(c / tokens_of[of[i]]) for i, (w, c) in enumerate(clustered)}
-    totals = []
-    for s in range(SHAPES):
-        inside = [c for w, c in clustered if shape(w) == s]
-        size, distinct = by_shape.get(s, (0, 0))
-        totals.append(size - sum(inside) + ADD * (distinct - len(inside) + 1))
+    named = {w: int(c) for (w, _), c in zip(top, of)}
+    vocabulary = spark.createDataFrame([(bytearray(w), n, named[w]) for w, n in top], "word binary, n long, class int")
+    if top:
+        vocabulary = vocabulary.unionByName(class_words(train, named, pick.T @ counts @ pick, first, text_col))
+    vocabulary = written(vocabulary, "lm-words")
+    total, distinct, inside = np.zeros(k), 0, np.zeros(k)
+    for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        total[r["class"]], distinct = r["n"], distinct + r["v"]
+    for w, n in top:
+        inside[named[w]] += n
     model = ClassModel(
-        head=dict(head),
-        classes={w: int(of[i]) for i, (w, _) in enumerate(clustered)},
-        emission=emission,
-        transition=transition,
-        shape_total=totals,
-        first_shape=int(of[len(clustered)]),
-        n=sum(x[0] for x in by_shape.values()) + ends,
-        distinct=sum(x[1] for x in by_shape.values()) + (ends > 0),
+        head={bytes(r["word"]): (r["n"], r["class"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(head_words).collect()},
+        classes=named,
+        emission={w: math.log10(n / inside[named[w]]) for w, n in top},
+        clustered=np.log10(np.maximum(inside, 1) / np.maximum(total, 1)),
+        class_total=np.maximum(total, 1),
+        transition=None,
+        first_shape=first,
+        n=int(total.sum()) + ends,
+        distinct=distinct + (ends > 0),
         ends=ends,
     )
     return model, vocabulary
 
 
-_PART = "_id {id}, _row long, word binary, tf long, shape int, main long, n_tokens long, n_known long, base_score double, score double"
+def _transition(lines: DataFrame, model: ClassModel) -> np.ndarray:
+    """log10 P(class | class before) over the class lines of the training texts."""
+    kind, k = model.line_type, model.first_shape + SHAPES + 1
+
+    def make():
+        total = np.zeros(k * k, dtype=np.int64)
+
+        def f(batch):
+            total[:] += np.bincount(_steps(column(batch, "line"), kind, k)[0], minlength=k * k)
+            return ()
+
+        def end():
+            at = np.flatnonzero(total)
+            if len(at):
+                yield [pa.array(at.astype(np.int64)), pa.array(total[at])]
+
+        return f, end
+
+    got = emit_rows(lines.select("line"), make, T.StructType.fromDDL("pair long, n long")).groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(k * k)
+    n[got["pair"].to_numpy()] = got["n"].to_numpy()
+    n = n.reshape(k, k)
+    tokens_of = n.sum(0)
+    prior = (tokens_of + 1) / (tokens_of.sum() + k)
+    return np.log10((n + PRIOR * prior) / (n.sum(1, keepdims=True) + PRIOR))
+
+
+def _steps(lines: list[bytes], kind: np.dtype, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class pairs ``before * k + class`` of texts laid end to end, and where each text's begin."""
+    end = np.array([k - 1], dtype=kind).tobytes()
+    line = np.frombuffer(end + b"".join([x + end for x in lines]), dtype=kind).astype(np.int64)
+    sizes = np.array([len(x) // kind.itemsize + 1 for x in lines], dtype=np.int64)
+    return line[:-1] * k + line[1:], np.cumsum(sizes) - sizes
+
+
+def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **sizes) -> tuple[ClassModel, DataFrame]:
+    """The class model of the training texts and the table of all their words, counts and classes."""
+    model, vocabulary = _learn(train, text_col=text_col, **sizes)
+    model.transition = _transition(_lines(train, model, vocabulary, id_col, text_col), model)
+    return model, vocabulary
+
+
+def fit_and_score(docs: DataFrame, chosen: F.Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_texts`` of all rows by the model of the chosen ones; ``chosen`` reads the id only."""
+    model, vocabulary = _learn(docs.filter(chosen), text_col=text_col)
+    lines = written(_lines(docs, model, vocabulary, id_col, text_col), "lm-lines")
+    model.transition = _transition(lines.filter(chosen), model)
+    return _scored(lines, model, id_col)
 
 
 def score_texts(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,68 +391,135 @@ def score_texts(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, *, id
     columns are not read. An empty table gives an empty result, an empty training set
     uniform probabilities.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    base_total, totals = model.base_total, model.shape_total
-    schema = T.StructType.fromDDL(_PART.format(id=docs.schema[id_col].dataType.simpleString()))
+    return _scored(_lines(docs, model, vocabulary, id_col, text_col), model, id_col)
+
 
+def _scored(lines: DataFrame, model: ClassModel, id_col: str) -> DataFrame:
+    shared = lines.sparkSession.sparkContext.broadcast(model.transition.ravel())
+    kind, k = model.line_type, len(model.transition)
+    fields = ["n_tokens", "n_known", "base_score"]
+
+    def make():
+        step = shared.value
+
+        def f(batch):
+            pairs, at = _steps(column(batch, "line"), kind, k)
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            score = get("emission").to_numpy() + np.add.reduceat(step[pairs], at)
+            yield [get(id_col), *map(get, fields), pa.array(score)]
+
+        return f, None
+
+    schema = T.StructType([lines.schema[c] for c in (id_col, *fields)] + [T.StructField("score", T.DoubleType())])
+    done = emit_rows(lines.select(id_col, "line", *fields, "emission"), make, schema)
+    return done.select(id_col, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+_PART = "_row long, _two long, at int, word binary, other int, _id {id}, line binary, n_tokens long, n_known long, base_score double, emission double"
+
+
+def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row per text: the classes of its words laid end to end and what needs no transitions.
+
+    Frequent words get their classes from the model, rare ones by a join, one row each
+    time one occurs.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType.fromDDL(_PART.format(id=kind))
+    names = [x.name for x in schema]
 
     def make():
         m = shared.value
-        counts, classes, emission = m.head, m.classes, m.emission
-        step, end = m.transition, m.transition.shape[0] - 1
-        total, first = m.base_total, m.first_shape
-        base_of = {w: math.log10((c + ADD) / total) for w, c in counts.items()}
-        end_base = math.log10((m.ends + ADD) / total)
-        whole_of = {w: (classes.get(w, first + shape(w)), base_of[w], emission[w] if w in emission else math.log10((c + ADD) / m.shape_total[shape(w)])) for w, c in counts.items()}
+        index = {w: i for i, w in enumerate(m.head)}
+        n, of = (np.array([x[j] for x in m.head.values()] + [1 - j], dtype=np.int64) for j in (0, 1))
+        base = np.log10((n + ADD) / m.base_total)
+        emission = np.log10(n / m.class_total[of])
+        for w, x in m.emission.items():
+            if w in index:
+                emission[index[w]] = x + m.clustered[m.classes[w]]
+        of = of.astype(m.line_type)
+        end_base = math.log10((m.ends + ADD) / m.base_total)
 
         def f(batch):
-            ids = batch.column(batch.schema.get_field_index("_id"))
-            keys = column(batch, "_row")
-            owner, words, tf, main, sizes, known, base, score = ([] for _ in range(8))
-            for i, text in enumerate(column(batch, text_col)):
-                toks = tokens(text)
-                found = [whole_of.get(w) for w in toks]
-                rare = Counter([w for w, x in zip(toks, found) if x is None]) if None in found else {}
-                line = np.fromiter([first + shape(w) if x is None else x[0] for w, x in zip(toks, found)], dtype=np.int64, count=len(toks))
-                line = np.concatenate(([end], line, [end]))
-                hits = [x for x in found if x is not None]
-                owner.append(i)
-                words.append(b" %d" % keys[i])
-                tf.append(0)
-                main.append(1)
-                sizes.append(len(toks) + 1)
-                known.append(len(hits) + (m.ends > 0))
-                base.append(sum([x[1] for x in hits]) + end_base)
-                score.append(sum([x[2] for x in hits]) + float(step[line[:-1], line[1:]].sum()))
-                if rare:
-                    k = len(rare)
-                    owner += [i] * k
-                    words += rare.keys()
-                    tf += rare.values()
-                    main += [0] * k
-                    sizes += [0] * k
-                    known += [0] * k
-                    base += [0.0] * k
-                    score += [0.0] * k
-            at = pa.array(owner, pa.int32())
-            yield [ids.take(at), pa.array(keys, pa.int64()).take(at), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), pa.array([shape(w) for w in words], pa.int32()), *[pa.array(x, pa.int64()) for x in (main, sizes, known)], pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            rows, two, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_two", "_id"))
+            texts = [tokens(t) for t in column(batch, text_col)]
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            flat = list(chain.from_iterable(texts))
+            found = np.array([index.get(w, -1) for w in flat], dtype=np.int64)
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            at = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[doc]
+            hit = np.flatnonzero(found >= 0)
+            per = lambda x=None: np.bincount(doc[hit], weights=None if x is None else x[found[hit]], minlength=len(texts))
+            edge = np.concatenate(([0], np.cumsum(sizes) * of.itemsize)).astype(np.int32)
+            line = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edge), pa.py_buffer(of[found].tobytes())])
+            some = pa.nulls(len(texts), pa.int32())
+            # words that no text holds, dealt out evenly
+            filler = pa.array([b" %d" % x for x in rows.to_pylist()], pa.binary())
+            yield [rows, two, pa.array(np.full(len(texts), -1, dtype=np.int32)), filler, some, ids, line, pa.array(sizes + 1), pa.array(per() + int(m.ends > 0)), pa.array(per(base) + end_base), pa.array(per(emission), pa.float64())]
+            rare = np.flatnonzero(found < 0)
+            if len(rare):
+                words, own = [flat[i] for i in rare.tolist()], pa.array(doc[rare])
+                other = pa.array([m.first_shape + shape(w) for w in words], pa.int32())
+                nothing = [pa.nulls(len(rare), t) for t in (ids.type, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield [rows.take(own), two.take(own), pa.array(at[rare].astype(np.int32)), pa.array(words, pa.binary()), other, *nothing]
 
         return f, None
 
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), text_col)
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.xxhash64(F.lit(1), id_col, text_col).alias("_two"), text_col)
     parts = emit_rows(keyed, make, schema, rows=256)
-    seen = parts.join(vocabulary.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    of_shape = F.element_at(F.array(*[F.lit(float(x)) for x in totals]), F.col("shape") + 1)
-    log = lambda below: F.col("tf") * F.log10((F.col("n") + ADD) / below)
-    summed = seen.groupBy("_id", "_row").agg(
-        F.sum("main").alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + log(F.lit(base_total))).alias("base_score"),
-        F.sum(F.col("score") + log(of_shape)).alias("score"),
-    )
-    # equal rows were summed together: share out again
-    each = summed.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    per = lambda c: (F.col(c) / F.col("rows")).alias(c)
-    whole = lambda c: (F.col(c) / F.col("rows")).cast("long").alias(c)
-    return each.select(F.col("_id").alias(id_col), whole("n_tokens"), whole("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), per("base_score"), per("score"))
+    seen = parts.join(vocabulary, "word", "left").select(*[c for c in names if c not in ("word", "other")], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", "other", F.lit(0)).alias("class"))
+    ordered = seen.repartition("_row", "_two").sortWithinPartitions("_row", "_two", "at")
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[schema[c] for c in ("line", "n_tokens", "n_known", "base_score", "emission")]])
+    base_total, totals, cell = model.base_total, model.class_total, model.line_type
+
+    def filled(part):
+        """Whole texts: the rare words' classes go into the lines, equal rows get a result each."""
+        get = lambda c: part.column(c).to_numpy()
+        row, two, at, n, of = (get(c) for c in ("_row", "_two", "at", "n", "class"))
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (two[1:] != two[:-1])
+        group, head, rare = np.cumsum(new) - 1, np.flatnonzero(new), np.flatnonzero(at >= 0)
+        times = np.bincount(group[at < 0])
+        main = part.take(pa.array(head))
+        lines = main.column("line").to_pylist()
+        size = np.array([len(x) // cell.itemsize for x in lines], dtype=np.int64)
+        whole = np.frombuffer(b"".join(lines), dtype=cell).copy()
+        whole[(np.cumsum(size) - size)[group[rare]] + at[rare]] = of[rare]
+        n, of = n[rare], of[rare]
+        known = n > 0
+        add = lambda x: np.bincount(group[rare], weights=x, minlength=len(head)) / times
+        edge = np.concatenate(([0], np.cumsum(size) * cell.itemsize)).astype(np.int32)
+        got = [
+            main.column("_id").combine_chunks(),
+            pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(edge), pa.py_buffer(whole.tobytes())]),
+            main.column("n_tokens").combine_chunks(),
+            pa.array(main.column("n_known").to_numpy() + np.rint(add(known)).astype(np.int64)),
+            pa.array(main.column("base_score").to_numpy() + add(np.log10((n + ADD) / base_total))),
+            pa.array(main.column("emission").to_numpy() + add(np.where(known, np.log10(np.maximum(n, 1) / totals[of]), 0.0))),
+        ]
+        each = pa.array(np.repeat(np.arange(len(head)), times))
+        return pa.RecordBatch.from_arrays([x.take(each) for x in got], names=[x.name for x in out])
+
+    def fill(batches):
+        carry = None
+        for b in batches:
+            part = pa.Table.from_batches([b])
+            row, two = part.column("_row").to_numpy(), part.column("_two").to_numpy()
+            last = np.flatnonzero((row != row[-1]) | (two != two[-1])) if len(row) else []
+            if not len(row):
+                continue
+            end = int(last[-1]) + 1 if len(last) else 0
+            before = [carry] if carry is not None else []
+            if end:
+                yield filled(pa.concat_tables([*before, part.slice(0, end)]).combine_chunks())
+                carry = part.slice(end)
+            elif before and (carry.column("_row")[0].as_py(), carry.column("_two")[0].as_py()) != (int(row[0]), int(two[0])):
+                yield filled(carry.combine_chunks())
+                carry = part
+            else:
+                carry = pa.concat_tables([*before, part])
+        if carry is not None and carry.num_rows:
+            yield filled(carry.combine_chunks())
+
+    return ordered.mapInArrow(fill, out)

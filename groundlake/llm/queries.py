@@ -84,13 +84,12 @@ QUERIES |= {"op3_language_id": op3_language_id, "op2_gif_media": op2_gif_media}
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .brown_lm import fit, score_texts
+    from .brown_lm import fit_and_score
     from .language_id import held_out
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = held_out(folds=10)
-    model, vocabulary = fit(docs.filter(~kept))
-    return score_texts(docs, model, vocabulary).withColumn("held_out", kept)
+    return fit_and_score(docs, ~kept).withColumn("held_out", kept)
 
 
 QUERIES["op5_brown_lm"] = op5_brown_lm

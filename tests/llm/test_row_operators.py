@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from groundlake.llm.brown_lm import exchange, fit, score_texts, tokens
+from groundlake.llm.brown_lm import exchange, fit, score_texts, shape, tokens
 from groundlake.llm.gif_media import Frame, decode_frames, gif_payload, lzw_decode, lzw_encode, read_gif, render, store_texts, text_payload, write_gif
 from groundlake.llm.language_id import UNKNOWN, drop_unidentified, fit_profiles, held_out, identify
 from groundlake.llm.lexicon_bpe import Lexicon, Vocabulary, compile_lexicon, encode_texts
@@ -230,6 +230,59 @@ def test_brown_lm_empty(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in got)
 
 
+def test_brown_lm_classes_every_word(spark):
+    """Each training word has the exchange class of most likelihood; scores follow from all words' classes."""
+    rng = random.Random(8)
+    odd = [" ".join(f"u{rng.randrange(40)}{rng.choice(['', '.', 'xxxxx'])}" if rng.random() < 0.6 else rng.choice("abcdef") for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = documents() + [(5000 + i, t, None, None, None) for i, t in enumerate([*odd, "z z z z", "z z q"])]
+    rows += rows[-2:]
+    df = clash(frame(spark, rows), "n", "word", "class")
+    model, words = fit(df.filter("doc_id % 4 <> 0"), exchange_words=20, classes=4, head_words=60)
+    table = {bytes(r["word"]): (r["n"], r["class"]) for r in words.collect()}
+    train = [tokens(t) for i, t, *_ in rows if i is not None and i % 4]
+    n = Counter(w for t in train for w in t)
+    assert {w: x[0] for w, x in table.items()} == n and len(n) > 200
+    assert all(0 <= c < model.first_shape == 4 for _, c in table.values())
+
+    f = lambda c: sum(x * math.log(x) for x in c.values() if x)
+    pairs = Counter(p for t in train for p in zip([None, *t], [*t, None]))
+    start = lambda w: None if w is None else model.classes.get(w, -1 - shape(w))
+
+    def gain(word, c):
+        named = lambda w: c if w == word else start(w)
+        both, left, right = Counter(), Counter(), Counter()
+        for (a, b), k in pairs.items():
+            x, y = named(a), named(b)
+            both[x, y] += k
+            left[x] += k
+            right[y] += k
+        return f(both) - f(left) - f(right)
+
+    others = [w for w in table if w not in model.classes]
+    for w in [b"z", b"q", *rng.sample([w for w in others if n[w] > 1], 20), *rng.sample(others, 20)]:
+        if w in others:
+            gains = [gain(w, c) for c in range(4)]
+            assert gains[table[w][1]] == pytest.approx(max(gains), abs=1e-6)
+
+    size = Counter()
+    for k, c in table.values():
+        size[c] += k
+    k = model.first_shape + 11
+    steps = np.zeros((k, k))
+    line = lambda t: [k - 1, *[table[w][1] if w in table else 4 + shape(w) for w in t], k - 1]
+    for t in train:
+        np.add.at(steps, (line(t)[:-1], line(t)[1:]), 1)
+    prior = (steps.sum(0) + 1) / (steps.sum() + k)
+    step = np.log10((steps + 10 * prior) / (steps.sum(1, keepdims=True) + 10))
+    assert np.allclose(step, model.transition)
+    want = Counter()
+    for i, text, *_ in rows:
+        t = tokens(text)
+        score = step[line(t)[:-1], line(t)[1:]].sum() + sum(math.log10(table[w][0] / size[table[w][1]]) for w in t if w in table)
+        want[i, len(t) + 1, round(score, 5)] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in score_texts(df, model, words).collect()) == want
+
+
 def test_exchange_finds_classes():
     """Two kinds of words that alternate end up in different classes."""
     counts = np.zeros((7, 7))
