@@ -34,6 +34,7 @@ BINS = 128
 COMMON = 1 << 17
 SAMPLE_DOCS = 10_000
 BROADCAST_ROWS = 1 << 20
+BLOCK = 256
 _P = [U(2 * p + 1) for p in (0x4F1BBCDCBFA53E0A, 0x61C8864680B583EA, 0x0B2D8CB394F33CFC, 0x13F6A9780B3ABFE2, 0x42E1B56F3AF43A5D)]
 
 
@@ -324,16 +325,54 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(emit_rows(full, exact, schema), "join-links")
 
 
-def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _all_pairs(needed: DataFrame) -> DataFrame:
+    """Every pair ``a < b`` of sets that share a signature.
+
+    A signature's sets are dealt to blocks of some ``BLOCK``; a task joins two blocks,
+    and each pair of sets meets in one pair of blocks.
+    """
+    sizes = needed.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = needed.join(sizes, "sig").withColumn("x", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    left = dealt.select("sig", F.col("x").alias("i"), F.explode(F.sequence("x", F.col("blocks") - 1)).alias("j"), F.col("set").alias("l"))
+    right = dealt.select("sig", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("i"), F.col("x").alias("j"), F.col("set").alias("r"))
+    met = left.join(right, ["sig", "i", "j"]).filter("i < j OR l < r")
+    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+
+def _joining_links(needed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links enough for the components, not all of them."""
+    hubs = needed.groupBy("sig").agg(F.min("set").alias("hub"), F.max("set").alias("last")).filter("hub < last").drop("last")
+    shared = written(needed.join(hubs, "sig"), "join-shared")
+
+    # every set against the first of its group
+    first = shared.filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
+    links = _verify(first, sets)
+    roots = components(links)
+    # groups still in several components: all their pairs across components
+    named = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "hub", F.coalesce("root", "set").alias("root"))
+    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+    # most sets of a group share one root: the others meet all, those meet only the others
+    open_ = written(named.join(split, "sig"), "join-open")
+    sizes = open_.groupBy("sig", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    marked = open_.join(main, "sig")
+    outside = marked.filter("root <> main").select("sig", F.col("set").alias("a"), F.col("root").alias("ra"))
+    inside = marked.select("sig", F.col("set").alias("b"), F.col("root").alias("rb"), "hub", "main")
+    cross = outside.join(inside, "sig").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
+    more = _verify(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    return links.unionByName(more)
+
+
+def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every_link: bool = True) -> DataFrame:
     """``<id>, row_hash, n_shingles, set_id, n_links, component_id`` for every row of ``docs``.
 
     Links: Jaccard similarity of the sets of distinct five-word shingles (fewer words:
     the whole sequence is one) of at least 4/5; words are lower-cased (A-Z). A component
     is named by its smallest id. Texts without words, and null texts, have no shingles
     and are linked with nothing. ``set_id`` is equal for equal sets, which link; it is
-    null for empty ones. ``n_links`` counts the other sets found linked to a row's set
-    while joining components, 0 if it joins none. Rows sharing an id are
-    rows like others; ids are integers, null ids name no component unless alone in it
+    null for empty ones. ``n_links`` counts the other sets linked to a row's set; without
+    ``every_link`` only links that components need are looked for, and it counts those.
+    Rows sharing an id are rows like others; ids are integers, null ids name no component unless alone in it
     (then it is null). Other columns only tell rows apart; empty tables give none.
     """
     far = F.lit((1 << 63) - 1)
@@ -380,26 +419,7 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     often = Window.partitionBy("set", F.col("sig").bitwiseAND((1 << TAG_BITS) - 1)).orderBy(F.desc("m"), "sig")
     needed = signed.join(met, "sig").withColumn("_nth", F.row_number().over(often)).filter("_nth > spare").select("set", "sig")
     needed = written(needed, "join-needed")
-    hubs = needed.groupBy("sig").agg(F.min("set").alias("hub"), F.max("set").alias("last")).filter("hub < last").drop("last")
-    shared = written(needed.join(hubs, "sig"), "join-shared")
-
-    # every set against the first of its group
-    first = shared.filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    links = _verify(first, sets)
-    roots = components(links)
-    # groups still in several components: all their pairs across components
-    named = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "hub", F.coalesce("root", "set").alias("root"))
-    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    # most sets of a group share one root: the others meet all, those meet only the others
-    open_ = written(named.join(split, "sig"), "join-open")
-    sizes = open_.groupBy("sig", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    marked = open_.join(main, "sig")
-    outside = marked.filter("root <> main").select("sig", F.col("set").alias("a"), F.col("root").alias("ra"))
-    inside = marked.select("sig", F.col("set").alias("b"), F.col("root").alias("rb"), "hub", "main")
-    cross = outside.join(inside, "sig").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-    more = _verify(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    links = links.unionByName(more)
+    links = _verify(_all_pairs(needed), sets) if every_link else _joining_links(needed, sets)
     roots = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
@@ -420,7 +440,7 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row per component: the one of smallest id (then of smallest row hash)."""
-    found = written(similarity_classes(docs, id_col=id_col, text_col=text_col), "join-result")
+    found = written(similarity_classes(docs, id_col=id_col, text_col=text_col, every_link=False), "join-result")
     first = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row_hash")).alias("r")).agg(
         F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias("m")
     )

@@ -100,6 +100,20 @@ def test_partenum_join_many_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_join(rows)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_partenum_join_counts_every_link(spark, monkeypatch, block):
+    """``n_links`` is the number of other sets linked, also inside a component with a hub."""
+    monkeypatch.setattr("groundlake.llm.partenum_join.BLOCK", block)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(5, 115, 9)] + [" ".join(base), " ".join(base), "alone in here", None]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: a and b and a != b and 9 * len(a & b) >= 4 * (len(a) + len(b))
+    want = {i: sum(bool(near(a, b)) for b in set(sets)) for i, a in enumerate(sets)}
+    assert max(want.values()) > 5
+    assert {r.doc_id: r.n_links for r in similarity_classes(frame(spark, rows)).collect()} == want
+
+
 def test_partenum_join_empty(spark):
     assert similarity_classes(spark.createDataFrame([], DOCS)).collect() == []
 
