@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM, BATCH, MAX_WORDS = 1024, 32, 512
+DIM, BATCH = 1024, 32
 
 
 class Encoder(Protocol):
@@ -21,15 +21,18 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Feature hashing of words, normalised: an offline stand-in, not a neural model's equal."""
+    """Feature hashing of words, normalised: an offline stand-in, not a neural model's equal.
 
-    def __init__(self, dim: int = DIM):
-        self.dim = dim
+    All words count unless ``max_words`` states a limit, as a neural model has one.
+    """
+
+    def __init__(self, dim: int = DIM, max_words: int | None = None):
+        self.dim, self.max_words = dim, max_words
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts):
-            for word in (text or "").lower().split()[:MAX_WORDS]:
+            for word in (text or "").lower().split()[: self.max_words]:
                 h = crc32(word.encode())
                 row[h % self.dim] += 1 if h >> 31 else -1
         norm = np.sqrt((out.astype(np.float64) ** 2).sum(1, keepdims=True))

@@ -229,6 +229,13 @@ def test_encoder(spark):
     assert np.linalg.norm(got[0]) == pytest.approx(1, abs=1e-6) and sum(map(abs, got[1])) == 0
 
 
+def test_encoder_hashes_every_word():
+    """Words after the 512th count; a limit holds only where it is stated."""
+    long = "a " * 512
+    whole, cut = encode.HashingEncoder(16).encode([long, long + "b " * 400]), encode.HashingEncoder(16, max_words=512).encode([long, long + "b " * 400])
+    assert not np.allclose(whole[0], whole[1]) and np.allclose(cut[0], cut[1])
+
+
 def test_identify(spark):
     files = spark.createDataFrame([("0033151", ""), ("8712296", ""), ("BF01", ""), ("zzz", "% c\nA fitting title line\n")], "stem string, text string")
     known = spark.createDataFrame([("recid", "33151", "33151", None), ("report", "87-12-296", "5", "hep-th/9112056"), ("title", "A fitting title line", "9", None)], "kind string, key string, recid string, eprint string")
