@@ -236,6 +236,13 @@ def test_encoder_hashes_every_word():
     assert not np.allclose(whole[0], whole[1]) and np.allclose(cut[0], cut[1])
 
 
+def test_resolve_titles_asks_every_fiftieth(spark, sf_dir):
+    from groundlake.plans.queries import QUERIES
+
+    asked = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 50 = 0").select(F.col("doc_id").cast("string")).collect()
+    assert {r.qid for r in QUERIES["resolve_titles"](spark, sf_dir).select("qid").distinct().collect()} == {r[0] for r in asked}
+
+
 def test_identify(spark):
     files = spark.createDataFrame([("0033151", ""), ("8712296", ""), ("BF01", ""), ("zzz", "% c\nA fitting title line\n")], "stem string, text string")
     known = spark.createDataFrame([("recid", "33151", "33151", None), ("report", "87-12-296", "5", "hep-th/9112056"), ("title", "A fitting title line", "9", None)], "kind string, key string, recid string, eprint string")
