@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
             runs.run(gold, table, a.providers.split(","), conditions=conditions, k=a.k, max_tokens=a.max_tokens).write.json(a.report)
         done = spark.read.schema(f"{schemas.RUN}, seq long").json(a.report)
         print(evaluate.markdown(evaluate.summary(done)))
-        print("\n".join(r["line"] for r in evaluate.worst_first(evaluate.failures(done)).collect()) or "(no flagged answers)")
+        print("\n".join(r["line"] for r in evaluate.worst_first(evaluate.failures(done)).collect()) or "nothing flagged")
         return 0
     if a.what == "resolve" and a.gold:
         gold = readers.json_lines(spark, a.gold, schemas.GOLD, keep_broken=False)

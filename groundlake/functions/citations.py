@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ids import is_paper_id, normalize_id, strip
+from .ids import bare_id, is_id, is_paper_id, normalize_id, strip
+
+
+#: The inside of an innermost bracket, and what separates ids in it.
+BRACKET, SEPARATOR = r"\[([^\[\]]+)\]", "[,;]"
+
+
+def cited_ids(answer: str) -> list[str]:
+    """``extract_citations`` of one text, on the driver or in a Python stage."""
+    parts = [t for inner in re.findall(BRACKET, answer) for t in re.split(SEPARATOR, inner)]
+    return list(dict.fromkeys(bare_id(t) for t in parts if is_id(t)))
 
 
 def extract_citations(answer: Column) -> Column:
     """Canonical ids cited in innermost brackets, in order of first appearance."""
-    inner = F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
-    parts = F.flatten(F.transform(inner, lambda x: F.split(x, "[,;]")))
+    inner = F.regexp_extract_all(answer, F.lit(BRACKET), F.lit(1))
+    parts = F.flatten(F.transform(inner, lambda x: F.split(x, SEPARATOR)))
     return F.array_distinct(F.transform(F.filter(parts, is_paper_id), lambda t: normalize_id(strip(t))))
 
 
@@ -72,3 +84,8 @@ def correction(invalid: Column, retrieved: Column) -> Column:
     """What a generator is told after an answer with ids that were not retrieved."""
     verb = F.when(F.size(invalid) == 1, F.lit("is")).otherwise(F.lit("are"))
     return F.format_string(CORRECTION, F.array_join(invalid, ", "), verb, allowed_list(retrieved))
+
+
+def correction_text(invalid: list[str], retrieved: list[str]) -> str:
+    """``correction`` of one answer."""
+    return CORRECTION % (", ".join(invalid), "is" if len(invalid) == 1 else "are", ", ".join(sorted(set(retrieved))) or "(none)")

@@ -5,6 +5,8 @@ Covers FLT-1/2/7/9/10/12, ID-1 to ID-5, ID-11 and DT-1/2 of the operator invento
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def strip_version(paper_id: Column) -> Column:
     return F.regexp_replace(paper_id, r"v\d+\z", "")
 
 
+def is_id(token: str) -> bool:
+    """``is_paper_id`` of one text."""
+    return re.match(ID_PATTERN.replace(r"\z", r"\Z"), token.strip()) is not None
+
+
+def bare_id(paper_id: str) -> str:
+    """``normalize_id`` of one text."""
+    return re.sub(r"v\d+\Z", "", paper_id.strip().lower())
+
+
 def is_paper_id(token: Column) -> Column:
     return strip(token).rlike(ID_PATTERN)
 

@@ -18,12 +18,15 @@ def chunk_count(words: Column, window: int = WORDS, overlap: int = OVERLAP) -> C
 
 
 def chunk_text(text: Column, window: int = WORDS, overlap: int = OVERLAP) -> Column:
-    """Array of chunk texts."""
-    words = tokens(text)
-    n = chunk_count(F.size(words), window, overlap)
+    """Array of chunk texts. The words are bound by a lambda, so that a text is split once and not per window."""
     step = window - overlap
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, (i * step + 1).cast("int"), F.lit(window)), " "))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def cut(words):
+        n = chunk_count(F.size(words), window, overlap)
+        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, (i * step + 1).cast("int"), F.lit(window)), " "))
+        return F.when(n > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(tokens(text)), cut), F.lit(0))
 
 
 def chunk_papers(papers: DataFrame, *, text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -32,7 +35,8 @@ def chunk_papers(papers: DataFrame, *, text_col: str = "text", least_words: int
     Papers under ``least_words`` words give no chunks. Nothing is shuffled: a paper's
     windows come from its own row.
     """
-    known = papers.filter(F.size(tokens(F.col(text_col))) >= least_words).withColumn("_chunks", chunk_text(F.col(text_col)))
+    words = F.size(tokens(F.col(text_col)))
+    known = papers.filter(words >= least_words).withColumn("_chunks", chunk_text(F.col(text_col)))
     cut = known.select("*", F.posexplode("_chunks").alias("chunk_idx", "_chunk"))
     bare = strip_version(F.col("paper_id"))
     return cut.select(

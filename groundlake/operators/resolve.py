@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,23 +23,45 @@ def papers_of(index: DataFrame) -> DataFrame:
     return first.select("paper_id", "f.title", "f.year", normalize_title(F.coalesce("f.title", F.lit(""))).alias("norm"))
 
 
-def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``ratio``, the longest-matching-block similarity of two texts.
+def _letters(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of 64 classes of characters occurs in each text, and its length."""
+    distinct, at = np.unique(texts.to_numpy(dtype=str), return_inverse=True)
+    held = np.zeros((len(distinct), 64), dtype=np.int32)
+    for row, text in zip(held, distinct.tolist()):
+        row += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 64, minlength=64).astype(np.int32)
+    return held[at], np.array([len(x) for x in distinct.tolist()])[at]
 
-    It is not symmetric: ``a`` is the query. The matcher keeps what it learned of ``b``
-    while ``b`` stays the same.
+
+def best_ratios(pairs: DataFrame, top: int) -> DataFrame:
+    """The pairs of ``qid, q_norm, norm, nudge, ...`` that may be among a query's best, with ``s``.
+
+    ``s`` is the longest-matching-block similarity (not symmetric: the query is first)
+    plus the nudge, at most 1. Matched blocks hold no character more often than either
+    text, which bounds it from above; pairs whose bound is under the ``top`` best that a
+    task has seen for their query are left out, without being matched.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pairs.schema)}, ratio double"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pairs.schema)}, s double"
 
     def run(frames):
         m = SequenceMatcher(None)
+        best: dict[str, list[float]] = {}
         for frame in frames:
-            out = []
-            for x, y in zip(frame[a], frame[b]):
-                m.set_seq2(y)
-                m.set_seq1(x)
-                out.append(m.ratio())
-            yield frame.assign(ratio=pd.Series(out, index=frame.index, dtype=float))
+            if frame.empty:
+                continue
+            (x, nx), (y, ny) = _letters(frame["q_norm"]), _letters(frame["norm"])
+            nudge = frame["nudge"].to_numpy()
+            bound = np.where(nx + ny > 0, 2 * np.minimum(x, y).sum(1) / np.maximum(nx + ny, 1), 1.0)
+            bound = np.minimum(bound + nudge, 1.0) + 1e-9
+            s = np.full(len(frame), np.nan)
+            qid, q, norm = (frame[c].tolist() for c in ("qid", "q_norm", "norm"))
+            for i in np.argsort(-bound, kind="stable").tolist():
+                held = best.setdefault(qid[i], [])
+                if len(held) == top and bound[i] < held[0]:
+                    continue
+                m.set_seqs(q[i], norm[i])
+                s[i] = min(m.ratio() + nudge[i], 1.0)
+                (heapq.heappushpop if len(held) == top else heapq.heappush)(held, s[i])
+            yield frame.assign(s=s)[~np.isnan(s)]
 
     return pairs.mapInPandas(run, schema)
 
@@ -45,7 +69,7 @@ def sequence_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def resolve(queries: DataFrame, papers: DataFrame, top: int = 3) -> DataFrame:
     """``qid, rank, paper_id, title, year, score, band``: the best papers of each title.
 
-    ``queries`` has ``qid, query``; ties go to smaller ids.
+    ``queries`` has ``qid, query``; ties go to smaller ids. All pairs are bounded, few are matched.
     """
     number = queries.count()
     blocks = max(1, -(-number // MAX_TITLES))
@@ -53,11 +77,11 @@ def resolve(queries: DataFrame, papers: DataFrame, top: int = 3) -> DataFrame:
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         q = part.select("qid", split_year(F.col("query")).alias("s")).select("qid", normalize_title(F.col("s.title")).alias("q_norm"), F.col("s.year").alias("q_year"))
-        pairs = sequence_ratio(papers.crossJoin(F.broadcast(q)), "q_norm", "norm")
+        met = papers.crossJoin(F.broadcast(q)).withColumn("nudge", adjusted(F.lit(0.0), F.col("q_year"), F.col("year")))
+        pairs = best_ratios(met, top)
         found = pairs if found is None else found.unionByName(pairs)
-    scored = found.withColumn("s", adjusted(F.col("ratio"), F.col("q_year"), F.col("year")))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "paper_id"))
-    ranked = scored.withColumn("rank", place).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
+    ranked = found.withColumn("rank", place).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
     return ranked.select("qid", "rank", "paper_id", "title", "year", "score", band(F.col("score")).alias("band"))
 
 

@@ -9,7 +9,7 @@ from .inputs import ANSWERS_SQL, PAPERS_SQL
 
 _P = "WITH" + PAPERS_SQL
 _HITS = """
-scored AS (SELECT q.vec_id AS qid, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 23),
+scored AS (SELECT q.vec_id AS qid, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 8)"""
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 _SNIPPET = f"substr(array_to_string({_WORDS}, ' '), 1, 320)"
@@ -69,7 +69,7 @@ stems AS (
     WHEN 4 THEN '1-s2.0-' || printf('%016d', doc_id * 1234567) || '-main' ELSE '1-s2.0-' || doc_id || '-main' END AS stem FROM papers
 )"""
 _RANKS = """
-own AS (SELECT vec_id AS qid, CAST(unnest([label, (label + 1) % 10]) AS VARCHAR) AS expected_id FROM embeddings WHERE vec_id < 23),
+own AS (SELECT vec_id AS qid, CAST(unnest([label, (label + 1) % 10]) AS VARCHAR) AS expected_id FROM embeddings WHERE vec_id % 50 = 0),
 labelled AS (SELECT h.qid, CAST(e.label AS VARCHAR) AS paper_id, h.rank FROM hits h JOIN embeddings e USING (vec_id)),
 ranks AS (SELECT o.qid, o.expected_id, CAST(min(l.rank) AS INTEGER) AS rank FROM own o LEFT JOIN labelled l ON l.qid = o.qid AND l.paper_id = o.expected_id GROUP BY ALL)"""
 _PASSAGE = f"printf('--- Passage %d (sim=%.3f) ---' || chr(10) || 'Title: %s' || chr(10) || 'ID: %s (%s)' || chr(10) || 'Text:' || chr(10) || '%s' || chr(10), rank, score, source, paper_id, year, {_SNIPPET})"
@@ -93,7 +93,7 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(rege
 WITH r AS (SELECT page_id, ' ' || chr(10) || replace(html, 'e', 'e-' || chr(10) || 'x  ' || chr(10) || chr(10) || chr(10) || chr(10)) AS t FROM pages)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '-\\n(\\w)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM r""",
     "latex_strip": r"""
-WITH r AS (SELECT page_id, chr(10) || '5\% of % gone' || chr(10) || '\input{x}\begin{figure*}a' || chr(10) || 'b\end{figure*} t \begin{table}q\end{table}\include{y}' || url || page_id || '\bibliographystyle{p}\bibliography{refs}\begin{thebibliography}{9}' || chr(10) || 'z' || chr(10) || '\end{thebibliography} end' AS t FROM pages),
+WITH r AS (SELECT page_id, chr(10) || '5\% of % gone' || chr(10) || '\input{x}\begin{figure*}a' || chr(10) || 'b\end{figure*} t \begin{table}q\end{table}\include{y}' || url || page_id || html || '\bibliographystyle{p}\bibliography{refs}\begin{thebibliography}{9}' || chr(10) || 'z' || chr(10) || '\end{thebibliography} end' AS t FROM pages),
 c AS (SELECT page_id, replace(regexp_replace(replace(t, '\%', chr(1)), '%[^\n]*', '', 'g'), chr(1), '\%') AS t FROM r),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\\bibliography\{[^}]*\}', '', 'g'), '\\bibliographystyle\{[^}]*\}', '', 'g'), '(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}', '', 'g') AS t FROM c),
 f AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)\\begin\{figure\*?\}.*?\\end\{figure\*?\}', '[FIGURE]', 'g'), '(?s)\\begin\{table\*?\}.*?\\end\{table\*?\}', '[TABLE]', 'g') AS t FROM b)
@@ -132,7 +132,7 @@ SELECT stem, CASE WHEN doc_id % 6 NOT IN (0, 2) OR doc_id = 0 THEN NULL WHEN doc
     "export_public": f"{_P}, {_INDEX} SELECT vec_id, paper_id FROM idx WHERE paper_id NOT LIKE 'inspire:%'",
     "export_semi": f"{_P}, {_CHUNKS}, {_INDEX} SELECT chunk_id FROM chunks WHERE paper_id IN (SELECT paper_id FROM idx WHERE paper_id NOT LIKE 'inspire:%')",
     "export_manifest": f"{_P}, {_INDEX} SELECT count(*) AS source_vectors, count(DISTINCT paper_id) AS source_papers, count(*) FILTER (WHERE pub) AS public_vectors, count(DISTINCT paper_id) FILTER (WHERE pub) AS public_papers, count(*) FILTER (WHERE NOT pub) AS excluded_vectors, count(DISTINCT paper_id) FILTER (WHERE NOT pub) AS excluded_papers FROM (SELECT *, paper_id NOT LIKE 'inspire:%' AS pub FROM idx)",
-    "delta_append": f"{_P} SELECT paper_id, doc_id FROM papers WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "delta_append": f"{_P} SELECT paper_id, doc_id FROM papers",
     "dedup_papers": f"{_P}, {_INDEX} SELECT paper_id, arg_min(substr(published, 1, 4), vec_id) AS year, arg_min(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), vec_id) AS norm FROM idx GROUP BY paper_id",
     "expected_rank": f"WITH {_HITS}, {_RANKS} SELECT * FROM ranks",
     "recall_preview": f"WITH {_HITS}, {_RANKS}, r AS (SELECT qid, count(rank) AS hits, count(*) AS n FROM ranks GROUP BY qid) SELECT round(avg(hits / n), 6) AS mean_recall, count(*) AS questions, count(*) FILTER (WHERE hits < n) AS missed FROM r",
@@ -142,12 +142,12 @@ SELECT stem, CASE WHEN doc_id % 6 NOT IN (0, 2) OR doc_id = 0 THEN NULL WHEN doc
     + ", ".join(f"coalesce(printf('%.2f', {c}), '—')" for c in ["grounding_violation_rate", "mean_invalid_citations", "uncited_answer_rate", "mean_retrieval_recall", "mean_expected_citation_recall", "mean_correctness", "mean_faithfulness", "mean_refusal_ok"])
     + ") || ' |' AS line FROM summed",
     "rag_vs_closed": f"{_A}, {_RUN}, {_SUMMARY} SELECT backend, max(n_scored) FILTER (WHERE condition = 'rag') AS rag, max(n_scored) FILTER (WHERE condition = 'closed_book') AS closed_book FROM summed GROUP BY backend",
-    "failure_lines": f"""{_A}, {_RUN} SELECT seq, '- [' || backend || '·' || condition || '] ' || qid || ': ' || CASE WHEN error IS NOT NULL THEN 'ERROR ' || error ELSE concat_ws('; ', CASE WHEN violation THEN CASE WHEN condition = 'closed_book' THEN 'memory cites' ELSE 'fabricated cites (not retrieved)' END || ' [''' || array_to_string(bad, ''', ''') || ''']' END, CASE WHEN correctness < 2 THEN 'correctness=' || correctness END) || coalesce(' — ' || notes, '') END AS line,
+    "failure_lines": f"""{_A}, {_RUN} SELECT seq, '- [' || backend || '·' || condition || '] ' || qid || ': ' || CASE WHEN error IS NOT NULL THEN 'ERROR ' || error ELSE concat_ws('; ', CASE WHEN violation THEN CASE WHEN condition = 'closed_book' THEN 'cited from memory' ELSE 'cited but not among the hits' END || ' [''' || array_to_string(bad, ''', ''') || ''']' END, CASE WHEN correctness < 2 THEN 'correctness=' || correctness END) || coalesce(' — ' || notes, '') END AS line,
   coalesce(scored AND violation, false) AS violation, coalesce(correctness, 9) AS correctness, CAST(CASE WHEN scored THEN n_invalid ELSE 0 END AS INTEGER) AS n_invalid FROM run WHERE error IS NOT NULL OR violation OR correctness < 2""",
     "format_passages": f"{_P}, {_HITS}, {_JOINED}, {_PASSAGES} SELECT * FROM passages",
     "prompt_rag": f"{_P}, {_HITS}, {_JOINED}, {_PASSAGES} SELECT qid, '<question>' || chr(10) || 'Q' || qid || chr(10) || '</question>' || chr(10) || chr(10) || '<passages>' || chr(10) || passages || chr(10) || '</passages>' || chr(10) || chr(10) || '{ASK_RAG}' AS prompt FROM passages",
     "prompt_closed": f"SELECT item_id, '<question>' || chr(10) || text || chr(10) || '</question>' || chr(10) || chr(10) || '{ASK_CLOSED}' AS prompt FROM benchmark",
-    "title_norm": f"SELECT doc_id, trim(regexp_replace(lower({_LEAD} || 'alpha{{X}}-' || substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents",
+    "title_norm": f"SELECT doc_id, trim(regexp_replace(lower({_LEAD} || 'alpha{{X}}-' || text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents",
     "split_year": """
 SELECT doc_id, CASE WHEN y BETWEEN 1950 AND 2099 THEN source || '  in 1985, again  end' ELSE source || '  in , again (' || y || ') end' END AS title, CASE WHEN y BETWEEN 1950 AND 2099 THEN CAST(y AS VARCHAR) ELSE '1985' END AS year
 FROM (SELECT doc_id, source, 1950 + doc_id % 200 AS y FROM documents)""",

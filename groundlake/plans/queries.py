@@ -24,8 +24,8 @@ def _vectors(spark, sf):
 
 
 def _questions(spark, sf):
-    """The first 23 vectors: the stated question set."""
-    return _vectors(spark, sf).filter("vec_id < 23").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
+    """Every vector whose id is divisible by 50: the stated question set."""
+    return _vectors(spark, sf).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
 
 
 def _hits(spark, sf):
@@ -102,7 +102,7 @@ def latex_strip(spark, sf):
     i = F.col("page_id").cast("string")
     raw = F.concat(
         F.lit("\\documentclass{a} pre % c\n\\begin{document}\n5\\% of % gone\n\\input{x}\\begin{figure*}a\nb\\end{figure*} t \\begin{table}q\\end{table}\\include{y}"),
-        F.col("url"), i, F.lit("\\bibliographystyle{p}\\bibliography{refs}\\begin{thebibliography}{9}\nz\n\\end{thebibliography} end"), F.when(F.col("page_id") % 2 == 0, "\\end{document} after").otherwise(""),
+        F.col("url"), i, F.col("html"), F.lit("\\bibliographystyle{p}\\bibliography{refs}\\begin{thebibliography}{9}\nz\n\\end{thebibliography} end"), F.when(F.col("page_id") % 2 == 0, "\\end{document} after").otherwise(""),
     )
     return table(spark, sf, "pages").select("page_id", text.latex_strip(raw).alias("body"), text.looks_like_latex(raw).alias("is_latex"))
 
@@ -260,7 +260,7 @@ def export_public(spark, sf):
 
 @query
 def export_semi(spark, sf):
-    chunks = chunk.chunk_papers(papers(spark, sf), least_words=1)
+    chunks = chunk.chunk_papers(papers(spark, sf), least_words=1).select("chunk_id", "paper_id")
     return index.of_papers(chunks, index.public_rows(_index(spark, sf))).select("chunk_id")
 
 
@@ -272,7 +272,7 @@ def export_manifest(spark, sf):
 @query
 def delta_append(spark, sf):
     old = papers(spark, sf).filter("doc_id % 2 = 0").select("paper_id", "doc_id")
-    new = papers(spark, sf).filter("doc_id % 3 = 0").select("paper_id", "doc_id")
+    new = papers(spark, sf).select("paper_id", "doc_id")
     once = old.unionByName(index.new_papers(new, old))
     return once.unionByName(index.new_papers(new, once))
 
@@ -287,7 +287,7 @@ def _ranks(spark, sf):
     """Labels stand for papers: the expected id of a question is its own label and the next."""
     e = table(spark, sf, "embeddings")
     hits = _hits(spark, sf).join(e.select("vec_id", F.col("label").cast("string").alias("paper_id")), "vec_id")
-    own = e.filter("vec_id < 23").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string"))).alias("expected_id"))
+    own = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string"))).alias("expected_id"))
     return retrieve.expected_ranks(hits, own)
 
 
@@ -354,12 +354,12 @@ def prompt_closed(spark, sf):
 
 @query
 def title_norm(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", titles.normalize_title(F.concat(F.lit("\\alpha{X}-"), F.substring("text", 1, 200))).alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", titles.normalize_title(F.concat(F.lit("\\alpha{X}-"), F.col("text"))).alias("norm"))
 
 
 @query
 def split_year(spark, sf):
-    q = F.concat(F.substring("source", 1, 9), F.lit(" (verify) in 1985, again ("), (1950 + F.col("doc_id") % 200).cast("string"), F.lit(") end"))
+    q = F.concat(F.col("source"), F.lit(" (verify) in 1985, again ("), (1950 + F.col("doc_id") % 200).cast("string"), F.lit(") end"))
     return table(spark, sf, "documents").withColumn("s", titles.split_year(q)).select("doc_id", "s.title", "s.year")
 
 
