@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -20,15 +21,23 @@ SLICE_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can write: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests, notebooks) a temporary folder is used.
+    Where a session has none, a folder of the warehouse is taken, which is shared as
+    well; only a local session's warehouse is a folder of one machine.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="groundlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
@@ -55,6 +64,8 @@ def map_columns(df: DataFrame, make, fields: list[T.StructField], carry: list[st
                 got = f(part)
                 kept = [part.column(part.schema.get_field_index(c)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*kept, *got], names=[x.name for x in schema])
+        f = part = got = kept = whole = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -74,6 +85,8 @@ def emit_rows(df: DataFrame, make, schema: T.StructType, *, rows: int = SLICE_RO
                     yield pa.RecordBatch.from_arrays(got, names=names)
         for got in end() if end else ():
             yield pa.RecordBatch.from_arrays(got, names=names)
+        f = end = got = whole = None
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -88,6 +101,33 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int) -> F.Column:
+    """A 64-bit hash of all columns of a row; two seeds give 128 bits, which tell rows apart.
+
+    Nulls are marked, in columns and within nested values.
+    """
+    marked = [F.lit(seed)]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            c = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+            marked.append(c)
+        else:
+            marked += [c.isNull(), c]
+    return F.xxhash64(*marked)
+
+
 def id_crc(col) -> F.Column:
     """crc32 of an id's decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, without, written
+from .common import WORD, row_hash, unused, written
 
 BLOCK_ROWS = 4096
 FAN = 64
@@ -51,7 +51,7 @@ def _round_block(seed: int, level: int):
     """Rounds one block in key order; at most one row keeps a fraction."""
 
     def run(keys, block):
-        block = block.sort_values(["key", "size", "frac"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["key", "key_2", "nth"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(keys[-1]) & 0xFFFFFFFF, len(block), int(block.key.iloc[0]) & 0xFFFFFFFF])
         draws = rng.random(len(block)).tolist()
         size, frac = block["size"].tolist(), block["frac"].tolist()
@@ -98,34 +98,34 @@ def _round_block(seed: int, level: int):
 def mix_plan(docs: DataFrame, *, weights=(3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each row of ``docs``.
 
-    Returns ``<id>, row_hash, source, size, source_size, target, copies, taken``.
+    Returns ``<id>, row_hash, row_hash_2, source, size, source_size, target, copies, taken``.
     Null texts have size 0; a null source is a source of its own, the last one. Rows
     without words follow an independent draw with the same expectation. Repeated rows
-    are rounded each on its own; an empty table gives an empty plan. Other columns are
-    only read to tell rows apart. The same rows give the same plan, however they are
-    partitioned.
+    are counted, numbered and rounded each on its own; an empty table gives an empty plan.
+    Other columns are only read to tell rows apart, by 128 bits that mark nulls. The same
+    rows give the same plan, however they are partitioned.
     """
-    spark = docs.sparkSession
-    sizes = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-            F.col(source_col).isNull().alias("src_null"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
+    each = docs.select(
+        F.col(id_col).alias("id"),
+        row_hash(docs, 0).alias("key"),
+        row_hash(docs, 1).alias("key_2"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
+        F.col(source_col).isNull().alias("src_null"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    # equal rows are summed before they meet, then numbered, so that they fall into many blocks
+    same = each.groupBy(*each.columns).agg(F.count("*").alias("times"))
+    sizes = written(same.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).drop("times"), "mix-sizes")
     targets = written(source_targets(sizes, tuple(weights), budget, cap), "mix-targets")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS))
     most = targets.agg(F.max(blocks)).first()[0] or 1
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = sizes.join(targets, ["src", "src_null"]).withColumn("ratio", ratio)
     state = rated.select(
-        "src", "src_null", "id", "key", "size", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("frac"), F.pmod(F.xxhash64("key", F.lit(seed)), blocks).alias("block"), F.lit(0).alias("copies")
+        "src", "src_null", "id", "key", "key_2", "nth", "size", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("frac"), F.pmod(F.xxhash64("key", "nth", F.lit(seed)), blocks).alias("block"), F.lit(0).alias("copies")
     )
     # a block's residual climbs; what a level settles stays with that level
-    fields = f"src string, src_null boolean, id {docs.schema[id_col].dataType.simpleString()}, key long, size long, base int, frac double, block long, copies int"
+    fields = f"src string, src_null boolean, id {docs.schema[id_col].dataType.simpleString()}, key long, key_2 long, nth int, size long, base int, frac double, block long, copies int"
     settled, level = [], 0
     while True:
         done = written(state.groupBy("src", "src_null", "block").applyInPandas(_round_block(seed, level), fields), f"mix-level{level}")
@@ -136,7 +136,7 @@ def mix_plan(docs: DataFrame, *, weights=(3.0, 1.0, 2.0), budget: float = 1.5, c
         level += 1
         if most <= 1:
             break
-    last = F.when(F.pmod(F.xxhash64("key", F.lit(seed), F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < F.col("frac"), 1).otherwise(0)
+    last = F.when(F.pmod(F.xxhash64("key", "nth", F.lit(seed), F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < F.col("frac"), 1).otherwise(0)
     settled.append(state.withColumn("copies", (F.col("base") + last).cast("int")))
     counts = settled[0]
     for x in settled[1:]:
@@ -145,6 +145,7 @@ def mix_plan(docs: DataFrame, *, weights=(3.0, 1.0, 2.0), budget: float = 1.5, c
     return whole.select(
         F.col("id").alias(id_col),
         F.col("key").alias("row_hash"),
+        F.col("key_2").alias("row_hash_2"),
         F.when(~F.col("src_null"), F.col("src")).alias("source"),
         "size",
         "source_size",
@@ -156,8 +157,10 @@ def mix_plan(docs: DataFrame, *, weights=(3.0, 1.0, 2.0), budget: float = 1.5, c
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as :func:`mix_plan` takes it, columns unchanged."""
-    plan = mix_plan(docs, **options).groupBy("row_hash").agg(F.sum("copies").cast("int").alias("_copies"))
-    keyed = without(docs, "_copies", "_nth").withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_nth = 1")
-    many = once.join(plan.withColumnRenamed("row_hash", "_key"), "_key").filter("_copies > 0")
-    return many.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    *keys, copies, nth = unused(docs, "_key", "_key_2", "_copies", "_nth")
+    named = mix_plan(docs, **options).withColumnsRenamed(dict(zip(("row_hash", "row_hash_2"), keys)))
+    plan = named.groupBy(*keys).agg(F.sum("copies").cast("int").alias(copies))
+    keyed = docs.withColumns({k: row_hash(docs, seed) for seed, k in enumerate(keys)})
+    once = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))).filter(F.col(nth) == 1)
+    many = once.join(plan, keys).filter(F.col(copies) > 0)
+    return many.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
