@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import column, emit_rows, map_columns, without
 
 WIDTH = 64
 FRAME_ROWS = 1024
+#: A file that declares a larger canvas or frame is not decoded.
+MAX_PIXELS = 1 << 26
 DELAY_CS = 10
 GREY = bytes(x for i in range(256) for x in (i, i, i))
 _BITS = np.arange(12, dtype=np.uint16)
@@ -150,11 +153,13 @@ def write_gif(frames: list[Frame], width: int, height: int) -> bytes:
     return b"".join(out) + b"\x3b"
 
 
-def read_gif(file: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames of a GIF file."""
+def read_gif(file: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Width, height and frames of a GIF file; ``ValueError`` if it is none, or declares a larger image."""
     if file[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags = struct.unpack_from("<HHB", file, 6)
+    if width * height > max_pixels:
+        raise ValueError("a canvas beyond the limit")
     at, shared = 13, b""
     if flags & 0x80:
         size = 3 << (flags & 7) + 1
@@ -177,6 +182,8 @@ def read_gif(file: bytes) -> tuple[int, int, list[Frame]]:
                 control = (packed >> 2 & 7, delay, index if packed & 1 else None)
             continue
         left, top, w, h, flags = struct.unpack_from("<HHHHB", file, at + 1)
+        if w * h > max_pixels:
+            raise ValueError("a frame beyond the limit")
         at, palette = at + 10, shared
         if flags & 0x80:
             size = 3 << (flags & 7) + 1
@@ -231,60 +238,84 @@ def payload_gif(payload: bytes) -> bytes:
     return write_gif(frames, WIDTH, frames[0].height)
 
 
+def shown_frames(file: bytes, max_pixels: int = MAX_PIXELS):
+    """Frame, milliseconds at which it is shown, canvas and 16-bin histograms of red, green, blue.
+
+    Fully transparent pixels count in no histogram.
+    """
+    width, height, frames = read_gif(file, max_pixels)
+    start = 0
+    for frame, canvas in zip(frames, render(width, height, frames)):
+        seen = canvas[canvas[:, :, 3] > 0] >> 4
+        yield frame, start, canvas, [np.bincount(seen[:, c], minlength=16).tolist() for c in range(3)]
+        start += 10 * frame.delay_cs
+
+
 def gif_payload(file: bytes) -> bytes:
-    """The samples read back: each frame's colours by its palette, red channel."""
-    return b"".join(f.samples.translate(f.palette[::3].ljust(256, b"\0")) for f in read_gif(file)[2])
+    """The payload read back: the red of each frame's own area, as it is shown."""
+    return b"".join(canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f, _, canvas, _ in shown_frames(file))
 
 
 def store_texts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_bytes, gif, payload, histogram``; the payload is read back from ``gif``.
+    """``docs`` with ``n_bytes, gif, payload, frames``; payload and frames are read back from ``gif``.
 
     A null or empty text is one row of zeros. Long texts take more frames, never a cut.
-    ``histogram`` counts the read samples in 16 equal bins of brightness. Columns of
-    these names are replaced, others stay; nothing depends on other rows.
+    The file is decoded and rendered: ``frames`` has ``start_ms, delay_ms, hist_r, hist_g,
+    hist_b`` of each timed frame, 16 bins a colour. Columns of these names are replaced,
+    others stay; nothing depends on other rows; an empty table gives none.
     """
-    docs = without(docs, "n_bytes", "gif", "payload", "histogram")
-    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("gif", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("histogram", T.ArrayType(T.LongType()))]
+    docs = without(docs, "n_bytes", "gif", "payload", "frames")
+    schema = T.StructType.fromDDL("n_bytes long, gif binary, payload binary, frames array<struct<start_ms: long, delay_ms: long, hist_r: array<long>, hist_g: array<long>, hist_b: array<long>>>")
+    fields, kinds = schema.fields, to_arrow_schema(schema).types
 
     def make():
         def f(batch):
-            sizes, files, payloads, bins = [], [], [], []
+            out: list[list] = [[], [], [], []]
             for text in column(batch, text_col):
-                sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
-                files.append(payload_gif(text_payload(text)))
-                payloads.append(gif_payload(files[-1]))
-                bins.append(np.bincount(np.frombuffer(payloads[-1], dtype=np.uint8) >> 4, minlength=16).tolist())
-            return [pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(payloads, pa.binary()), pa.array(bins, pa.list_(pa.int64()))]
+                file, parts, shown = payload_gif(text_payload(text)), [], []
+                for x, start, canvas, (r, g, b) in shown_frames(file):
+                    parts.append(canvas[x.top : x.top + x.height, x.left : x.left + x.width, 0].tobytes())
+                    shown.append({"start_ms": start, "delay_ms": 10 * x.delay_cs, "hist_r": r, "hist_g": g, "hist_b": b})
+                for held, value in zip(out, (len((text or "").encode("utf-8", "surrogatepass")), file, b"".join(parts), shown)):
+                    held.append(value)
+            return [pa.array(x, k) for x, k in zip(out, kinds)]
 
         return f
 
     return map_columns(docs, make, fields, docs.columns)
 
 
-FRAME_FIELDS = "frame int, start_ms long, delay_ms long, disposal int, width int, height int, rgba binary, hist_r array<long>, hist_g array<long>, hist_b array<long>"
+FRAME_FIELDS = "frame int, start_ms long, delay_ms long, disposal int, width int, height int, rgba binary, hist_r array<long>, hist_g array<long>, hist_b array<long>, error string"
 
 
-def decode_frames(files: DataFrame, *, id_col: str = "doc_id", gif_col: str = "gif") -> DataFrame:
+def decode_frames(files: DataFrame, *, id_col: str = "doc_id", gif_col: str = "gif", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row per frame of each GIF: when it is shown, its rendered pixels, 16-bin colour histograms.
 
-    Fully transparent pixels count in no histogram. A null file has no frames; a broken
-    one raises.
+    Fully transparent pixels count in no histogram. A null file has no frames. An empty
+    or broken file, or one that declares more than ``max_pixels``, has a row with ``error``
+    after the frames before it. Other columns are not read; an empty table gives none.
     """
     schema = T.StructType([files.schema[id_col], *T.StructType.fromDDL(FRAME_FIELDS)])
+    kinds = to_arrow_schema(T.StructType.fromDDL(FRAME_FIELDS)).types
 
     def make():
         def f(batch):
             for key, file in zip(batch.column(batch.schema.get_field_index(id_col)), column(batch, gif_col)):
                 if file is None:
                     continue
-                width, height, frames = read_gif(file)
-                start = 0
-                for i, (frame, canvas) in enumerate(zip(frames, render(width, height, frames))):
-                    seen = canvas[canvas[:, :, 3] > 0]
-                    hists = [np.bincount(seen[:, c] >> 4, minlength=16).tolist() for c in range(3)]
-                    row = [i, start, 10 * frame.delay_cs, frame.disposal, width, height, canvas.tobytes(), *hists]
-                    yield [pa.array([key.as_py()], key.type), *(pa.array([v], k) for v, k in zip(row, [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]))]
-                    start += 10 * frame.delay_cs
+                found, i = shown_frames(file, max_pixels), 0
+                while True:
+                    try:
+                        frame, start, canvas, hists = next(found)
+                        row = [i, start, 10 * frame.delay_cs, frame.disposal, canvas.shape[1], canvas.shape[0], canvas.tobytes(), *hists, None]
+                    except StopIteration:
+                        break
+                    except (ValueError, IndexError, struct.error) as e:
+                        row = [i, *[None] * 9, str(e) or type(e).__name__]
+                    yield [pa.array([key.as_py()], key.type), *(pa.array([v], k) for v, k in zip(row, kinds))]
+                    if row[-1] is not None:
+                        break
+                    i += 1
 
         return f, None
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, emit_rows, id_crc, map_columns, without
+from .common import column, emit_rows, id_crc, map_columns, unused, without
 
 UNKNOWN = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def fit_profiles(docs: DataFrame, *, per_language: int = 1000, size: int = 300,
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     counts = emit_rows(sample.select("_lang", "_text"), make, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram"))
     top = counts.withColumn("r", place).filter(F.col("r") <= size).collect()
     lists: dict[str, list[int]] = {}
     for r in sorted(top, key=lambda r: r["r"]):
@@ -158,7 +158,14 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
     return F.pmod(id_crc(F.col(id_col)), F.lit(folds)) == 0
 
 
-def drop_unidentified(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` less those in which no language can be told; columns unchanged."""
-    profiles = fit_profiles(docs.filter(~held_out()), **options)
-    return identify(docs, profiles).filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_unidentified(docs: DataFrame, *, lang_col: str = "lang", **options) -> DataFrame:
+    """``docs`` less those in which no language can be told; a null label becomes the language told.
+
+    Columns and given labels are unchanged.
+    """
+    profiles = fit_profiles(docs.filter(~held_out()), lang_col=lang_col, **options)
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
+    names = dict(zip(clash, unused(docs, *clash)))
+    told = identify(docs.withColumnsRenamed(names), profiles, text_col=options.get("text_col", "text")).filter(F.col("lang_pred") != UNKNOWN)
+    given = {c: F.col(f"`{names.get(c, c)}`") for c in docs.columns}
+    return told.select(*[(F.coalesce(x, "lang_pred") if c == lang_col else x).alias(c) for c, x in given.items()])

@@ -195,4 +195,4 @@ def repair(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     parts = map_columns(both, renders, fields, ["_conv", "_seg", "cost"])
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_seg", "_part"))), lambda s: s["_part"]), "")
     counts = [F.sum(F.get("_counts", F.lit(i))).alias(c) for i, c in enumerate(("n_out", "n_merged", "n_relabelled", "n_inserted"))]
-    return parts.groupBy("_conv").agg(F.sum("_n").alias("n_turns"), F.first("cost").alias("cost"), *counts, F.substring(whole, 2, 1 << 30).alias("rendered")).withColumnRenamed("_conv", conv_col)
+    return parts.groupBy("_conv").agg(F.sum("_n").alias("n_turns"), F.first("cost").alias("cost"), *counts, F.substr(whole, F.lit(2)).alias("rendered")).withColumnRenamed("_conv", conv_col)

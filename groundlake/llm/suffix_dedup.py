@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collect_blobs, column, emit_rows, map_columns, without, written
+from .common import collect_blobs, column, emit_rows, map_columns, row_hash, without, written
 from .induced_sort import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -293,20 +293,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     table gives an empty result. Ids are integers. ``limit`` bounds, in bytes, what is
     broadcast (shared anchors; covered spans); above it both are joined.
     """
-    docs = without(docs, "kept", "removed", "n_bytes", "_class", "_doc", "_tie", "_row", "_first", "_text")
+    docs = without(docs, "kept", "removed", "n_bytes", "_class", "_doc", "_tie", "_row", "_first", "_text", "_check")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({
         "_text": text,
         "_class": F.xxhash64(text),
+        "_check": F.xxhash64(F.lit(1), text),
         "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
-        "_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]),
+        "_row": row_hash(docs, 0),
     }).withColumn("_tie", F.col("_class"))
     # of equal texts the earliest stands for all; the rest go whole
-    short = keyed.select("_class", F.length(F.col("_text").cast("binary")).alias("_n"), "_doc", "_row")
-    classes = short.groupBy("_class").agg(F.min(F.struct("_doc", "_row")).alias("m"), F.count("*").alias("c"), F.first("_n").alias("_n"))
-    many = written(classes.filter(F.col("c") > 1).select("_class", F.col("m._row").alias("_first"), "_n"), "repeat-copies")
+    short = keyed.select("_class", F.length(F.col("_text").cast("binary")).alias("_n"), "_doc", "_row", "_check")
+    classes = short.groupBy("_class", "_check").agg(F.min(F.struct("_doc", "_row")).alias("m"), F.count("*").alias("c"), F.first("_n").alias("_n"))
+    many = written(classes.filter(F.col("c") > 1).select("_class", "_check", F.col("m._row").alias("_first"), "_n"), "repeat-copies")
     shared = written(shared_anchors(keyed), "repeat-anchors")
-    copies = short.join(many.drop("_n"), "_class")
+    copies = short.join(many.drop("_n"), ["_class", "_check"])
     same = written(copies.filter(F.col("_row") == F.col("_first")).groupBy("_row").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("_row").alias("row"), F.col("k")), "repeat-twins")
     twins = same.limit(1).count() > 0
     # rows equal in everything: only one of them can be the first
