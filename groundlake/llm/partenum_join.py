@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
-Sets of size bands that can reach the similarity differ in at most ``k`` elements. The
-feature domain is partitioned into more than ``k`` parts, so one part at least is equal
-in both sets, and each set's signatures are its non-empty parts, enumerated part by part
-(``n1 > k`` first-level parts, subsets of size one below them). As linked sets share more
-than one part, each leaves out its most frequent signatures, those that a passage common
-to many documents makes. Sets sharing a signature are compared exactly.
+Linked sets of one size band differ in at most ``k`` elements. The feature domain is
+partitioned into ``n1`` parts of ``n2`` parts each. As a difference of ``k`` cannot reach
+``k2 + 1`` elements in every first-level part, some part holds ``k2`` of them at most, and
+then ``n2 - k2`` of its second-level parts are equal in both sets. A set's signatures are
+therefore all subsets of ``n2 - k2`` second-level parts of each first-level part, so that
+linked sets share one for certain. Sets sharing a signature are compared exactly, first
+with a few hubs of each group in rounds of linear size, then, where a group is still in
+several components, block against block inside a task.
 
 Before that, equal sets become one class, and a class stays in the join only if enough of
 its prefix (under one global order of the features, common ones last) occurs in another
@@ -14,7 +16,7 @@ class' prefix, which any partner implies. Both steps lose nothing.
 
 from __future__ import annotations
 
-import math
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +26,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, emit_rows, written
+from .common import column, emit_rows, row_hash, unused, written
 from .components import components
 
 U = np.uint64
 SHINGLE = 5
 NUM, DEN = 4, 5  # similarity of at least 4/5
-BINS = 128
 COMMON = 1 << 17
 SAMPLE_DOCS = 10_000
 BROADCAST_ROWS = 1 << 20
+#: Sets, and bytes of sets, of one block.
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
+#: Rounds of hubs before groups are compared block against block.
+ROUNDS = 2
+#: Pairs of a block that are looked at together.
+AT_ONCE = 1 << 17
 _P = [U(2 * p + 1) for p in (0x4F1BBCDCBFA53E0A, 0x61C8864680B583EA, 0x0B2D8CB394F33CFC, 0x13F6A9780B3ABFE2, 0x42E1B56F3AF43A5D)]
 
 
@@ -47,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct word shingles of texts as sorted 64-bit hashes; words are hashed once while remembered."""
 
-    def __init__(self, width: int = SHINGLE, remember: int = 300_000):
+    def __init__(self, width: int = SHINGLE, remember: int = 150_000):
         self.width, self.remember, self.known = width, remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -127,7 +134,8 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-_SCAN = "token long, set long, known int, add long, h2 long, row long, doc long, n long"
+_SCAN = "token long, set long, known int, add long, h2 long, row long, two long, doc long, n long"
+_COUNTED = ["set", "add", "h2", "row", "two", "doc", "n"]
 
 
 def scan_sets(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
@@ -142,7 +150,7 @@ def scan_sets(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
         shingler, common = Shingler(), shared.value
 
         def f(batch):
-            rows, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_doc"))
+            rows, two, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("_row", "_two", "_doc"))
             keys, sizes, tokens, owners = [], [], [], []
             for text in column(batch, text_col):
                 s = shingler(text)
@@ -155,7 +163,7 @@ def scan_sets(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
             n = len(keys)
             none = lambda k, kind: pa.nulls(k, kind)
             h1 = pa.array([k[0] for k in keys], pa.int64())
-            yield [rows, h1, none(n, pa.int32()), none(n, pa.int64()), pa.array([k[1] for k in keys], pa.int64()), rows, ids, pa.array(sizes, pa.int64())]
+            yield [rows, h1, none(n, pa.int32()), none(n, pa.int64()), pa.array([k[1] for k in keys], pa.int64()), rows, two, ids, pa.array(sizes, pa.int64())]
             if not tokens:
                 return
             token, owner = np.concatenate(tokens).view(np.int64), np.concatenate(owners)
@@ -170,61 +178,56 @@ def scan_sets(docs: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
             many = np.bincount(group) > 1
             inside = many[group]
             k = int(start.sum())
-            yield [pa.array(token[start]), pa.array(owner[start]), pa.array(many.astype(np.int32)), *[none(k, pa.int64())] * 5]
+            yield [pa.array(token[start]), pa.array(owner[start]), pa.array(many.astype(np.int32)), *[none(k, pa.int64())] * 6]
             if inside.any():
                 sets, counts = np.unique(owner[inside], return_counts=True)
                 k = len(sets)
-                yield [pa.array(sets), pa.array(sets), none(k, pa.int32()), pa.array(counts), *[none(k, pa.int64())] * 4]
+                yield [pa.array(sets), pa.array(sets), none(k, pa.int32()), pa.array(counts), *[none(k, pa.int64())] * 5]
 
         return f, None
 
-    return emit_rows(docs.select("_row", "_doc", text_col), make, T.StructType.fromDDL(_SCAN), rows=4096)
+    return emit_rows(docs.select("_row", "_two", "_doc", text_col), make, T.StructType.fromDDL(_SCAN), rows=4096)
 
 
 def _count_shared(batches):
-    """Over rows sorted by token and set: adds one to every set of a token that two sets hold."""
-    names = ["set", "add", "h2", "row", "doc", "n"]
-    kinds = [pa.int64()] * 6
-    carry = None
-    for b in [*_chained(batches), None]:
+    """Over rows sorted by token and set: adds one to every set of a token that two sets hold.
+
+    Only the last token and set are carried from batch to batch, and whether another set
+    has the token, so a token of any number of sets takes no memory.
+    """
+    kinds = [pa.int64()] * len(_COUNTED)
+    carry, held_before = None, False
+    for b in chain(batches, [None]):
         if b is not None:
             get = lambda c: b.column(b.schema.get_field_index(c))
             other = get("known").is_null()
             if (passing := b.filter(other)).num_rows:
-                yield pa.RecordBatch.from_arrays([passing.column(passing.schema.get_field_index(c)) for c in names], names=names)
+                yield pa.RecordBatch.from_arrays([passing.column(passing.schema.get_field_index(c)) for c in _COUNTED], names=_COUNTED)
             rows = b.filter(pa.compute.invert(other))
             token, owner, known = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("token", "set", "known"))
             if carry is not None:
                 token, owner, known = (np.concatenate(x) for x in zip(carry, (token, owner, known)))
-            if not len(token):
-                continue
-            end = int(np.searchsorted(token, token[-1], side="left"))
         elif carry is None:
             return
         else:
             token, owner, known = carry
-            end = len(token)
-        carry = (token[end:], owner[end:], known[end:])
-        token, owner, known = token[:end], owner[:end], known[:end]
-        if not end:
+        if not len(token):
             continue
-        pair = np.ones(end, dtype=bool)
+        pair = np.ones(len(token), dtype=bool)
         pair[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(pair)
-        known = np.maximum.reduceat(known, at)
-        token, owner = token[at], owner[at]
+        token, owner, known = token[at], owner[at], np.maximum.reduceat(known, at)
         start = np.ones(len(token), dtype=bool)
         start[1:] = token[1:] != token[:-1]
         group = np.cumsum(start) - 1
         held = (np.bincount(group) > 1) | (np.maximum.reduceat(known, np.flatnonzero(start)) > 0)
-        found = owner[held[group] & (known == 0)]
+        held[0] |= held_before
+        end = len(token) - (b is not None)
+        found = owner[:end][held[group[:end]] & (known[:end] == 0)]
         if len(found):
             sets, counts = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(counts), *[pa.nulls(len(sets), k) for k in kinds[2:]]], names=names)
-
-
-def _chained(batches):
-    yield from batches
+            yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(counts), *[pa.nulls(len(sets), k) for k in kinds[2:]]], names=_COUNTED)
+        carry, held_before = (token[end:], owner[end:], known[end:]), bool(held[-1])
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -239,53 +242,94 @@ def bands(n: int) -> list[tuple[int, int]]:
         below, lo, level = (level, k), hi, level + 1
 
 
-def parts_for(k: int) -> tuple[int, int]:
-    """``(n1, rounds)``: parts and independent partitionings so that an equal non-empty part exists.
+#: First-level parts beyond those that a difference of k needs: so many parts agree, one more, in linked sets.
+SPARE = 2
 
-    Only non-empty parts become signatures. Linked sets have 4k elements in common at
-    least; the chance that all fall into the k parts that differ is below 1e-9.
-    """
-    if k >= 20:
-        return math.ceil(1.4 * k) + 1, 1
-    if k >= 10:
-        return 2 * k + 1, 1
-    if k >= 5:
-        return 3 * k + 1, 1
-    return 3 * k + 1, {4: 2, 3: 2, 2: 3, 1: 5}[k]
 
+def layout(k: int) -> tuple[int, int, int]:
+    """``(n1, n2, k2)``: parts, parts within each, and how many of these may differ."""
+    if k < 4:
+        return k + 1 + SPARE, 1, 0
+    return k // 2 + 1 + SPARE, 4, 1
 
-_memo: dict[int, list[tuple[int, int, int, int]]] = {}
-#: The low bits of a signature tell its partitioning.
+
+_memo: dict[int, list[tuple]] = {}
+#: The low bits of a signature tell its size band.
 TAG_BITS = 10
 
 
-def signatures(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of a set of hashed elements, and how many of their partitioning may go.
+def signatures(shingles: np.ndarray) -> np.ndarray:
+    """PartEnum signatures of a set of hashed elements.
 
-    Of m non-empty parts a linked set shares m - k at least. So the rarest k + 1 of them
-    are enough, and the m - k - 1 most frequent ones can be left out.
+    In ``n1 - k // (k2 + 1)`` parts at least, linked sets share a signature. Signatures
+    without elements are left out if a set has them in fewer parts than that: then a
+    part remains in which what it shares has elements, whatever the partner leaves out.
+    Sets with more of them (tiny ones) keep all.
     """
     n = len(shingles)
     plan = _memo.get(n)
     if plan is None:
-        plan = _memo[n] = [(level, k, *parts_for(k)) for level, k in bands(n) if k > 0]
-    out, spare = [], []
-    for level, k, n1, rounds in plan:
-        for r in range(rounds):
-            tag = level * 8 + r
-            salt = U((tag + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-            spread = mix(shingles + salt)
-            part = (spread % U(n1)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(spread[order], at)
-            h = mix(sums + (part[at].astype(U) + U(1)) * U(0xD6E8FEB86659FD93) + salt)
-            out.append(h >> U(TAG_BITS) << U(TAG_BITS) | U(tag))
-            spare.append(np.full(len(at), max(0, len(at) - k - 1), dtype=np.int32))
-    if not out:
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32)
-    return np.concatenate(out), np.concatenate(spare)
+        plan = []
+        for level, k in bands(n):
+            if k > 0:
+                n1, n2, k2 = layout(k)
+                subsets = np.array([np.isin(np.arange(n2), x) for x in combinations(range(n2), n2 - k2)]).T
+                salt = U((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+                plan.append((level, n1, n2, n1 - k // (k2 + 1), subsets.astype(U), salt, mix(np.arange(1, n1 * n2 + 1, dtype=U) * U(0xD6E8FEB86659FD93) + salt)))
+        _memo[n] = plan
+    out = [np.zeros(0, dtype=U)]
+    for level, n1, n2, agree, subsets, salt, names in plan:
+        spread = mix(shingles + salt)
+        slot = (spread % U(n1 * n2)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        at = np.searchsorted(slot[order], np.arange(n1 * n2 + 1))
+        total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(spread[order], dtype=U)))
+        part = mix(total[at[1:]] - total[at[:-1]] + names).reshape(n1, n2)
+        sums = (part[:, :, None] * subsets).sum(1, dtype=U)
+        h = mix(sums + np.arange(1, subsets.shape[1] + 1, dtype=U) * salt)
+        h = h >> U(TAG_BITS) << U(TAG_BITS) | U(level)
+        some = np.diff(at).reshape(n1, n2) @ subsets.astype(np.int64) > 0
+        out.append(h[some] if int((~some).any(1).sum()) < agree else h.ravel())
+    return np.concatenate(out)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the elements over 8 n bins or more, a power of two, as packed bits.
+
+    Two sets differ in as many elements at least as their sketches do in bits; a longer
+    sketch folds to a shorter one.
+    """
+    bits = max(64, 1 << (8 * len(shingles) - 1).bit_length())
+    odd = np.bincount(((shingles >> U(20)) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def near_pairs(sizes: np.ndarray, sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``a[i], b[i]`` of sets may link, by sizes and sketches; no linked pair is missed."""
+    ok = NUM * np.maximum(sizes[a], sizes[b]) <= DEN * np.minimum(sizes[a], sizes[b])
+    width = np.array([len(x) // 8 for x in sketches])
+    held = {w: np.frombuffer(b"".join(x for x in sketches if len(x) == 8 * w), dtype=U).reshape(-1, w) for w in np.unique(width).tolist()}
+    place = np.zeros(len(width), dtype=np.int64)
+    for w in held:
+        place[width == w] = np.arange(len(held[w]))
+    for u in held:
+        for v in held:
+            at = np.flatnonzero(ok & (width[a] == u) & (width[b] == v))
+            w = min(u, v)
+            x, y = _folded(held[u], w), _folded(held[v], w)
+            step = max(1, (1 << 20) // w)
+            for lo in range(0, len(at), step):
+                i = at[lo : lo + step]
+                differ = np.bitwise_count(x[place[a[i]]] ^ y[place[b[i]]]).sum(1, dtype=np.int64)
+                ok[i] = (DEN + NUM) * differ <= sizes[a[i]] + sizes[b[i]]
+    return ok
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -294,25 +338,110 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link. Sizes and bin counts, lower bounds of the difference, go first."""
-    light = sets.select("set", "n", "bins")
-    sized = pairs.join(light.toDF("a", "na", "ba"), "a").join(light.toDF("b", "nb", "bb"), "b").filter(F.greatest("na", "nb") * NUM <= F.least("na", "nb") * DEN)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by matrix products over their elements."""
+    sizes = [len(x) for x in (*left, *right)]
+    flat, owner = np.concatenate([*left, *right]), np.repeat(np.arange(len(sizes)), sizes)
+    values, name = np.unique(flat, return_inverse=True)
+    first = owner < len(left)
+    met = (np.bincount(name[first], minlength=len(values)) > 0) & (np.bincount(name[~first], minlength=len(values)) > 0)
+    name, owner = (np.cumsum(met) - 1)[name[met[name]]], owner[met[name]]
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    for lo in range(0, int(met.sum()), 4096):
+        part = slice(*np.searchsorted(name, (lo, lo + 4096)))
+        held = np.zeros((len(sizes), 4096), dtype=np.float32)
+        held[owner[part], name[part] - lo] = 1
+        both += np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return both
+
+
+def _cells(rows: DataFrame, sets: DataFrame, carried: str, size: F.Column) -> DataFrame:
+    """``unit, i, j, x, set, label, n, <carried>``: all pairs of blocks of each unit's sets, sorted.
+
+    ``rows`` has ``unit, set, label, n``. A unit's sets are dealt to blocks of some
+    ``BLOCK`` sets or ``BLOCK_BYTES``, and each pair of blocks is one small group.
+    """
+    sizes = rows.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    x = F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "unit").withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("unit", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "set", "label", "n")
+    return cells.join(sets.select("set", carried), "set").select("unit", "i", "j", "x", "set", "label", "n", carried).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "x")
+
+
+def _whole_cells(batches):
+    """The same rows as tables that end where a cell ends."""
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            part = whole.slice(at, 2048)
+            cell = np.column_stack([part.column(c).to_numpy() for c in range(3)])
+            new = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+            before = [c[held[-1].num_rows - 1].as_py() for c in held[-1].columns[:3]] if held else []
+            if held and before != cell[0].tolist():
+                yield pa.Table.from_batches(held)
+                held = []
+            end = int(new[-1]) if len(new) else 0
+            if end:
+                yield pa.Table.from_batches([*held, part.slice(0, end)])
+                held = []
+            held.append(part.slice(end))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_across(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of sets of one unit and different labels that may link by their sketches."""
+
+    def run(batches):
+        for t in _whole_cells(batches):
+            unit, i, j, x, ids, label, size = (t.column(c).to_numpy() for c in range(7))
+            ids, at = np.unique(ids, return_inverse=True)
+            first = np.zeros(len(ids), dtype=np.int64)
+            first[at] = np.arange(len(at))
+            sketches, sizes, n = t.column(7).take(pa.array(first)).to_pylist(), size[first], len(at)
+            new = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            ends = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+            pairs = ends - np.arange(n) - 1
+            cut = np.searchsorted(np.cumsum(pairs), np.arange(0, pairs.sum() + AT_ONCE, AT_ONCE))
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                r = np.arange(lo, hi if hi < cut[-1] else n)
+                if not (total := int(pairs[r].sum())):
+                    continue
+                a = np.repeat(r, pairs[r])
+                b = a + 1 + np.arange(total) - np.repeat(np.cumsum(pairs[r]) - pairs[r], pairs[r])
+                fit = (label[a] != label[b]) & ((i[a] == j[a]) | (x[a] != x[b]))
+                a, b = at[a[fit]], at[b[fit]]
+                key = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+                a, b = key // len(ids), key % len(ids)
+                ok = near_pairs(sizes, sketches, a, b)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
+
+    return _cells(rows, sets, "sketch", F.col("n") * 2).mapInArrow(run, "a long, b long").distinct()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, *, near: bool = False) -> DataFrame:
+    """The pairs ``a, b`` that link; unless they are known to be near, sizes and sketches go first."""
+    schema = T.StructType.fromDDL("a long, b long")
+    if not near:
+        light = sets.select("set", "n", "sketch")
+        sized = pairs.join(light.toDF("a", "na", "xa"), "a").join(light.toDF("b", "nb", "xb"), "b").filter(F.greatest("na", "nb") * NUM <= F.least("na", "nb") * DEN)
 
-    def near():
-        def f(batch):
-            x, y = (np.frombuffer(b"".join(column(batch, c)), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("ba", "bb"))
-            sizes = np.array(column(batch, "na")) + np.array(column(batch, "nb"))
-            ok = pa.array(9 * np.abs(x - y).sum(1) <= sizes)
-            part = batch.filter(ok)
-            yield [part.column(part.schema.get_field_index(c)) for c in ("a", "b")]
+        def close():
+            def f(batch):
+                k = batch.num_rows
+                sizes = np.array(column(batch, "na") + column(batch, "nb"))
+                ok = near_pairs(sizes, column(batch, "xa") + column(batch, "xb"), np.arange(k), k + np.arange(k))
+                part = batch.filter(pa.array(ok))
+                yield [part.column(part.schema.get_field_index(c)) for c in ("a", "b")]
 
-        return f, None
+            return f, None
 
-    schema = T.StructType.fromDDL("a long, b long")
-    left = written(emit_rows(sized, near, schema, rows=4096), "join-candidates")
+        pairs = written(emit_rows(sized, close, schema, rows=2048), "join-candidates")
     whole = sets.select("set", "shingles")
-    full = left.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
+    full = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
 
     def exact():
         def f(batch):
@@ -325,126 +454,172 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(emit_rows(full, exact, schema), "join-links")
 
 
-def _all_pairs(needed: DataFrame) -> DataFrame:
-    """Every pair ``a < b`` of sets that share a signature.
+def _pair(a: str, b: str) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    A signature's sets are dealt to blocks of some ``BLOCK``; a task joins two blocks,
-    and each pair of sets meets in one pair of blocks.
-    """
-    sizes = needed.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = needed.join(sizes, "sig").withColumn("x", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    left = dealt.select("sig", F.col("x").alias("i"), F.explode(F.sequence("x", F.col("blocks") - 1)).alias("j"), F.col("set").alias("l"))
-    right = dealt.select("sig", F.explode(F.sequence(F.lit(0), F.col("x"))).alias("i"), F.col("x").alias("j"), F.col("set").alias("r"))
-    met = left.join(right, ["sig", "i", "j"]).filter("i < j OR l < r")
-    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-
-
-def _joining_links(needed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links enough for the components, not all of them."""
-    hubs = needed.groupBy("sig").agg(F.min("set").alias("hub"), F.max("set").alias("last")).filter("hub < last").drop("last")
-    shared = written(needed.join(hubs, "sig"), "join-shared")
-
-    # every set against the first of its group
-    first = shared.filter("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    links = _verify(first, sets)
-    roots = components(links)
-    # groups still in several components: all their pairs across components
-    named = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "hub", F.coalesce("root", "set").alias("root"))
-    split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    # most sets of a group share one root: the others meet all, those meet only the others
-    open_ = written(named.join(split, "sig"), "join-open")
-    sizes = open_.groupBy("sig", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    marked = open_.join(main, "sig")
-    outside = marked.filter("root <> main").select("sig", F.col("set").alias("a"), F.col("root").alias("ra"))
-    inside = marked.select("sig", F.col("set").alias("b"), F.col("root").alias("rb"), "hub", "main")
-    cross = outside.join(inside, "sig").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-    more = _verify(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    return links.unionByName(more)
-
-
-def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every_link: bool = True) -> DataFrame:
-    """``<id>, row_hash, n_shingles, set_id, n_links, component_id`` for every row of ``docs``.
 
-    Links: Jaccard similarity of the sets of distinct five-word shingles (fewer words:
-    the whole sequence is one) of at least 4/5; words are lower-cased (A-Z). A component
-    is named by its smallest id. Texts without words, and null texts, have no shingles
-    and are linked with nothing. ``set_id`` is equal for equal sets, which link; it is
-    null for empty ones. ``n_links`` counts the other sets linked to a row's set; without
-    ``every_link`` only links that components need are looked for, and it counts those.
-    Rows sharing an id are rows like others; ids are integers, null ids name no component unless alone in it
-    (then it is null). Other columns only tell rows apart; empty tables give none.
+def _joining_links(needed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links enough for the components, and ``node, root`` of all linked sets.
+
+    A round compares each set of a group with one hub, or two: the first round with the
+    group's first set, the next ones, in groups still in several components, sets
+    outside the largest of these with a set of it and with one set outside. What is
+    left, groups whose sets truly do not all link, is compared block against block, and
+    only pairs across components can add a link.
+    """
+    hubs = needed.groupBy("sig").agg(F.min("set").alias("hub"), F.count("*").alias("m"))
+    starred = needed.join(hubs, "sig").filter("set <> hub")
+    links = _verify(starred.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets)
+    open_ = starred.filter("m > 2").select("sig", "set")  # a hub has met all others
+    for r in range(1, ROUNDS + 1):
+        roots = components(links)
+        named = open_.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
+        split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+        named = written(named.join(split, "sig"), "join-open")
+        open_ = named.drop("root")
+        if r == ROUNDS or not named.take(1):
+            break
+        turn = F.xxhash64("set", F.lit(r))
+        first = named.groupBy("sig", "root").agg(F.count("*").alias("m"), F.min_by("set", turn).alias("hub"))
+        main = first.groupBy("sig").agg(F.max_by(F.struct("root", "hub"), F.struct("m", "root")).alias("main"))
+        outside = named.join(main, "sig").filter("root <> main.root")
+        other = outside.groupBy("sig").agg(F.min_by(F.struct("root", "set"), turn).alias("other"))
+        pairs = outside.select("set", F.col("main.hub").alias("hub")).unionByName(
+            outside.join(other, "sig").filter("root <> other.root").select("set", F.col("other.set").alias("hub"))
+        )
+        links = links.unionByName(_verify(pairs.select(*_pair("set", "hub")).distinct(), sets))
+    if not named.take(1):
+        return links, roots
+
+    rows = named.join(sets.select("set", "n"), "set").select(F.col("sig").alias("unit"), "set", F.col("root").alias("label"), "n")
+    more = _verify(written(_near_across(rows, sets), "join-candidates"), sets, near=True)
+    if more.take(1):
+        links = links.unionByName(more)
+        roots = components(links)
+    return links, roots
+
+
+def _link_counts(roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set, n_links``: all links of each set; they are all inside its component.
+
+    Blocks are compared by matrix products in a task; no pair becomes a row.
     """
-    far = F.lit((1 << 63) - 1)
-    keyed = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), far).alias("_doc"), F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for t in _whole_cells(batches):
+            cell = np.column_stack([t.column(c).to_numpy() for c in range(3)])
+            new = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(1))))
+            for lo, hi in zip(new.tolist(), np.append(new[1:], len(cell)).tolist()):
+                part = t.slice(lo, hi - lo)
+                (_, i, j), x, ids = cell[lo], part.column(3).to_numpy(), part.column(4).to_numpy()
+                held = [np.frombuffer(v, dtype=U) for v in part.column(7).to_pylist()]
+                left, right = np.flatnonzero(x == i), np.flatnonzero(x == j)
+                if not len(left) or not len(right):
+                    continue
+                sizes = np.array([len(v) for v in held])
+                links = (DEN + NUM) * overlaps([held[k] for k in left], [held[k] for k in right]) >= NUM * (sizes[left][:, None] + sizes[right])
+                if i == j:
+                    np.fill_diagonal(links, False)
+                    found = ids[left], links.sum(1)
+                else:
+                    found = np.concatenate((ids[left], ids[right])), np.concatenate((links.sum(1), links.sum(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["set", "n_links"])
+
+    rows = roots.join(sets.select("set", "n"), roots["node"] == sets["set"]).select(F.col("root").alias("unit"), "set", F.col("root").alias("label"), "n")
+    return _cells(rows, sets, "shingles", F.col("n") * 8).mapInArrow(run, "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, every_link: bool) -> DataFrame:
+    """``doc, row, two, n, set, n_links, component, root`` of every row; null ids count as the last."""
+    keyed = docs.select(row_hash(docs, 0).alias("_row"), row_hash(docs, 1).alias("_two"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_doc"), F.col(text_col).alias("_text"))
     common = common_shingles(keyed, "_text")
     scanned = scan_sets(keyed, common, "_text").repartition("token").sortWithinPartitions("token", "set")
-    parts = written(scanned.mapInArrow(_count_shared, "set long, add long, h2 long, row long, doc long, n long"), "join-scan")
+    parts = written(scanned.mapInArrow(_count_shared, ", ".join(f"{c} long" for c in _COUNTED)), "join-scan")
 
     members = parts.filter("row IS NOT NULL").drop("add")
-    classes = members.filter("n > 0").groupBy("set", "h2").agg(F.min("doc").alias("doc"), F.min_by("row", "doc").alias("row"), F.first("n").alias("n"))
+    same = members.filter("n > 0").groupBy("set", "h2").agg(F.min("doc").alias("doc"), F.min_by(F.struct("row", "two"), "doc").alias("at"), F.first("n").alias("n"))
+    # a set is named by 64 bits, unless another has the same
+    nth = F.row_number().over(Window.partitionBy("set").orderBy("h2"))
+    classes = written(same.withColumn("node", F.when(nth == 1, F.col("set")).otherwise(F.col("h2"))), "join-classes")
     counted = parts.filter("add IS NOT NULL").groupBy("set").agg(F.sum("add").alias("add"))
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * NUM / DEN) / 20))
-    kept = written(classes.join(counted, "set").filter(F.col("add") >= least).select("set", "row"), "join-kept")
+    kept = written(classes.join(counted, "set").filter(F.col("add") >= least).select("node", "at.*"), "join-kept")
 
-    rows = kept.select(F.col("row").alias("_row"))
+    rows = kept.select(F.col("row").alias("_row"), F.col("two").alias("_two"), F.col("node").alias("set"))
     if kept.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)  # 8 MB at most
-    texts = keyed.join(rows, "_row", "left_semi")
+        rows = F.broadcast(rows)  # 24 MB at most
+    texts = keyed.join(rows, ["_row", "_two"]).select("set", "_text").dropDuplicates(["set"])
 
     def make():
         shingler = Shingler()
 
         def f(batch):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text in column(batch, "_text"):
                 s = shingler(text)
-                out[0].append(set_key(s)[0])
-                out[1].append(len(s))
-                out[2].append(np.minimum(np.bincount((s >> U(40)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
-                out[3].append(s.tobytes())
-                sigs, spare = signatures(s)
-                out[4].append(sigs.view(np.int64))
-                out[5].append(spare)
-            yield [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int32()))]
+                for held, x in zip(out, (len(s), sketch(s), s.tobytes(), signatures(s).view(np.int64))):
+                    held.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield [batch.column(batch.schema.get_field_index("set")), *[pa.array(x, k) for x, k in zip(out, kinds)]]
 
         return f, None
 
-    schema = T.StructType.fromDDL("set long, n long, bins binary, shingles binary, sigs array<long>, spare array<int>")
-    sets = written(emit_rows(texts.select("_text"), make, schema).dropDuplicates(["set"]), "join-sets")
-
-    signed = sets.select("set", F.inline(F.arrays_zip("sigs", "spare"))).withColumnRenamed("sigs", "sig")
-    met = signed.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1")
-    # the most frequent signatures of a set's partitioning go, as far as it can spare them
-    often = Window.partitionBy("set", F.col("sig").bitwiseAND((1 << TAG_BITS) - 1)).orderBy(F.desc("m"), "sig")
-    needed = signed.join(met, "sig").withColumn("_nth", F.row_number().over(often)).filter("_nth > spare").select("set", "sig")
-    needed = written(needed, "join-needed")
-    links = _verify(_all_pairs(needed), sets) if every_link else _joining_links(needed, sets)
-    roots = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    named = classes.select("set", "h2", "doc").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of = named.join(least, "root").join(degree, "set", "left").select("set", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    schema = T.StructType.fromDDL("set long, n long, sketch binary, shingles binary, sigs array<long>")
+    sets = written(emit_rows(texts, make, schema, rows=256), "join-sets")
+
+    signed = sets.select("set", F.explode("sigs").alias("sig"))
+    met = signed.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select("sig")
+    links, roots = _joining_links(written(signed.join(met, "sig"), "join-needed"), sets)
+
+    of = classes.select("set", "h2", "doc", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = of.groupBy("root").agg(F.min("doc").alias("component"))
+    of = of.join(named, "root").select("set", "h2", "node", "root", "component")
+    if every_link:
+        of = of.join(_link_counts(roots, sets).withColumnRenamed("set", "node"), "node", "left")
+    else:
+        of = of.withColumn("n_links", F.lit(0).cast("long"))
     out = members.join(of, ["set", "h2"], "left")
-    real = lambda c: F.when(c != far, c)
-    return out.select(
-        real(F.col("doc")).alias(id_col),
-        F.col("row").alias("row_hash"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("set")).alias("set_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        real(F.coalesce("component_id", "doc")).alias("component_id"),
+    return out.select("doc", "row", "two", "n", F.col("node").alias("set"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "doc").alias("component"), "root")
+
+
+#: Rows without an id come after all others.
+LAST = (1 << 63) - 1
+
+
+def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, row_hash, row_hash_2, n_shingles, set_id, n_links, component_id`` for every row of ``docs``.
+
+    Links: Jaccard similarity of the sets of distinct five-word shingles (fewer words:
+    the whole sequence is one) of at least 4/5; words are lower-cased (A-Z). A component
+    is named by its smallest id. Texts without words, and null texts, have no shingles
+    and are linked with nothing. ``set_id`` is equal for equal sets, which link; it is
+    null for empty ones. ``n_links`` counts all other sets linked to a row's set. Rows
+    sharing an id are rows like others; ids are integers, null ids name no component
+    unless alone in it (then it is null). Other columns only tell rows apart, by 128 bits;
+    empty tables give none.
+    """
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return _classes(docs, id_col, text_col, True).select(
+        real("doc").alias(id_col), F.col("row").alias("row_hash"), F.col("two").alias("row_hash_2"), F.col("n").alias("n_shingles"), F.col("set").alias("set_id"), "n_links", real("component").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per component: the one of smallest id (then of smallest row hash)."""
-    found = written(similarity_classes(docs, id_col=id_col, text_col=text_col, every_link=False), "join-result")
-    first = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row_hash")).alias("r")).agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias("m")
-    )
-    wanted = first.select(F.col("m.h").alias("_key")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_key", F.xxhash64(*columns))
-    return keyed.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    """``docs`` with one row per component: the one of smallest id (null ids last, then of smallest hash).
+
+    Rows without words link with nothing, so all of them stay, equal ones included; of
+    other rows equal in everything one stays. Columns are unchanged.
+    """
+    found = written(_classes(docs, id_col, text_col, False).filter("n > 0").select("root", "doc", "row", "two"), "join-result")
+    first = found.groupBy("root").agg(F.min(F.struct("doc", "row", "two")).alias("m"))
+    marked = found.join(first, "root").withColumn("kept", (F.col("row") == F.col("m.row")) & (F.col("two") == F.col("m.two")))
+    keys = marked.select(F.col("row").alias("_row"), F.col("two").alias("_two"), "kept")
+    gone = written(keys.filter(~F.col("kept")).drop("kept").distinct(), "join-gone")
+    twins = written(keys.filter("kept").groupBy("_row", "_two").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "join-twins")
+    keys = unused(docs, "_row", "_two")
+    named = dict(zip(("_row", "_two"), keys))
+    left = docs.withColumns({k: row_hash(docs, seed) for seed, k in enumerate(keys)}).join(gone.withColumnsRenamed(named), keys, "left_anti")
+    if twins.take(1):
+        twins = twins.withColumnsRenamed(named)
+        left = left.join(twins, keys, "left_anti").unionByName(left.join(twins, keys, "left_semi").dropDuplicates(keys))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,7 +76,7 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         F.length("gif").cast("long").alias("media_bytes"),
         F.sha2("gif", 256).alias("media_sha256"),
-        F.array_join("histogram", ",").alias("feature"),
+        F.array_join(F.transform("frames", lambda f: F.concat_ws(";", f["start_ms"], *[F.array_join(f[c], ",") for c in ("hist_r", "hist_g", "hist_b")])), "|").alias("feature"),
     )
 
 
@@ -126,7 +126,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .partenum_join import similarity_classes
 
-    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_hash", "set_id")
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_hash", "row_hash_2", "set_id")
 
 
 QUERIES["op10_partenum_join"] = op10_partenum_join

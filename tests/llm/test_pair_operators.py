@@ -11,7 +11,7 @@ import pytest
 from groundlake.llm.components import components
 from groundlake.llm.induced_sort import permuted_prefixes, suffix_array
 from groundlake.llm.line_dedup import PerfectHash, dedup_lines
-from groundlake.llm.partenum_join import bands, keep_one, parts_for, signatures, similarity_classes
+from groundlake.llm.partenum_join import _count_shared, bands, keep_one, layout, near_pairs, overlaps, signatures, similarity_classes, sketch
 from groundlake.llm.suffix_dedup import remove_repeats
 
 from .fixtures import COLUMNS, DOCS, clash, documents, frame, shingles
@@ -114,6 +114,88 @@ def test_partenum_join_counts_every_link(spark, monkeypatch, block):
     assert {r.doc_id: r.n_links for r in similarity_classes(frame(spark, rows)).collect()} == want
 
 
+def _loose_group(n=40):
+    """Edits of one text so far apart that only some of them link, and texts with a passage of it."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    for i in range(n // 4):
+        rows.append(" ".join([f"y{i}_{j}" for j in range(20 + i)] + base[:110] + [f"z{i % 3}"]))
+    return [(i, t, None, None, None) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("rounds", "block"), [(2, 256), (1, 5)])
+def test_partenum_join_loose_group(spark, monkeypatch, rounds, block):
+    """Groups still in several components after the hubs' rounds are compared whole, in blocks."""
+    monkeypatch.setattr("groundlake.llm.partenum_join.BLOCK", block)
+    monkeypatch.setattr("groundlake.llm.partenum_join.ROUNDS", rounds)
+    rows = _loose_group()
+    sets = [shingles(t) for _, t, *_ in rows]
+    near = lambda a, b: a != b and 9 * len(a & b) >= 4 * (len(a) + len(b))
+    got = similarity_classes(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows)
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(near(a, b) for b in sets) for i, a in enumerate(sets)}
+
+
+def test_partenum_join_equal_64_bits(spark, monkeypatch):
+    """Sets whose first 64 bits are equal stay apart by the next 64."""
+    from pyspark import cloudpickle
+
+    from groundlake.llm import partenum_join as module
+
+    real = module.set_key
+    monkeypatch.setattr(module, "set_key", lambda s: (real(s)[0] % 3, real(s)[1]))
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        rows = _loose_group(12)
+        got = similarity_classes(frame(spark, rows))
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_join(rows)
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
+def test_shared_tokens_are_streamed():
+    """A batch in, its rows out; tokens that many sets share are counted over any batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(t), int(s), int(t) % 2 if s == 7 else 0) for t, s in rng.integers(0, 12, (300, 2))} | {(5, s, 0) for s in range(40)} | {(99, 1, 0), (100, 1, 1)})
+    taken = []
+
+    def batches():
+        for at in range(0, len(rows), 3):
+            taken.append(at)
+            part = rows[at : at + 3]
+            none = pa.nulls(len(part), pa.int64())
+            cols = [pa.array([r[i] for r in part], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, none, none, none, none, none, none], names=["token", "set", "known", "add", "h2", "row", "two", "doc", "n"])
+
+    got, out = Counter(), _count_shared(batches())
+    first = next(out)
+    assert len(taken) < 12
+    for b in [first, *out]:
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    want = Counter()
+    for t in {r[0] for r in rows}:
+        known = {s: max(k for t2, s2, k in rows if (t2, s2) == (t, s)) for t1, s, _ in rows if t1 == t}
+        if len(known) > 1 or any(known.values()):
+            want.update(s for s, k in known.items() if not k)
+    assert got == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(9)
+    a, b = ([np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    assert overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_partenum_join_empty(spark):
     assert similarity_classes(spark.createDataFrame([], DOCS)).collect() == []
 
@@ -128,6 +210,15 @@ def test_keep_one(spark):
     assert sum(not shingles(r.text) for r in kept) == sum(not shingles(t) for _, t, *_ in documents())
 
 
+def test_keep_one_equal_rows(spark):
+    """Equal rows without words all stay, equal rows with words are copies; hashes mark nulls."""
+    text = "some words of a text that is long enough"
+    rows = [(1, "", "x", None, 0), (1, "", "x", None, 0), (1, "", None, "x", 0), (1, None, "x", None, 0), (2, text, "x", None, 8), (2, text, "x", None, 8), (2, text, None, "x", 8)]
+    got = keep_one(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got[:])) - Counter(rows[4:]) == Counter(rows[:4])
+    assert sum(r.text == text for r in got) == 1
+
+
 def test_signatures_meet():
     """Sets at the similarity always share a signature; bands leave no pair out."""
     rng = np.random.default_rng(3)
@@ -142,17 +233,15 @@ def test_signatures_meet():
                 new += 1
             b = np.concatenate((a[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)))
             if set(a) != set(b):
-                for x in (a, b):  # the spared are fewer than what any partner shares
-                    sigs, spare = signatures(np.unique(x))
-                    tags = sigs & np.uint64(1023)
-                    both = np.isin(sigs, signatures(np.unique(b if x is a else a))[0])
-                    assert any(both[tags == t].sum() > spare[tags == t][0] for t in np.unique(tags))
-                assert len(np.intersect1d(signatures(np.unique(a))[0], signatures(np.unique(b))[0]))
+                assert len(np.intersect1d(signatures(np.unique(a)), signatures(np.unique(b))))
+                both = [np.unique(a), np.unique(b)]
+                assert near_pairs(np.array([len(x) for x in both]), [sketch(x) for x in both], np.array([0]), np.array([1]))[0]
     for n in range(1, 2000):
         for m in (n, (5 * n) // 4):
             assert {x for x, _ in bands(n)} & {x for x, _ in bands(m)}
         for _, k in bands(n):
-            assert k == 0 or parts_for(k)[0] > k
+            n1, n2, k2 = layout(k)
+            assert k == 0 or (n1 * (k2 + 1) > k and n2 > k2)
 
 
 def brute_repeats(rows):

@@ -15,9 +15,9 @@ from tokenizers import Tokenizer
 
 from groundlake.llm.brown_lm import exchange, fit, score_texts, shape, tokens
 from groundlake.llm.gif_media import Frame, decode_frames, gif_payload, lzw_decode, lzw_encode, read_gif, render, store_texts, text_payload, write_gif
-from groundlake.llm.language_id import UNKNOWN, drop_unidentified, fit_profiles, held_out, identify
+from groundlake.llm.language_id import UNKNOWN, drop_unidentified, fit_profiles, grams, held_out, identify
 from groundlake.llm.lexicon_bpe import Lexicon, Vocabulary, compile_lexicon, encode_texts
-from groundlake.llm.mixing import apply_mix, mix_plan
+from groundlake.llm.mixing import _round_block, apply_mix, mix_plan
 from groundlake.llm.rabitq_ann import nearest
 from groundlake.llm.role_repair import FINAL, FOLLOWS, INSERT, MERGE, RELABEL, ROLES, best_states, repair, segment_matrix
 
@@ -64,17 +64,32 @@ def test_mix_plan(spark):
     assert Counter((r.row_hash, r.copies) for r in again) == Counter((r.row_hash, r.copies) for r in got)
 
 
-def test_mix_keeps_expectations(spark):
-    """Over seeds, a document's mean number of copies is its source's ratio."""
-    rows = [(i, "w " * (1 + i % 9), None, "a" if i % 3 else "b", None) for i in range(60)]
-    total = Counter()
-    for seed in range(6):
-        for r in mix_plan(frame(spark, rows), seed=seed).collect():
-            total[r.source] += r.copies / (6 * sum(1 for x in rows if x[3] == r.source))
-    _, targets = brute_targets(rows)
-    sizes, _ = brute_targets(rows)
-    for s in "ab":
-        assert total[s] == pytest.approx(targets[s] / sizes[s], abs=0.15)
+def test_mix_keeps_expectations():
+    """Over seeds, every document's mean number of copies is its own ratio, and a block moves no mass."""
+    import pandas as pd
+
+    rng = random.Random(4)
+    size = [rng.choice([0, 1, 3, 9, 40]) for _ in range(24)]
+    frac = [rng.random() for _ in size]
+    block = pd.DataFrame({"key": range(24), "key_2": 0, "nth": 1, "size": size, "base": 1, "frac": frac, "block": 0, "copies": 0})
+    draws, total = 1000, np.zeros(24)
+    for seed in range(draws):
+        got = _round_block(seed, 0)((0,), block)
+        left = np.nan_to_num(got.frac.to_numpy())
+        total += got.copies.to_numpy() + left
+        words = (np.array(size) * (got.copies + left - 1)).sum()
+        assert words == pytest.approx(sum(f * n for f, n in zip(frac, size))) and (left > 0).sum() <= 1
+    error = np.abs(total / draws - 1 - frac)
+    assert (error < 5 * np.sqrt(np.array(frac) * (1 - np.array(frac)) / draws) + 1e-9).all()
+
+
+def test_mix_tells_rows_apart(spark):
+    """Rows that differ only in which column is null; equal rows are rounded each."""
+    rows = [(1, "aa bb cc", "xx", None, 8), (1, "aa bb cc", None, "xx", 8)] + [(5, "aa bb", "y", "yy", 5)] * 9
+    got = Counter(map(tuple, apply_mix(frame(spark, rows), budget=2.0).collect()))
+    assert got == Counter({rows[0]: 2, rows[1]: 2, rows[2]: 18})
+    plan = mix_plan(frame(spark, rows)).collect()
+    assert len(plan) == 11 and len({(r.row_hash, r.row_hash_2) for r in plan}) == 3
 
 
 def test_apply_mix(spark):
@@ -108,7 +123,7 @@ def test_store_texts(spark):
     for r in got:
         raw = (r.text or "").encode()
         assert bytes(r.payload) == text_payload(r.text) == gif_payload(bytes(r.gif)) and r.n_bytes == len(raw)
-        assert len(r.payload) % 64 == 0 and r.payload[: len(raw)] == raw and sum(r.histogram) == len(r.payload)
+        assert len(r.payload) % 64 == 0 and r.payload[: len(raw)] == raw and sum(sum(f.hist_g) for f in r.frames) == len(r.payload)
     assert store_texts(spark.createDataFrame([], DOCS)).collect() == []
 
 
@@ -126,6 +141,12 @@ def test_frames_follow_disposal_and_transparency(spark):
     r, g, off = [255, 0], [0, 255], [0, 0]
     assert shown == [[[r, r], [r, r]], [[r, r], [r, g]], [[r, r], [r, off]], [[g, r], [r, off]]]
     rows = decode_frames(spark.createDataFrame([(1, bytearray(file)), (2, None)], "doc_id long, gif binary")).orderBy("frame").collect()
+    huge = b"GIF89a" + b"\xff" * 4 + bytes(3)
+    odd = [(3, bytearray()), (4, bytearray(b"no gif")), (5, bytearray(file[:-8])), (6, bytearray(huge)), (7, bytearray(file[:20]))]
+    broken = decode_frames(clash(spark.createDataFrame(odd, "doc_id long, gif binary"), "frame", "error"))
+    got = {i: [r.error is not None for r in broken.collect() if r.doc_id == i] for i in range(3, 8)}
+    assert all(x[-1] and not any(x[:-1]) for x in got.values()) and len(got[6]) == 1
+    assert decode_frames(spark.createDataFrame([], "doc_id long, gif binary")).collect() == []
     assert [(x.start_ms, x.delay_ms, x.disposal) for x in rows] == [(0, 50, 1), (50, 70, 2), (120, 90, 3), (210, 10, 0)]
     assert rows[1].hist_r[15] == 3 and rows[1].hist_g[15] == 1 and sum(rows[2].hist_r) == 3
 
@@ -140,6 +161,35 @@ def test_language_on_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_is_least_out_of_place(spark):
+    """Profiles, predictions and scores by plain dictionaries over the n-grams of padded words."""
+    rows = [r for r in documents() if r[0] is not None and r[0] != 3]
+    df = frame(spark, rows)
+    profiles = fit_profiles(df, size=40)
+
+    def plain(text):
+        out = []
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            for n in (1, 2, 3):
+                padded = word if n == 1 else f" {word} "
+                out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
+        return out
+
+    def rank(found):
+        return [g for g, _ in sorted(Counter(found).items(), key=lambda x: (-x[1], x[0]))[:40]]
+
+    for _, t, *_ in rows:
+        assert sorted(Counter(grams(t, 3).tolist()).values()) == sorted(Counter(plain(t)).values())
+    learned = {lang: rank([g for _, t, x, *_ in rows if x == lang and t is not None for g in grams(t, 3).tolist()]) for lang in ("de", "en")}
+    # the same distinct rows only: a repeated row teaches as often as it occurs
+    assert profiles.names == sorted(learned)
+    for r in identify(df, profiles).collect():
+        own = rank(grams(r.text, 3).tolist())
+        if own:
+            apart = {lang: sum(abs(x.index(g) - i) if g in x else 40 for i, g in enumerate(own)) for lang, x in learned.items()}
+            assert r.lang_pred == min(apart, key=lambda x: (apart[x], x)) and r.score == pytest.approx(1 - min(apart.values()) / (40 * len(own)))
+
+
 def test_language_cases(spark):
     df = clash(frame(spark), "score", "gram")
     got = identify(df, fit_profiles(df)).collect()
@@ -150,6 +200,8 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in nothing.collect()} == {UNKNOWN}
     kept = drop_unidentified(frame(spark))
     assert kept.columns == COLUMNS
+    want = {(r.doc_id, r.text): r.lang or r.lang_pred for r in identify(frame(spark), fit_profiles(frame(spark).filter(~held_out()))).collect() if r.lang_pred != UNKNOWN}
+    assert {(r.doc_id, r.text): r.lang for r in kept.collect()} == want
 
 
 def test_held_out_is_crc(spark):
@@ -363,6 +415,21 @@ def brute_cost(roles):
                 heapq.heappush(todo, (c + extra, j, t))
 
 
+def test_repair_renders(spark):
+    """The rendered text of each kind of repair, and of very many turns."""
+    say = lambda r, t: f"<|{r}|>\n{t}"
+    cases = {
+        1: ([("user", "a"), ("user", "b"), ("assistant", "c")], [say("user", "a\nb"), say("assistant", "c")], 1),
+        2: ([("user", "a")], [say("user", "a"), say("assistant", "")], 3),
+        3: ([("system", "s"), ("user", "a"), ("tool", None)], [say("system", "s"), say("user", "a"), say("assistant", "")], 2),
+        4: ([("user", f"q{i}") if i % 2 == 0 else ("assistant", f"a{i}") for i in range(300)], [say(*[("user", f"q{i}"), ("assistant", f"a{i}")][i % 2]) for i in range(300)], 0),
+        5: ([(None, None)] * 2, [say("user", ""), say("assistant", "")], 4),
+    }
+    rows = [(c, i, r, t) for c, (turns, _, _) in cases.items() for i, (r, t) in enumerate(turns)]
+    got = {r.conv_id: (r.rendered, r.cost) for r in repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), segment_turns=7).collect()}
+    assert got == {c: ("\n".join(parts), cost) for c, (_, parts, cost) in cases.items()}
+
+
 def test_repair_costs():
     rng = random.Random(9)
     for _ in range(300):
