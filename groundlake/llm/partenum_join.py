@@ -35,8 +35,9 @@ NUM, DEN = 4, 5  # similarity of at least 4/5
 COMMON = 1 << 17
 SAMPLE_DOCS = 10_000
 BROADCAST_ROWS = 1 << 20
-#: Sets, and bytes of sets, of one block.
+#: Sets of one block (sketches are small, so that more fit), and bytes of its sets.
 BLOCK = 256
+SKETCHES = 2048
 BLOCK_BYTES = 4 << 20
 #: Rounds of hubs before groups are compared block against block.
 ROUNDS = 2
@@ -357,13 +358,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _cells(rows: DataFrame, sets: DataFrame, carried: str, size: F.Column) -> DataFrame:
+def _cells(rows: DataFrame, sets: DataFrame, carried: str, size: F.Column, block: int) -> DataFrame:
     """``unit, i, j, x, set, label, n, <carried>``: all pairs of blocks of each unit's sets, sorted.
 
     ``rows`` has ``unit, set, label, n``. A unit's sets are dealt to blocks of some
-    ``BLOCK`` sets or ``BLOCK_BYTES``, and each pair of blocks is one small group.
+    ``block`` sets or ``BLOCK_BYTES``, and each pair of blocks is one small group.
     """
-    sizes = rows.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = rows.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks"))
     x = F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, "unit").withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("unit", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "set", "label", "n")
@@ -419,7 +420,7 @@ def _near_across(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
 
-    return _cells(rows, sets, "sketch", F.col("n") * 2).mapInArrow(run, "a long, b long").distinct()
+    return _cells(rows, sets, "sketch", F.col("n") * 2, SKETCHES).mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, *, near: bool = False) -> DataFrame:
@@ -526,7 +527,7 @@ def _link_counts(roots: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["set", "n_links"])
 
     rows = roots.join(sets.select("set", "n"), roots["node"] == sets["set"]).select(F.col("root").alias("unit"), "set", F.col("root").alias("label"), "n")
-    return _cells(rows, sets, "shingles", F.col("n") * 8).mapInArrow(run, "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+    return _cells(rows, sets, "shingles", F.col("n") * 8, BLOCK).mapInArrow(run, "set long, n_links long").groupBy("set").agg(F.sum("n_links").alias("n_links"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, every_link: bool) -> DataFrame:

@@ -135,6 +135,7 @@ def _loose_group(n=40):
 def test_partenum_join_loose_group(spark, monkeypatch, rounds, block):
     """Groups still in several components after the hubs' rounds are compared whole, in blocks."""
     monkeypatch.setattr("groundlake.llm.partenum_join.BLOCK", block)
+    monkeypatch.setattr("groundlake.llm.partenum_join.SKETCHES", block)
     monkeypatch.setattr("groundlake.llm.partenum_join.ROUNDS", rounds)
     rows = _loose_group()
     sets = [shingles(t) for _, t, *_ in rows]
