@@ -18,31 +18,47 @@ from groundlake.llm.line_dedup import dedup_lines
 from groundlake.llm.mixing import apply_mix
 from groundlake.llm.partenum_join import keep_one
 
+#: Words a task of the last stage remembers, twice at most: some 35 MB each.
+REMEMBERED = 100_000
+
+#: Rows of an Arrow batch where whole texts go to Python, which holds a batch as the executor
+#: does; stages on rows of numbers keep Spark's own size.
+TEXT_ROWS, NUMBER_ROWS = 1_000, 10_000
+
+
+def _batches(spark: SparkSession, rows: int) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told go."""
+    _batches(spark, TEXT_ROWS)
     return drop_unidentified(docs)
 
 
 def dedup_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave all documents but the first; ``n_chars`` follows the text."""
+    _batches(spark, TEXT_ROWS)
     done = dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest id."""
+    _batches(spark, NUMBER_ROWS)
     return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    _batches(spark, NUMBER_ROWS)
     return apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids and decoded text."""
-    done = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    _batches(spark, TEXT_ROWS)
+    done = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), cache_size=REMEMBERED, with_ids=True)
     return done.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
