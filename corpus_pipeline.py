@@ -18,8 +18,9 @@ from groundlake.llm.line_dedup import dedup_lines
 from groundlake.llm.mixing import apply_mix
 from groundlake.llm.partenum_join import keep_one
 
-#: Words a task of the last stage remembers, twice at most: some 35 MB each.
-REMEMBERED = 100_000
+#: Words of the last stage's automaton, and words a task of it remembers, twice at most
+#: (some 9 MB each); a task that counts words keeps eight times the first.
+LEXICON, REMEMBERED = 25_000, 25_000
 
 #: Rows of an Arrow batch where whole texts go to Python, which holds a batch as the executor
 #: does; stages on rows of numbers keep Spark's own size.
@@ -58,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids and decoded text."""
     _batches(spark, TEXT_ROWS)
-    done = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), cache_size=REMEMBERED, with_ids=True)
+    done = encode_texts(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), lexicon_size=LEXICON, cache_size=REMEMBERED, with_ids=True)
     return done.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
