@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 from zlib import crc32
 
@@ -39,6 +40,26 @@ class HashingEncoder:
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def pick_device(available: Callable[[str], bool]) -> str:
+    """The first device there is, the processor if none."""
+    return next((d for d in ("mps", "cuda") if available(d)), "cpu")
+
+
+def model_path(explicit: str | None, snapshots: str, hub_id: str) -> str:
+    """A stated folder, else the newest complete snapshot below a folder, else the hub's name.
+
+    A snapshot is complete with configuration, tokenizer and weights of either format.
+    """
+    if explicit:
+        if not (path := Path(explicit).expanduser()).exists():
+            raise FileNotFoundError(f"no model at {path}")
+        return str(path)
+    root = Path(snapshots).expanduser()
+    has = lambda p, *names: any((p / n).exists() for n in names)
+    whole = [p for p in root.iterdir() if has(p, "config.json") and has(p, "tokenizer.json") and has(p, "model.safetensors", "pytorch_model.bin")] if root.exists() else []
+    return str(max(whole, key=lambda p: p.stat().st_mtime)) if whole else hub_id
+
+
 def encode(rows: DataFrame, text_col: str = "text", *, make: Callable[[], Encoder] = HashingEncoder, batch: int = BATCH, out_col: str = "embedding") -> DataFrame:
     """``rows`` with unit vectors of a text column; the encoder is made once per worker."""
 

@@ -155,4 +155,20 @@ FROM (SELECT doc_id, source, 1950 + doc_id % 200 AS y FROM documents)""",
     "health_unique": "SELECT *, n_rows = n_ids AS is_unique FROM (SELECT count(*) + count(*) FILTER (WHERE doc_id % 10 = 0) AS n_rows, count(DISTINCT doc_id) AS n_ids FROM documents)",
     "health_years": f"{_P} SELECT paper_id, substr(published, 1, 4) AS year, source AS title FROM papers WHERE published LIKE '?%' ORDER BY paper_id LIMIT 5",
     "pdf_method": f"SELECT doc_id, CASE WHEN n - 60 >= 150 THEN 'text' WHEN n >= 50 THEN 'ocr' ELSE 'failed' END AS method FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents)",
+    "embed_hash": f"SELECT doc_id, 64 AS dim, CASE WHEN len({_WORDS}) > 0 THEN 1.0 ELSE 0.0 END AS norm2 FROM documents",
+    "rejects_shown": f"{_P} SELECT paper_id, CASE WHEN doc_id % 2 = 0 THEN substr(published, 1, 4) END AS year FROM papers WHERE doc_id % 7 = 0 ORDER BY coalesce(year, '9999'), paper_id LIMIT 15",
+    "join_metadata": f"{_P} SELECT replace(replace(paper_id, '/', '_'), ':', '_') AS safe, n_chars AS length, paper_id || 'v2' AS paper_id, published FROM papers WHERE doc_id % 3 = 0",
+    "api_rows": f"{_P} SELECT paper_id, source AS title, 'a ' || source AS abstract, published, primary_category FROM papers",
+    "catalogue_papers": f"""{_P}, e AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND paper_id NOT LIKE 'inspire:%' THEN paper_id END AS ep FROM papers),
+y AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN '1984' WHEN ep IS NULL THEN '????' WHEN CAST(substr(ep, 1, 2) AS INTEGER) > 50 THEN '19' || substr(ep, 1, 2) ELSE '20' || substr(ep, 1, 2) END AS year FROM e)
+SELECT coalesce(ep, 'inspire:' || doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS title, CASE WHEN doc_id % 5 > 0 THEN ['A', ''] ELSE CAST([] AS VARCHAR[]) END AS authors, year || '-01-01T00:00:00' AS published,
+  CASE WHEN ep IS NOT NULL AND doc_id % 4 = 0 THEN primary_category ELSE 'hep-th' END AS primary_category, 'https://arxiv.org/pdf/' || ep AS pdf_url, CASE WHEN doc_id % 7 = 0 THEN 'J' END AS journal_ref FROM y""",
+    "without_eprint": f"{_P} SELECT doc_id FROM papers WHERE doc_id % 2 = 1 OR paper_id LIKE 'inspire:%'",
+    "main_tex": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_LEAD} || 'documentclass{{a}}' || source || '3' ELSE source || '2' END AS main FROM documents",
+    "query_prefix": "SELECT item_id, 'Represent this sentence for searching relevant passages: ' || text AS question FROM benchmark",
+    "year_adjust": """WITH r AS (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS ratio, CASE WHEN doc_id % 3 > 0 THEN 1976 + doc_id % 25 END AS wanted, CASE WHEN doc_id % 11 > 0 THEN 1976 + doc_id % 50 END AS year FROM documents),
+s AS (SELECT doc_id, round(least(1.0::DOUBLE, ratio + CASE WHEN wanted IS NULL OR year IS NULL THEN 0.0 WHEN wanted = year THEN 0.05 ELSE -0.05 END), 3) AS score FROM r)
+SELECT *, CASE WHEN score >= 0.9 THEN 'confident' WHEN score >= 0.6 THEN 'review' ELSE 'none' END AS band FROM s""",
+    "open_access": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'https://x/' || doc_id END AS listed, 'https://x/' || doc_id AS best FROM documents",
+    "title_similarity": "SELECT qid, round(least(1.0, s), 6) AS s FROM (VALUES ('1', 2 * 3 / 8.0::DOUBLE), ('2', 1.0::DOUBLE), ('3', 0.0::DOUBLE), ('4', 2 * 10 / 30.0::DOUBLE), ('5', 1.0::DOUBLE)) AS v(qid, s)",
 }

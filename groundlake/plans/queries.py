@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, ids, prompts, text, titles, vectors
-from ..operators import archive, chunk, encode, evaluate, health, index, ingest, resolve, retrieve
+from ..operators import archive, chunk, delta, encode, evaluate, health, index, ingest, resolve, retrieve
+from ..sources import catalogue
 from .inputs import answers, papers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,3 +391,89 @@ def health_years(spark, sf):
 def pdf_method(spark, sf):
     words = F.size(text.tokens(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", archive.pdf_choice([("text", words - 60, 150), ("ocr", words, 50)]).alias("method"))
+
+
+def _rejects(spark, sf):
+    return papers(spark, sf).filter("doc_id % 7 = 0").select("paper_id", F.when(F.col("doc_id") % 2 == 0, ids.year_of(F.col("published"))).alias("year"))
+
+
+@query
+def rejects_shown(spark, sf):
+    return delta.shown_rejects(_rejects(spark, sf))
+
+
+@query
+def join_metadata(spark, sf):
+    p = papers(spark, sf)
+    got = p.filter("doc_id % 3 = 0").select(ids.safe_name(F.col("paper_id")).alias("safe"), F.col("n_chars").alias("length"))
+    return delta.with_metadata(got, p.withColumn("paper_id", F.concat("paper_id", F.lit("v2")))).select("safe", "length", "paper_id", "published")
+
+
+@query
+def api_rows(spark, sf):
+    none = F.lit(None).cast("string")
+    p = papers(spark, sf)
+    raw = p.select(F.concat(F.lit("http://host/abs/"), "paper_id").alias("entry_id"), F.concat(F.lit(" \n"), "source", F.lit("\t")).alias("title"), "authors", F.concat(F.lit("  a "), "source", F.lit("\n")).alias("summary"), "published", F.col("published").alias("updated"), "primary_category", F.array("primary_category").alias("categories"), none.alias("pdf_url"), none.alias("comment"), none.alias("journal_ref"), none.alias("doi"))
+    return ingest.paper_rows(raw).select("paper_id", "title", "abstract", "published", "primary_category")
+
+
+def _catalogue(spark, sf):
+    i = F.col("doc_id")
+    p = papers(spark, sf)
+    eprint = F.struct(F.col("paper_id").alias("value"), F.when(i % 4 == 0, F.array("primary_category")).otherwise(F.array().cast("array<string>")).alias("categories"))
+    has = (i % 2 == 0) & ids.is_public(F.col("paper_id"))
+    return p.select(
+        "doc_id", i.cast("string").alias("recid"), F.when(has, F.array(eprint)).alias("arxiv_eprints"), F.when(i % 3 > 0, F.array(F.struct(F.concat(F.lit(" "), "source", F.lit(" ")).alias("title")))).alias("titles"),
+        F.when(i % 5 > 0, F.array(F.struct(F.lit("A").alias("full_name")), F.struct(F.lit(None).cast("string").alias("full_name")))).alias("authors"),
+        F.when(i % 7 == 0, F.array(F.struct(F.lit("1984").alias("year"), F.lit("J").alias("journal_title")))).alias("publication_info"), F.array().cast("array<struct<value:string>>").alias("dois"),
+    )
+
+
+@query
+def catalogue_papers(spark, sf):
+    return ingest.catalogue_rows(_catalogue(spark, sf)).select("paper_id", "title", "authors", "published", "primary_category", "pdf_url", "journal_ref")
+
+
+@query
+def without_eprint(spark, sf):
+    return ingest.without_eprint(_catalogue(spark, sf)).select("doc_id")
+
+
+@query
+def main_tex(spark, sf):
+    one = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("content"))
+    body = F.col("source")
+    classed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\documentclass{a}"), body)).otherwise(body)
+    files = F.array(one("longer.tex", F.concat(classed, F.lit("1"))), one("a.tex", F.concat(body, F.lit("2"))), one("other.tex", F.concat(classed, F.lit("3"))))
+    return table(spark, sf, "documents").select("doc_id", archive.main_file(files).alias("main"))
+
+
+@query
+def query_prefix(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", vectors.prefixed(F.col("text")).alias("question"))
+
+
+@query
+def year_adjust(spark, sf):
+    ratio = (F.col("doc_id") % 101) / F.lit(100.0)
+    wanted = F.when(F.col("doc_id") % 3 > 0, (1976 + F.col("doc_id") % 25).cast("string"))
+    year = F.when(F.col("doc_id") % 11 > 0, (1976 + F.col("doc_id") % 50).cast("string")).otherwise("")
+    s = F.round(titles.adjusted(ratio, wanted, year), 3)
+    return table(spark, sf, "documents").select("doc_id", s.alias("score"), titles.band(s).alias("band"))
+
+
+@query
+def open_access(spark, sf):
+    url = F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))
+    pdf = F.struct(F.struct(url.alias("url")).alias("openAccessPdf"))
+    none = F.struct(F.lit(None).cast("struct<url:string>").alias("openAccessPdf"))
+    response = F.when(F.col("doc_id") % 3 == 0, F.to_json(pdf)).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.array(none, pdf).alias("data")))).otherwise("{}")
+    best = F.to_json(F.struct(F.struct(url.alias("url_for_pdf")).alias("best_oa_location")))
+    return table(spark, sf, "documents").select("doc_id", catalogue.open_access_url(response).alias("listed"), catalogue.best_location_url(best).alias("best"))
+
+
+@query
+def title_similarity(spark, sf):
+    """Fixed pairs: the matching blocks are found by hand in the SQL."""
+    pairs = [("1", "abcd", "bcde", 0.0), ("2", "same title", "same title", 0.05), ("3", "ab", "xy", 0.0), ("4", "private thread", "private volatile", 0.0), ("5", "", "", 0.0)]
+    return resolve.best_ratios(spark.createDataFrame(pairs, "qid string, q_norm string, norm string, nudge double"), 3).select("qid", F.round("s", 6).alias("s"))

@@ -78,10 +78,19 @@ def fetched(keys: DataFrame, fetch: Callable[[str], str | None], *, key_col: str
     return keys.repartition(parallel).mapInPandas(run, schema)
 
 
-def downloads(wanted: DataFrame, present: DataFrame, fetch: Callable[[str], tuple[int, bytes]], *, delay: float = 3.0, parallel: int = 2) -> DataFrame:
-    """Blobs of ids that are not present: ``safe, url, content, ok``; only status 200 with a body is ok."""
+def pdf_body(body: bytes, least: int = 2000) -> bool:
+    """Whether a body is a PDF: long enough, its mark among the first 20 bytes."""
+    return len(body) > least and b"%PDF" in body[:20]
+
+
+def downloads(wanted: DataFrame, present: DataFrame, fetch: Callable[[str], tuple[int, bytes]], *, delay: float = 3.0, parallel: int = 2, beyond: int = 0, accept: Callable[[bytes], bool] = len) -> DataFrame:
+    """Blobs of ids that are not present: ``safe, url, content, ok``; only status 200 with an accepted body is ok.
+
+    Files of ``beyond`` bytes or fewer do not count as present. For PDFs this is 2000, and
+    ``accept`` is :func:`pdf_body`.
+    """
     schema = "safe string, url string, content binary, ok boolean"
-    todo = wanted.select("safe", "url").join(present.filter("length > 0").select("safe"), "safe", "left_anti")
+    todo = wanted.select("safe", "url").join(present.filter(F.col("length") > beyond).select("safe"), "safe", "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -91,7 +100,7 @@ def downloads(wanted: DataFrame, present: DataFrame, fetch: Callable[[str], tupl
                     status, body = fetch(url)
                 except Exception:  # noqa: BLE001 - reported as not ok
                     status, body = 0, b""
-                good = status == 200 and len(body) > 0
+                good = status == 200 and bool(accept(body))
                 rows.append((safe, url, body if good else None, good))
                 time.sleep(delay)
             yield pd.DataFrame(rows, columns=["safe", "url", "content", "ok"])
