@@ -299,8 +299,8 @@ def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text
     return [r.word for r in top.collect()]
 
 
-def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 350_000, text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` (and ``ids``, ``decoded``).
+def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 350_000, text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` (and, if asked for, ``ids`` and ``decoded``).
 
     A null or empty text has no ids and decodes to the empty text. Texts are processed
     whole, however long. Columns with these names are replaced, all others stay;
@@ -315,8 +315,8 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50
     compiled = spark.sparkContext.broadcast(compile_lexicon({w: v.encode(w) for w in frequent_words(docs, vocabulary, lexicon_size, text_col)}))
     docs = without(docs, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    fields += [T.StructField("decoded", T.StringType())] if with_text else []
 
     def make():
         v, lexicon = vocabulary.value, Lexicon(compiled.value)
@@ -348,10 +348,14 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50
                 whole = " ".join([g[2] for g in got])
                 texts.append(hashlib.sha256(whole.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([int(i) for i in line.split()])
+                    all_ids.append(np.fromstring(line, dtype=np.int32, sep=" "))
+                if with_text:
                     decoded.append(whole)
             out = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
-            return out + [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else out
+            if with_ids:
+                edge = np.cumsum([0, *sizes], dtype=np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+            return out + [pa.array(decoded, pa.string())] if with_text else out
 
         return f
 

@@ -218,7 +218,7 @@ def test_bpe_equals_library(spark):
     odd = "aB'sÉ é\x1c\x85 1٣你😀ΣςİÅﬁ!.-<|>_\t\n"
     extra = ["".join(rng.choice([rng.choice(odd), chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0x10000, 0x1FFFF)]))]) for _ in range(40)) for _ in range(300)]
     rows = documents() + [(2000 + i, t, None, None, None) for i, t in enumerate([*extra, "x" * 3000, "ab" * 2000])]
-    got = encode_texts(clash(frame(spark, rows), "ids", "word"), PATH, lexicon_size=40, with_ids=True).collect()
+    got = encode_texts(clash(frame(spark, rows), "ids", "word"), PATH, lexicon_size=40, with_ids=True, with_text=True).collect()
     assert len(got) == len(rows)
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
