@@ -472,8 +472,9 @@ def _joining_links(needed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     starred = needed.join(hubs, "sig").filter("set <> hub")
     links = _verify(starred.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets)
     open_ = starred.filter("m > 2").select("sig", "set")  # a hub has met all others
+    fresh, roots = links, None
     for r in range(1, ROUNDS + 1):
-        roots = components(links)
+        roots = components(fresh, roots)
         named = open_.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", F.coalesce("root", "set").alias("root"))
         split = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
         named = written(named.join(split, "sig"), "join-open")
@@ -488,7 +489,8 @@ def _joining_links(needed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
         pairs = outside.select("set", F.col("main.hub").alias("hub")).unionByName(
             outside.join(other, "sig").filter("root <> other.root").select("set", F.col("other.set").alias("hub"))
         )
-        links = links.unionByName(_verify(pairs.select(*_pair("set", "hub")).distinct(), sets))
+        fresh = _verify(pairs.select(*_pair("set", "hub")).distinct(), sets)
+        links = links.unionByName(fresh)
     if not named.take(1):
         return links, roots
 
@@ -496,7 +498,7 @@ def _joining_links(needed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataF
     more = _verify(written(_near_across(rows, sets), "join-candidates"), sets, near=True)
     if more.take(1):
         links = links.unionByName(more)
-        roots = components(links)
+        roots = components(more, roots)
     return links, roots
 
 

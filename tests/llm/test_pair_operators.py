@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -294,6 +295,20 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102)}, 150: 150, 200: 150}
 
 
+def test_components_of_later_edges(spark):
+    """Edges that come later join the components found before: merged, extended, untouched, none."""
+    rng = random.Random(4)
+    table = lambda x: spark.createDataFrame(x, "a long, b long")
+    first = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(40)] + [(500, 501), (501, 502)]
+    later = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(25)] + [(7, 7), (900, 901)]
+    known = components(table(first))
+    whole = dict(map(tuple, components(table(first + later)).collect()))
+    rows = [tuple(r) for r in components(table(later), known).collect()]
+    assert dict(rows) == whole and len(rows) == len(whole)
+    assert sorted(map(tuple, components(table([]), known).collect())) == sorted(map(tuple, known.collect()))
+    assert components(table([])).collect() == []
+
+
 def test_lines_against_hash(spark):
     got = dedup_lines(frame(spark).select("doc_id", "text"))
     assert all(len(hashlib.sha256((r.text or "").encode()).hexdigest()) == 64 for r in got.collect())
