@@ -189,12 +189,19 @@ def best_classes(after: np.ndarray, before: np.ndarray, itself: np.ndarray, own:
     ``after[w, c]`` and ``before[w, c]`` count the neighbours of other words by class,
     ``itself`` those that are the word again, ``own`` is its shape class in the table ``n``.
     """
-    at = np.arange(len(own))
-    rows, cols = np.repeat(n[None, :classes], len(own), 0), np.repeat(n[:, :classes].T[None], len(own), 0)
-    rows[at, :, own] -= before[:, :classes]
-    cols[at, :, own] -= after[:, :classes]
-    gain = (_f(rows + after[:, None]) - _f(rows)).sum(2) + (_f(cols + before[:, None]) - _f(cols)).sum(2)
-    same, x, y, z = n.diagonal()[:classes], after[:, :classes], before[:, :classes], itself[:, None]
+    gain, inside = np.zeros((len(own), classes)), n[:classes, :classes]
+    # only classes that a word meets change: most words meet few of the table's
+    for met, other, table in ((after, before, n[:classes].T), (before, after, n[:, :classes])):
+        word, c = np.nonzero(met)
+        if not len(word):
+            continue
+        cells, was = table[c], _f(table)[c]
+        self_ = np.flatnonzero(c == own[word])
+        cells[self_] -= other[word[self_], :classes]
+        was[self_] = _f(cells[self_])
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        gain[word[first]] += np.add.reduceat(_f(cells + met[word, c][:, None]) - was, first)
+    same, x, y, z = inside.diagonal(), after[:, :classes], before[:, :classes], itself[:, None]
     gain += _f(same + x + y + z) + _f(same) - _f(same + x) - _f(same + y)
     left, right = n[:classes].sum(1), n[:, :classes].sum(0)
     gain -= _f(left + after.sum(1)[:, None] + z) - _f(left) + _f(right + before.sum(1)[:, None] + z) - _f(right)
