@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, emit_rows, written
+from .common import column, emit_rows, frequent, written
 
 EXCHANGE_WORDS = 512
 CLASSES = 32
@@ -327,7 +327,7 @@ def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EX
     for w, n in top:
         inside[named[w]] += n
     model = ClassModel(
-        head={bytes(r["word"]): (r["n"], r["class"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(head_words).collect()},
+        head={bytes(r["word"]): (r["n"], r["class"]) for r in frequent(vocabulary, head_words).collect()},
         classes=named,
         emission={w: math.log10(n / inside[named[w]]) for w, n in top},
         clustered=np.log10(np.maximum(inside, 1) / np.maximum(total, 1)),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, emit_rows, map_columns, without
+from .common import column, emit_rows, frequent, map_columns, without, written
 
 #: Fixed values of the tokenizer's file: how it cuts a normalised text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\p{White_Space}{L}{N}]+"
@@ -267,7 +267,7 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text") -> list[str]:
-    """The ``size`` words seen most in all texts, counted by summaries of bounded size.
+    """The words seen most in all texts, at most ``size``, counted by summaries of bounded size.
 
     A task keeps at most ``8 * size`` counters and drops the rarest beyond that, so the
     counts are lower bounds. They only choose what the automaton holds; ids do not
@@ -295,8 +295,8 @@ def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text
         return f, end
 
     parts = emit_rows(docs.select(text_col), make, T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counts = written(parts.groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    return [r.word for r in frequent(counts, size).collect()]
 
 
 def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50_000, cache_size: int = 350_000, text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:

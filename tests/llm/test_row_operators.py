@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from groundlake.llm.common import frequent
 from groundlake.llm.brown_lm import exchange, fit, score_texts, shape, tokens
 from groundlake.llm.gif_media import Frame, decode_frames, gif_payload, lzw_decode, lzw_encode, read_gif, render, store_texts, text_payload, write_gif
 from groundlake.llm.language_id import UNKNOWN, drop_unidentified, fit_profiles, grams, held_out, identify
@@ -204,6 +205,13 @@ def test_language_cases(spark):
     assert {(r.doc_id, r.text): r.lang for r in kept.collect()} == want
 
 
+def test_frequent_rows(spark):
+    """At most so many rows, those of largest counts; equal counts are in or out together."""
+    table = spark.createDataFrame([(w, n) for w, n in zip("abcdefgh", (1, 1, 1, 2, 2, 300, 9000, 10**12))], "word string, n long")
+    got = {size: sorted(r.word for r in frequent(table, size).collect()) for size in (0, 1, 3, 4, 5, 7, 8, 99)}
+    assert got == {0: [], 1: ["h"], 3: [*"fgh"], 4: [*"fgh"], 5: [*"defgh"], 7: [*"defgh"], 8: [*"abcdefgh"], 99: [*"abcdefgh"]}
+
+
 def test_held_out_is_crc(spark):
     for r in frame(spark).select("doc_id", held_out().alias("h")).collect():
         assert r.h == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 0)
