@@ -141,3 +141,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_suffix_dedup"] = op4_suffix_dedup
+
+
+def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .late_overwrite import late_sales
+
+    return late_sales(table(spark, sf_dir, "sales"))
+
+
+QUERIES["op12_late_overwrite"] = op12_late_overwrite
