@@ -39,7 +39,8 @@ def micros(df: DataFrame, name: str) -> F.Column:
 
 def day_of(df: DataFrame, name: str) -> F.Column:
     """Whole days since 1970, -1 for a null."""
-    return F.coalesce(F.floor(micros(df, name) / F.lit(DAY)).cast("long"), F.lit(-1).cast("long"))
+    at = micros(df, name)
+    return F.coalesce(((at - F.pmod(at, F.lit(DAY))) / F.lit(DAY)).cast("long"), F.lit(-1).cast("long"))
 
 
 def latest(rows: DataFrame, key: str, arrived: str) -> DataFrame:
