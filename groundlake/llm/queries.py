@@ -150,3 +150,44 @@ def op12_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_late_overwrite"] = op12_late_overwrite
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+
+#: crc32 of an id's decimal text, bit by bit: a byte enters, then eight shifts (-1).
+_CRC_SQL = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id AS c, list({{'role': role, 'text': text}} ORDER BY pos) AS turns FROM t GROUP BY conv_id
+), h AS (
+  SELECT c, turns, {_CRC_SQL.format("c")} % 4 AS h FROM own
+), whole AS (
+  SELECT h.c, list_concat(coalesce(b.turns, [])[:h.h], h.turns[h.h + 1:]) AS seq FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20
+), prefixes AS (
+  SELECT c, d, seq[:d] AS p, len(seq) = d AS ends FROM whole, unnest(generate_series(0, len(seq))) AS g(d)
+), nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS words,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+), kids AS (
+  SELECT p[:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), whole_nodes AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p, d)
+), sums AS (
+  SELECT w.p[:j] AS p, j AS d, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+  FROM whole_nodes w, unnest(generate_series(0, w.d)) AS g(j) GROUP BY ALL
+)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole_nodes w JOIN sums USING (p, d) LEFT JOIN nodes up ON up.d = w.d - 1 AND up.p = w.p[:w.d - 1]
+"""
