@@ -191,3 +191,15 @@ WITH t AS (
 SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
 FROM whole_nodes w JOIN sums USING (p, d) LEFT JOIN nodes up ON up.d = w.d - 1 AND up.p = w.p[:w.d - 1]
 """
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .quality_trees import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_quality(docs, trees).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES["op13_quality_trees"] = op13_quality_trees
