@@ -1,21 +1,46 @@
-"""Free-text titles to paper ids (JN-5, SRT-2, TXT-13 to TXT-15, AGG-7, OPS-6)."""
+"""Titles to paper ids by similarity, year-aware (JN-5, SRT-2, TXT-13 to TXT-15, AGG-7, OPS-6).
+
+Exact best matches without comparing a title to all papers: papers that share a title's
+rarest grams give it a third-best score to beat; the papers lie in blocks of about equal
+length, of which only those meet the title whose lengths can beat that score; in a block
+counts of letters, then a longest common subsequence, bound the similarity from above, and
+only pairs whose bound passes are matched.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_paper_id
 from ..functions.titles import HIGH, adjusted, band, normalize_title, split_year
+from ..storage import written
 
 #: Titles resolved in one pass; more are resolved block by block.
 MAX_TITLES = 2000
 
+#: Rare grams of a title, how frequent one may be, and papers tried, in the search for a score to beat.
+#: None changes a result: what this search misses, the blocks find.
+SEED_GRAMS, SEED_DF, SEED_TRIES = 16, 500, 30
+
+#: Titles and letters of a block at most, about.
+BLOCK_ROWS, BLOCK_LETTERS = 1024, 1_000_000
+
+#: Length classes an octave, and what agreement of years may add.
+CLASSES, NUDGE = 2, 0.05
+
+#: Letters beyond which a common subsequence costs more than it saves.
+LONGEST = 640
+
+_SYMBOLS = np.full(256, 37, dtype=np.uint8)
+_SYMBOLS[np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = np.arange(37)
+
 
 def papers_of(index: DataFrame) -> DataFrame:
     """One row per paper, its first chunk's fields: ``paper_id, title, year, norm``."""
@@ -23,65 +48,190 @@ def papers_of(index: DataFrame) -> DataFrame:
     return first.select("paper_id", "f.title", "f.year", normalize_title(F.coalesce("f.title", F.lit(""))).alias("norm"))
 
 
-def _letters(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """How often each of 64 classes of characters occurs in each text, and its length."""
-    distinct, at = np.unique(texts.to_numpy(dtype=str), return_inverse=True)
-    held = np.zeros((len(distinct), 64), dtype=np.int32)
-    for row, text in zip(held, distinct.tolist()):
-        row += np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 64, minlength=64).astype(np.int32)
-    return held[at], np.array([len(x) for x in distinct.tolist()])[at]
+def similarity(a: str, b: str) -> float:
+    """Ratio of longest matching blocks; not symmetric, ``a`` is the title asked for."""
+    return SequenceMatcher(None, a, b).ratio()
+
 
+def letters(norms: list[str]) -> np.ndarray:
+    """How often each of the 37 symbols of normal titles occurs in each."""
+    return np.array([np.bincount(_SYMBOLS[np.frombuffer(x.encode(), dtype=np.uint8)], minlength=38)[:37] for x in norms], dtype=np.int32).reshape(len(norms), 37)
 
-def best_ratios(pairs: DataFrame, top: int) -> DataFrame:
-    """The pairs of ``qid, q_norm, norm, nudge, ...`` that may be among a query's best, with ``s``.
 
-    ``s`` is the longest-matching-block similarity (not symmetric: the query is first)
-    plus the nudge, at most 1. Matched blocks hold no character more often than either
-    text, which bounds it from above; pairs whose bound is under the ``top`` best that a
-    task has seen for their query are left out, without being matched.
+def common_subsequences(asked: str, norms: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a normal title with each of many.
+
+    One bit per letter of ``asked``; all of ``norms`` advance by one letter at a time.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pairs.schema)}, s double"
+    size, lengths = len(asked), np.array([len(x) for x in norms])
+    if not size or not len(norms) or not lengths.max():
+        return np.zeros(len(norms), dtype=np.int64)
+    wide = -(-size // 64)
+    own = _SYMBOLS[np.frombuffer(asked.encode(), dtype=np.uint8)]
+    mask = np.zeros((wide, 38), dtype=np.uint64)
+    for i, c in enumerate(own.tolist()):
+        mask[i // 64, c] |= np.uint64(1 << (i % 64))
+    mask[:, 37] = 0
+    text = np.full((len(norms), lengths.max()), 37, dtype=np.uint8)
+    for row, x in zip(text, norms):
+        row[: len(x)] = _SYMBOLS[np.frombuffer(x.encode(), dtype=np.uint8)]
+    v = np.full((wide, len(norms)), np.uint64(2**64 - 1))
+    for at in range(text.shape[1]):
+        met = mask[:, text[:, at]]
+        carry = None
+        for w in range(wide):
+            u = v[w] & met[w]
+            total = v[w] + u
+            over = total < u
+            if carry is not None:
+                more = total + carry
+                over = over | (more < total)
+                total = more
+            v[w] = total | (v[w] - u)
+            carry = over.astype(np.uint64) if w + 1 < wide else None
+    # bits beyond the title never meet a letter and stay set
+    return 64 * wide - np.bitwise_count(v).astype(np.int64).sum(axis=0)
 
-    def run(frames):
-        m = SequenceMatcher(None)
-        best: dict[str, list[float]] = {}
-        for frame in frames:
-            if frame.empty:
-                continue
-            (x, nx), (y, ny) = _letters(frame["q_norm"]), _letters(frame["norm"])
-            nudge = frame["nudge"].to_numpy()
-            bound = np.where(nx + ny > 0, 2 * np.minimum(x, y).sum(1) / np.maximum(nx + ny, 1), 1.0)
-            bound = np.minimum(bound + nudge, 1.0) + 1e-9
-            s = np.full(len(frame), np.nan)
-            qid, q, norm = (frame[c].tolist() for c in ("qid", "q_norm", "norm"))
-            for i in np.argsort(-bound, kind="stable").tolist():
-                held = best.setdefault(qid[i], [])
-                if len(held) == top and bound[i] < held[0]:
-                    continue
-                m.set_seqs(q[i], norm[i])
-                s[i] = min(m.ratio() + nudge[i], 1.0)
-                (heapq.heappushpop if len(held) == top else heapq.heappush)(held, s[i])
-            yield frame.assign(s=s)[~np.isnan(s)]
 
-    return pairs.mapInPandas(run, schema)
+def size_class(size: Column) -> Column:
+    """Length class of a normal title."""
+    return F.floor(F.log2(size + 1) * CLASSES).cast("int")
+
+
+def grams(norm: Column) -> Column:
+    """Distinct runs of three symbols; a shorter title is one gram."""
+    n = F.length(norm)
+    return F.array_distinct(F.when(n < 4, F.array(norm)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(norm, i, 3))))
+
+
+def entries_of(papers: DataFrame, top: int) -> DataFrame:
+    """One row per distinct ``norm, year`` with its ``top`` smallest papers: equal titles score alike.
+
+    The group limit keeps ``top`` rows a group in every task, so a title that a third of all
+    papers bear is no large group.
+    """
+    place = F.row_number().over(Window.partitionBy("norm", "year").orderBy("paper_id"))
+    few = papers.select("norm", "year", "paper_id", "title").withColumn("_place", place).filter(F.col("_place") <= top)
+    return few.groupBy("norm", "year").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title"))).alias("papers"))
+
 
+def blocks_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with ``class`` and ``part``, and how many parts each class of lengths has."""
+    marked = entries.withColumn("class", size_class(F.length("norm")))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("norm")) / BLOCK_LETTERS, F.lit(1.0))).cast("int")
+    classes = marked.groupBy("class").agg(parts.alias("parts"))
+    # some dozens of rows, a few an octave of lengths
+    return marked.join(F.broadcast(classes), "class").withColumn("part", F.pmod(F.xxhash64("norm", "year"), F.col("parts")).cast("int")).drop("parts"), classes
 
-def resolve(queries: DataFrame, papers: DataFrame, top: int = 3) -> DataFrame:
+
+def first_scores(asked: DataFrame, entries: DataFrame, top: int) -> DataFrame:
+    """``qid, least``: the score of a title's ``top``-th best paper among those sharing rare grams, where there are so many.
+
+    ``asked`` has ``qid, q_norm, q_year`` and is small (counted by the caller).
+    """
+    wanted = asked.select("qid", F.explode(grams(F.col("q_norm"))).alias("gram"))
+    every = entries.select("norm", "year", F.size("papers").alias("n"), F.explode(grams(F.col("norm"))).alias("gram"))
+    known = every.join(F.broadcast(wanted.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") <= SEED_DF)
+    rare = F.row_number().over(Window.partitionBy("qid").orderBy("df", "gram"))
+    seeds = wanted.join(F.broadcast(known), "gram").withColumn("_r", rare).filter(F.col("_r") <= SEED_GRAMS).select("qid", "gram")
+    shared = every.join(F.broadcast(seeds), "gram").groupBy("qid", "norm", "year", "n").agg(F.count("*").alias("shared"))
+    near = F.col("shared") / (F.length("q_norm") + F.length("norm") + 1)
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(near), "norm", "year"))
+    tried = shared.join(F.broadcast(asked), "qid").withColumn("_b", best).filter(F.col("_b") <= max(SEED_TRIES, top))
+    tried = tried.withColumn("nudge", adjusted(F.lit(0.0), F.col("q_year"), F.col("year")))
+
+    def score(frames):
+        for f in frames:
+            yield pd.DataFrame({"qid": f["qid"].astype(object), "n": f["n"], "s": [min(similarity(a, b) + x, 1.0) for a, b, x in zip(f["q_norm"], f["norm"], f["nudge"])]})
+
+    scored = tried.select("qid", "q_norm", "norm", "nudge", "n").mapInPandas(score, "qid string, n int, s double")
+    upto = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return scored.withColumn("upto", upto).filter(F.col("upto") >= top).groupBy("qid").agg(F.max("s").alias("least"))
+
+
+def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
+    """The entries of one block that may be among the ``top`` best of each title: ``qid, at, s``, with how many were matched."""
+    norms, years = titles["norm"].tolist(), titles["year"].to_numpy(dtype=object)
+    sizes, held = np.array([len(x) for x in norms]), letters(norms)
+    copies = titles["n"].to_numpy()
+    dated = np.array([y is not None and y != "" for y in years])
+    out: list[tuple] = []
+    matchers: dict[int, SequenceMatcher] = {}  # what a matcher knows of its second text serves all titles asked for
+    for qid, q, year, least in zip(asked["qid"], asked["q_norm"], asked["q_year"], asked["least"]):
+        nudge = np.where(dated, np.where(years == year, NUDGE, -NUDGE), 0.0) if isinstance(year, str) else np.zeros(len(norms))
+        total = sizes + len(q)
+        upper = lambda common, at: np.minimum(np.where(total[at] > 0, 2 * common / np.maximum(total[at], 1), 1.0) + nudge[at], 1.0) + 1e-9
+        at = np.arange(len(norms))
+        bound = upper(np.minimum(held, letters([q])).sum(axis=1), at)
+        keep = bound >= least
+        at, bound = at[keep], bound[keep]
+        if len(at) > 8 and max(len(q), sizes[at].max()) <= LONGEST:
+            bound = np.minimum(bound, upper(common_subsequences(q, [norms[i] for i in at]), at))
+            keep = bound >= least
+            at, bound = at[keep], bound[keep]
+        best: list[tuple[float, int]] = []  # scores and how many papers have them
+        room = 0
+        floor = least
+        for i, b in zip(at[np.argsort(-bound, kind="stable")].tolist(), np.sort(-bound, kind="stable").tolist()):
+            if -b < floor:
+                break
+            m = matchers.get(i) or matchers.setdefault(i, SequenceMatcher(None, "", norms[i]))
+            m.set_seq1(q)
+            s = min(m.ratio() + nudge[i], 1.0)
+            if s < floor:
+                continue
+            out.append((qid, i, s))
+            heapq.heappush(best, (s, int(copies[i])))
+            room += int(copies[i])
+            while room - best[0][1] >= top:
+                room -= heapq.heappop(best)[1]
+            if room >= top:
+                floor = max(floor, best[0][0])
+    return pd.DataFrame(out, columns=["qid", "at", "s"])
+
+
+def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float | None = None) -> DataFrame:
     """``qid, rank, paper_id, title, year, score, band``: the best papers of each title.
 
-    ``queries`` has ``qid, query``; ties go to smaller ids. All pairs are bounded, few are matched.
+    ``queries`` has ``qid`` (text) and ``query``; ties go to smaller ids; a null title is
+    empty. With ``least``, papers under that score are not looked for. The result is that of
+    matching all pairs.
     """
     number = queries.count()
-    blocks = max(1, -(-number // MAX_TITLES))
+    passes = max(1, -(-number // MAX_TITLES))
+    entries = written(entries_of(papers, top), "titles")
+    blocked, classes = blocks_of(entries)
     found = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        q = part.select("qid", split_year(F.col("query")).alias("s")).select("qid", normalize_title(F.col("s.title")).alias("q_norm"), F.col("s.year").alias("q_year"))
-        met = papers.crossJoin(F.broadcast(q)).withColumn("nudge", adjusted(F.lit(0.0), F.col("q_year"), F.col("year")))
-        pairs = best_ratios(met, top)
-        found = pairs if found is None else found.unionByName(pairs)
+    for p in range(passes):
+        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
+        q = part.select("qid", split_year(F.coalesce("query", F.lit(""))).alias("s")).select("qid", normalize_title(F.coalesce("s.title", F.lit(""))).alias("q_norm"), F.col("s.year").alias("q_year"))
+        q = q.join(F.broadcast(first_scores(q, entries, top)), "qid", "left")
+        floor = F.greatest(F.coalesce("least", F.lit(-1.0)), F.lit(-1.0 if least is None else least))
+        q = written(q.withColumn("least", floor), "titles-asked")
+        # lengths that can reach the score: the shorter of two sides bounds what they share
+        need, size = F.col("least") - NUDGE, F.length("q_norm")
+        open_ended = need <= 0.01
+        low = F.when(open_ended, F.lit(0)).otherwise(F.floor(size * need / (2 - need)) - 1)
+        high = F.when(open_ended, F.lit((1 << 31) - 2)).otherwise(F.ceil(size * (2 - need) / need) + 1)
+        spread = F.sequence(size_class(F.greatest(low, F.lit(0))), size_class(high))
+        sent = q.select("qid", "q_norm", "q_year", "least", F.explode(spread).alias("class")).join(F.broadcast(classes), "class")
+        sent = sent.select("qid", "q_norm", "q_year", "least", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+        def both(titles: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            got = meet(titles, asked, top)
+            norm, year = titles["norm"].tolist(), titles["year"].tolist()
+            # plain objects: text columns of several chunks do not go back to Spark
+            found = {"qid": got["qid"].tolist(), "norm": [norm[i] for i in got["at"]], "year": [year[i] for i in got["at"]]}
+            return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in found.items()} | {"s": got["s"].astype(float)})
+
+        lying = blocked.select("class", "part", "norm", "year", F.size("papers").alias("n"))
+        near = lying.groupBy("class", "part").cogroup(sent.groupBy("class", "part")).applyInPandas(both, "qid string, norm string, year string, s double")
+        found = near if found is None else found.unionByName(near)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "paper_id"))
-    ranked = found.withColumn("rank", place).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
+    # an entry has ``top`` papers at most
+    named = found.alias("f").join(entries.alias("e"), (F.col("f.norm") == F.col("e.norm")) & F.col("f.year").eqNullSafe(F.col("e.year")))
+    named = named.select("qid", "s", "f.year", F.explode("papers").alias("p")).select("qid", "s", "year", "p.paper_id", "p.title")
+    ranked = named.withColumn("rank", place).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
     return ranked.select("qid", "rank", "paper_id", "title", "year", "score", band(F.col("score")).alias("band"))
 
 
@@ -92,8 +242,19 @@ def resolve_expected(gold: DataFrame, papers: DataFrame) -> DataFrame:
     """
     each = gold.select("qid", F.posexplode("expected_citations").alias("pos", "entry"))
     titles = each.filter(~is_paper_id(F.col("entry"))).select(F.concat_ws("#", "qid", "pos").alias("qid"), F.col("entry").alias("query"))
-    best = resolve(titles, papers, 1).filter(F.col("score") >= HIGH).select(F.col("qid").alias("key"), "paper_id")
+    best = resolve(titles, papers, 1, least=HIGH - 0.001).filter(F.col("score") >= HIGH).select(F.col("qid").alias("key"), "paper_id")
     named = each.withColumn("key", F.concat_ws("#", "qid", "pos")).join(best, "key", "left")
     ids = named.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("paper_id", "entry").alias("id")))), lambda s: s["id"]).alias("ids"))
     out = gold.join(ids, "qid", "left").withColumn("expected_citations", F.coalesce("ids", "expected_citations"))
     return out.select(*gold.columns)
+
+
+def title_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (with ``a, b``, normal titles) and their ``similarity``."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pairs.schema)}, similarity double"
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(similarity=[similarity(a or "", b or "") for a, b in zip(f["a"], f["b"])])
+
+    return pairs.mapInPandas(run, schema)

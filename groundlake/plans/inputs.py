@@ -18,7 +18,7 @@ papers AS (
     CASE doc_id % 5 WHEN 0 THEN 'hep-th' WHEN 1 THEN 'cond-mat.str-el' WHEN 2 THEN 'math.AG' WHEN 3 THEN 'math.PR' ELSE 'stat.ML' END AS primary_category,
     CASE WHEN doc_id % 11 = 0 THEN '????' ELSE CAST(1976 + doc_id % 50 AS VARCHAR) END || '-01-01T00:00:00' AS published,
     ['A. Writer', CASE doc_id % 3 WHEN 0 THEN ' Ann Author ' WHEN 1 THEN 'ann author' ELSE 'B. Author-Smith' END] AS authors,
-    substr(text, 1, 60) AS title
+    CASE WHEN length(regexp_extract(text, '^[^.!?\\n]*')) BETWEEN 1 AND 160 THEN regexp_extract(text, '^[^.!?\\n]*') ELSE 'Untitled note ' || doc_id END AS title
   FROM documents
 )"""
 
@@ -40,9 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with ids of the three forms, categories, dates and authors."""
+    """``documents`` with ids of the three forms, categories, dates and authors.
+
+    The title is the first sentence; a text that begins with no sentence of a title's length has none.
+    """
     d = table(spark, sf_dir, "documents")
-    i = F.col("doc_id")
+    i, sentence = F.col("doc_id"), F.regexp_extract("text", r"^[^.!?\n]*", 0)
     pick = lambda m, values: F.get(F.array(*[F.lit(v) for v in values]), (i % m).cast("int"))
     return d.select(
         "*",
@@ -50,7 +53,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(5, ["hep-th", "cond-mat.str-el", "math.AG", "math.PR", "stat.ML"]).alias("primary_category"),
         F.concat(F.when(i % 11 == 0, "????").otherwise((1976 + i % 50).cast("string")), F.lit("-01-01T00:00:00")).alias("published"),
         F.array(F.lit("A. Writer"), pick(3, [" Ann Author ", "ann author", "B. Author-Smith"])).alias("authors"),
-        F.substring("text", 1, 60).alias("title"),
+        F.when(F.length(sentence).between(1, 160), sentence).otherwise(F.concat(F.lit("Untitled note "), i.cast("string"))).alias("title"),
     )
 
 

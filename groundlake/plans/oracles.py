@@ -55,6 +55,30 @@ _JOINED = """
 joined AS (SELECT h.*, p.doc_id, p.paper_id, p.text, p.source, substr(p.published, 1, 4) AS year FROM hits h JOIN papers p ON p.doc_id = h.vec_id % (SELECT count(*) FROM documents))"""
 _INDEX = """
 idx AS (SELECT v.vec_id, p.doc_id, p.paper_id, p.title, p.published FROM embeddings v JOIN papers p ON p.doc_id = v.vec_id % (SELECT count(*) FROM documents))"""
+_NORMAL = "trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g'))"
+#: Longest-matching-block ratios of ``pairs`` (pair, a, b). A block is the longest run of letters equal
+#: on both sides, first in a, then in b; in a second text of 200 letters or more a run begins with
+#: letters of at most a hundredth of it, and grows over the others. Left and right of it the same again.
+_RATIO = """
+side_a AS (SELECT pair, i, a[i] AS c FROM pairs, unnest(generate_series(1, length(a))) AS g(i)),
+side_b AS (SELECT pair, j, c, length(b) >= 200 AND count(*) OVER (PARTITION BY pair, c) > length(b) // 100 + 1 AS popular FROM (SELECT pair, b, j, b[j] AS c FROM pairs, unnest(generate_series(1, length(b))) AS g(j))),
+cells AS (SELECT x.pair, i, j, popular, i - row_number() OVER (PARTITION BY x.pair, i - j ORDER BY i) AS run, i - row_number() OVER (PARTITION BY x.pair, i - j, popular ORDER BY i) AS rare_run FROM side_a x JOIN side_b y ON x.pair = y.pair AND x.c = y.c),
+lengths AS (SELECT pair, i, j, popular, i - min(i) OVER w AS before, max(i) OVER w - i + 1 AS after, max(i) OVER r - i + 1 AS rare FROM cells WINDOW w AS (PARTITION BY pair, i - j, run), r AS (PARTITION BY pair, i - j, popular, rare_run)),
+seg AS (
+  SELECT pair, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size FROM pairs WHERE a <> '' AND b <> ''
+  UNION ALL
+  SELECT pair, p.alo, p.ahi, p.blo, p.bhi, p.size FROM (
+    SELECT pair, unnest([{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'size': n}, {'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi, 'size': 0}]) AS p FROM (
+      SELECT t.*, l.i - least(l.before, l.i - alo, l.j - blo) AS i, l.j - least(l.before, l.i - alo, l.j - blo) AS j, least(l.before, l.i - alo, l.j - blo) + least(l.after, ahi - l.i, bhi - l.j) AS n
+      FROM (
+        SELECT seg.pair, alo, ahi, blo, bhi, min([-least(rare, ahi - i, bhi - j), i, j]) AS best
+        FROM seg LEFT JOIN lengths ON lengths.pair = seg.pair AND i >= alo AND i < ahi AND j >= blo AND j < bhi AND NOT popular
+        WHERE alo < ahi AND blo < bhi GROUP BY seg.pair, alo, ahi, blo, bhi
+      ) t JOIN lengths l ON l.pair = t.pair AND l.i = coalesce(t.best[2], alo) AND l.j = coalesce(t.best[3], blo)
+    )
+  )
+),
+ratios AS (SELECT pair, CASE WHEN length(any_value(a)) + length(any_value(b)) = 0 THEN 1.0 ELSE 2 * coalesce(sum(size), 0) / (length(any_value(a)) + length(any_value(b)))::DOUBLE END AS ratio FROM pairs LEFT JOIN seg USING (pair) GROUP BY pair)"""
 _CHUNKS = f"""
 toks AS (SELECT *, {_WORDS} AS w FROM papers),
 cnt AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 450 THEN 1 ELSE CAST(ceil((len(w) - 450) / 390.0) AS INTEGER) + 1 END AS n FROM toks),
@@ -170,5 +194,17 @@ SELECT coalesce(ep, 'inspire:' || doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0
 s AS (SELECT doc_id, round(least(1.0::DOUBLE, ratio + CASE WHEN wanted IS NULL OR year IS NULL THEN 0.0 WHEN wanted = year THEN 0.05 ELSE -0.05 END), 3) AS score FROM r)
 SELECT *, CASE WHEN score >= 0.9 THEN 'confident' WHEN score >= 0.6 THEN 'review' ELSE 'none' END AS band FROM s""",
     "open_access": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'https://x/' || doc_id END AS listed, 'https://x/' || doc_id AS best FROM documents",
-    "title_similarity": "SELECT qid, round(least(1.0, s), 6) AS s FROM (VALUES ('1', 2 * 3 / 8.0::DOUBLE), ('2', 1.0::DOUBLE), ('3', 0.0::DOUBLE), ('4', 2 * 10 / 30.0::DOUBLE), ('5', 1.0::DOUBLE)) AS v(qid, s)",
+    "title_similarity": f"""{_P.replace("WITH", "WITH RECURSIVE", 1)}, normal AS (SELECT doc_id, {_NORMAL} AS t FROM papers),
+pairs AS (SELECT x.doc_id AS pair, x.t AS a, y.t AS b FROM normal x JOIN normal y ON y.doc_id = x.doc_id + 1), {_RATIO}
+SELECT pair AS doc_id, round(ratio, 6) AS similarity FROM ratios""",
+    "resolve_titles": f"""{_P.replace("WITH", "WITH RECURSIVE", 1)}, {_INDEX},
+known AS (SELECT paper_id, {_NORMAL} AS t, title, year FROM (SELECT paper_id, arg_min(title, vec_id) AS title, arg_min(substr(published, 1, 4), vec_id) AS year FROM idx GROUP BY paper_id)),
+asked AS (SELECT CAST(doc_id AS VARCHAR) AS qid, {_NORMAL} AS t, CASE WHEN published NOT LIKE '?%' THEN substr(published, 1, 4) END AS year FROM (SELECT doc_id, published, title || CASE WHEN published LIKE '?%' THEN ' (????)' ELSE '' END AS title FROM papers WHERE doc_id % 50 = 0)),
+texts AS (SELECT q.t AS a, k.t AS b, row_number() OVER () AS pair FROM (SELECT DISTINCT t FROM asked) q, (SELECT DISTINCT t FROM known) k),
+pairs AS (SELECT pair, a, b FROM texts), {_RATIO},
+met AS (
+  SELECT qid, paper_id, title, known.year, least(1.0::DOUBLE, ratio + CASE WHEN asked.year IS NULL OR known.year IS NULL OR known.year = '' THEN 0.0 WHEN asked.year = known.year THEN 0.05 ELSE -0.05 END) AS s
+  FROM asked JOIN texts ON texts.a = asked.t JOIN ratios USING (pair) JOIN known ON known.t = texts.b
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, paper_id) AS INTEGER) AS rank FROM met)
+SELECT qid, rank, paper_id, title, year, round(s, 3) AS score, CASE WHEN round(s, 3) >= 0.9 THEN 'confident' WHEN round(s, 3) >= 0.6 THEN 'review' ELSE 'none' END AS band FROM ranked WHERE rank <= 3""",
 }

@@ -474,6 +474,7 @@ def open_access(spark, sf):
 
 @query
 def title_similarity(spark, sf):
-    """Fixed pairs: the matching blocks are found by hand in the SQL."""
-    pairs = [("1", "abcd", "bcde", 0.0), ("2", "same title", "same title", 0.05), ("3", "ab", "xy", 0.0), ("4", "private thread", "private volatile", 0.0), ("5", "", "", 0.0)]
-    return resolve.best_ratios(spark.createDataFrame(pairs, "qid string, q_norm string, norm string, nudge double"), 3).select("qid", F.round("s", 6).alias("s"))
+    """Each document's title against that of the next document."""
+    p = papers(spark, sf).select("doc_id", titles.normalize_title(F.coalesce("title", F.lit(""))).alias("a"))
+    pairs = p.join(p.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return resolve.title_pairs(pairs).select("doc_id", F.round("similarity", 6).alias("similarity"))

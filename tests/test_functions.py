@@ -8,6 +8,7 @@ import tarfile
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -342,3 +343,60 @@ def test_resolve_matches_all_pairs(spark):
         ranked = sorted((-min(SequenceMatcher(None, title, t).ratio() + nudge(y), 1.0), p) for p, t, y in known)[:3]
         for place, (score, paper) in enumerate(ranked, 1):
             assert got[qid, place][0] == paper and abs(got[qid, place][1] + score) < 0.0006
+
+
+def test_common_subsequences_and_bounds():
+    """Bit vectors over one and several words against dynamic programming; never under the blocks matched."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for size, letters in ((0, "ab"), (1, "ab"), (63, "abc "), (64, "ab"), (65, "abcdefgh 01"), (130, "abcd"), (200, "abcdefghij ")):
+        q = text(size, letters)
+        many = [text(rng.randrange(90), letters) for _ in range(30)] + ["", q, q[:40], q[3:] + q[:3]]
+        got = resolve.common_subsequences(q, many)
+        assert got.tolist() == [plain(q, x) for x in many]
+        for x, n in zip(many, got):
+            assert sum(b.size for b in SequenceMatcher(None, q, x).get_matching_blocks()) <= n
+
+
+def test_resolve_long_titles_copies_and_ties(spark):
+    """Titles of all lengths, one borne by a third of the papers, whatever the blocks and seeds."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "x", "y2", "of"]
+    known = [(f"p{i:03d}", " ".join(rng.choices(words, k=rng.choice([1, 2, 5, 9, 30, 70]))), rng.choice(["1990", "", None])) for i in range(120)]
+    known += [(f"c{i:03d}", "the common title", "1990") for i in range(60)]
+    asked = [("a", "the common title"), ("b", "the common titles (1990)"), ("c", known[0][1]), ("d", known[7][1] + " alpha"), ("e", "zzz"), ("f", None), ("g", " ".join(words * 12))]
+    papers = spark.createDataFrame([(*k, k[1]) for k in known], "paper_id string, title string, year string, norm string").repartition(4)
+    got = {(r.qid, r["rank"]): (r.paper_id, r.score) for r in resolve.resolve(spark.createDataFrame(asked, "qid string, query string"), papers).collect()}
+    for qid, query in asked:
+        title, year = (query[:-7], query[-5:-1]) if query and query.endswith(")") else (query or "", None)
+        nudge = lambda y: 0.0 if not (year and y) else 0.05 if y == year else -0.05
+        ranked = sorted((-min(SequenceMatcher(None, title, t).ratio() + nudge(y), 1.0), p) for p, t, y in known)[:3]
+        assert [got[qid, k][0] for k in (1, 2, 3)] == [p for _, p in ranked], qid
+    high = resolve.resolve(spark.createDataFrame(asked, "qid string, query string"), papers, 1, least=0.9)
+    assert {r.qid: r.paper_id for r in high.filter("score >= 0.9").collect()} == {q: p for (q, k), (p, s) in got.items() if k == 1 and s >= 0.9}
+
+
+def test_resolver_compares_by_blocks(spark, sf_dir):
+    """No cross join, and no pair but of a title and a block whose lengths can reach its score."""
+    from groundlake.plans.queries import QUERIES
+
+    plan = QUERIES["resolve_titles"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Cartesian" not in plan and "FlatMapCoGroups" in plan
+    few = resolve.meet(pd.DataFrame({"norm": ["abc", "abd", "xyz"], "year": [None] * 3, "n": [1, 1, 1]}), pd.DataFrame({"qid": ["q"], "q_norm": ["abc"], "q_year": [None], "least": [0.6]}), 3)
+    assert few["at"].tolist() == [0, 1]
