@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import inner_product
 
@@ -20,57 +22,98 @@ def top_k_single(index: DataFrame, question: list[float], k: int = 8, *, id_col:
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k(index: DataFrame, questions: DataFrame, k: int = 8, *, id_col: str = "chunk_id", vec_col: str = "embedding", qid_col: str = "qid", q_vec_col: str = "q_embedding") -> DataFrame:
-    """``qid, <id>, score, rank`` for a batch of questions, ranks from 1, ties to smaller ids.
+class Nearest:
+    """The best ``k`` rows of each question so far: a bounded, mergeable list.
 
-    The stated questions meet every row of the index in one pass. The question side is
-    broadcast up to ``MAX_QUESTIONS`` rows, which is checked; more are answered block by
-    block. Per-task group limits keep ``k`` rows a question before the only shuffle.
+    A product in one go chooses candidates; what is kept is scored again row by row, so
+    equal vectors score alike wherever they lie and ties go to smaller ids.
     """
-    number = questions.count()
-    blocks = max(1, -(-number // MAX_QUESTIONS))
-    rank = F.row_number().over(Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col))
-    found = None
-    for b in range(blocks):
-        asked = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b)
-        pairs = index.select(id_col, vec_col).crossJoin(F.broadcast(asked.select(qid_col, q_vec_col)))
-        scored = pairs.select(qid_col, id_col, inner_product(F.col(q_vec_col), F.col(vec_col)).alias("score"))
-        part = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-        found = part if found is None else found.unionByName(part)
-    return found
-
 
-def top_k_blocked(index: DataFrame, questions: DataFrame, k: int = 8, *, id_col: str = "chunk_id", vec_col: str = "embedding", qid_col: str = "qid", q_vec_col: str = "q_embedding") -> DataFrame:
-    """The same by one matrix product per Arrow batch, for large indexes of long vectors.
+    def __init__(self, questions: np.ndarray, k: int):
+        self.q, self.k = questions, k
+        self.col = np.zeros(0, dtype=np.int64)
+        self.ids, self.score = None, np.zeros(0)
+        self.least = np.full(len(questions), -np.inf)  # a question's k-th best, once it has k
+
+    def add(self, ids: np.ndarray, x: np.ndarray, cols: np.ndarray | None = None) -> None:
+        """Rows ``x`` against all questions, or those numbered ``cols``."""
+        cols = np.arange(len(self.q)) if cols is None else cols
+        whole = np.isfinite(x).all(axis=1)
+        ids, x = ids[whole], x[whole]
+        if not len(ids) or not len(cols):
+            return
+        score = x @ self.q[cols].T
+        floor = self.least[cols]
+        if len(ids) > self.k:
+            floor = np.maximum(floor, np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        slack = 1e-9 * (1.0 + np.abs(floor))
+        row, at = np.nonzero(score >= np.where(np.isfinite(floor), floor - slack, floor))
+        exact = np.concatenate([(x[row[i : i + 8192]] * self.q[cols[at[i : i + 8192]]]).sum(axis=1) for i in range(0, len(row), 8192)] or [np.zeros(0)])
+        self.merge(cols[at], ids[row], exact)
+
+    def merge(self, col: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        col = np.concatenate([self.col, col])
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        score = np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, col))
+        col, ids, score = col[order], ids[order], score[order]
+        first = np.searchsorted(col, col, side="left")
+        keep = np.arange(len(col)) - first < self.k
+        self.col, self.ids, self.score = col[keep], ids[keep], score[keep]
+        last = np.flatnonzero(np.r_[self.col[1:] != self.col[:-1], True]) if len(self.col) else []
+        full = [i for i in last if i - np.searchsorted(self.col, self.col[i]) + 1 == self.k]
+        self.least[self.col[full]] = self.score[full]
+
+
+def rows_of(batch: pa.RecordBatch, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of vectors of a batch whose vectors have one length; missing components are NaN."""
+    ids = batch.column(batch.schema.get_field_index(id_col))
+    ids = np.array(ids.to_pylist(), dtype=str) if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+    vectors = batch.column(batch.schema.get_field_index(vec_col)).flatten().to_numpy(zero_copy_only=False)
+    return ids, np.asarray(vectors, dtype=np.float64).reshape(batch.num_rows, -1)
+
+
+def asked_vectors(questions: DataFrame, qid_col: str, q_vec_col: str) -> tuple[list, np.ndarray]:
+    """Questions on the driver: their ids and one matrix; those without a vector are left out."""
+    rows = [r for r in questions.select(qid_col, q_vec_col).collect() if r[1]]
+    wide = {len(r[1]) for r in rows}
+    if len(wide) > 1:
+        raise ValueError(f"questions of different lengths: {sorted(wide)}")
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), *(wide or {0}))
+
+
+def top_k(index: DataFrame, questions: DataFrame, k: int = 8, *, id_col: str = "chunk_id", vec_col: str = "embedding", qid_col: str = "qid", q_vec_col: str = "q_embedding", most: int = MAX_QUESTIONS) -> DataFrame:
+    """``qid, <id>, score, rank`` for a batch of questions, ranks from 1, ties to smaller ids.
 
-    Scores may differ from :func:`top_k` in the last bits; each batch passes on its own
-    best ``k`` a question and a window picks the final ones.
+    The stated questions meet every row of the index in one pass, block by block beyond
+    ``most`` (counted first). A task holds the best ``k`` of each question and sends them
+    on at its end, so ``tasks x k`` rows a question are shuffled and nothing is sorted
+    before. Rows without a whole vector of the questions' length are not found.
     """
-    id_type = index.schema[id_col].dataType.simpleString()
-    q_type = questions.schema[qid_col].dataType.simpleString()
+    blocks = max(1, -(-questions.count() // most))
     parts = []
-    number = questions.count()
-    blocks = max(1, -(-number // MAX_QUESTIONS))
     for b in range(blocks):
-        rows = (questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b)).select(qid_col, q_vec_col).collect()
-        given = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+        names, q = asked_vectors(questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b), qid_col, q_vec_col)
+        given = index.sparkSession.sparkContext.broadcast((names, q))
+        schema = T.StructType([T.StructField(qid_col, questions.schema[qid_col].dataType), T.StructField(id_col, index.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+        arrow = to_arrow_schema(schema)
 
-        def run(frames, given=given):
+        def run(batches, given=given, arrow=arrow):
             names, q = given.value
-            for frame in frames:
-                if not len(frame) or not names:
-                    continue
-                x = np.array(frame[vec_col].tolist(), dtype=np.float64)
-                ids = frame[id_col].to_numpy()
-                score = x @ q.T
-                keep = min(k, len(ids))
-                top = np.argpartition(-score, keep - 1, axis=0)[:keep]
-                # equal to the last kept: the tie is decided by the window
-                least = np.take_along_axis(score, top, 0).min(0)
-                row, col = np.nonzero(score >= least)
-                yield pd.DataFrame({qid_col: [names[c] for c in col], id_col: ids[row], "score": score[row, col]})
-
-        parts.append(index.select(id_col, vec_col).mapInPandas(run, f"{qid_col} {q_type}, {id_col} {id_type}, score double"))
+            held = Nearest(q, k)
+            for batch in batches:
+                if batch.num_rows and names:
+                    held.add(*rows_of(batch, id_col, vec_col))
+            if len(held.col):
+                yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in held.col], arrow.field(0).type), pa.array(held.ids.tolist(), arrow.field(1).type), pa.array(held.score)], schema=arrow)
+
+        rows = index.select(id_col, vec_col).filter(F.size(vec_col) == q.shape[1])
+        parts.append(rows.mapInArrow(run, schema))
+    return best_of(parts, k, id_col, qid_col)
+
+
+def best_of(parts: list[DataFrame], k: int, id_col: str, qid_col: str) -> DataFrame:
+    """The best ``k`` of each question among what tasks sent on, ranked."""
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

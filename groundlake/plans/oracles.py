@@ -106,6 +106,7 @@ ORACLES: dict[str, str] = {
     "topk_single": "SELECT v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 8",
     "topk_batch": f"WITH {_HITS} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM hits",
     "topk_blocked": f"WITH {_HITS} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM hits",
+    "topk_pruned": f"WITH {_HITS} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM hits",
     "retrieve_join": f"{_P}, {_HITS}, {_JOINED} SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, doc_id, paper_id, round(score, 6) AS score, {_SNIPPET} AS snippet FROM joined",
     "vec_normalize": "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM s) SELECT vec_id, round(e[1] / norm, 6) AS first, round(list_sum(list_transform(e, lambda x: (x / norm) * (x / norm))), 6) AS norm2 FROM n",
     "chunk_rows": f"{_P}, {_CHUNKS} SELECT * FROM chunks",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, ids, prompts, text, titles, vectors
-from ..operators import archive, chunk, delta, encode, evaluate, health, index, ingest, resolve, retrieve
+from ..operators import archive, chunk, clustered, delta, encode, evaluate, health, index, ingest, resolve, retrieve
 from ..sources import catalogue
+from ..storage import shared_dir
 from .inputs import answers, papers, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +55,18 @@ def topk_batch(spark, sf):
     return _hits(spark, sf).select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query
+def topk_pruned(spark, sf):
+    """The batch over a clustered index, built anew."""
+    path = f"{shared_dir(spark)}/groundlake/clustered-{uuid.uuid4().hex}"
+    clustered.build(_vectors(spark, sf), path, file_rows=512, id_col="vec_id")
+    hits, _ = clustered.search(spark, path, _questions(spark, sf), 8, id_col="vec_id")
+    return hits.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query
 def topk_blocked(spark, sf):
-    done = retrieve.top_k_blocked(_vectors(spark, sf), _questions(spark, sf), 8, id_col="vec_id")
+    done = retrieve.top_k(_vectors(spark, sf), _questions(spark, sf), 8, id_col="vec_id", most=25)
     return done.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
