@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_public
+from .versions import Versions
 
 
 def build(index: DataFrame, path: str) -> None:
-    """Chunk rows with their vectors, one row each, clustered by paper."""
-    index.write.mode("overwrite").parquet(path)
+    """Chunk rows with their vectors, one row each, in place of what the index had; earlier versions stay readable."""
+    Versions(index.sparkSession, path).commit(lambda base: {"index": index}, replaced=("index",))
+
+
+def table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of an index; a plain Parquet folder is an index without versions."""
+    at = Versions(spark, path)
+    return at.read("index", version) if at.exists() else spark.read.parquet(path)
 
 
 def new_papers(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -21,10 +28,18 @@ def new_papers(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(existing.select("paper_id").distinct(), "paper_id", "left_anti")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Adds rows of new papers; the same rows again add nothing."""
+def append(rows: DataFrame, path: str, *, mark: tuple[str, int] | None = None) -> None:
+    """Adds rows of new papers; the same rows again add nothing.
+
+    One commit: readers see all rows or none, and writers at the same time do not double a
+    paper. ``mark`` names a stream and its batch. On a plain folder the append is Spark's.
+    """
     spark = rows.sparkSession
-    new_papers(rows, spark.read.parquet(path)).write.mode("append").parquet(path)
+    at = Versions(spark, path)
+    if not at.exists():
+        new_papers(rows, spark.read.parquet(path)).write.mode("append").parquet(path)
+        return
+    at.commit(lambda base: {"index": new_papers(rows, at.read("index", base)).select(*at.read("index", base).columns)}, mark=mark)
 
 
 def public_rows(index: DataFrame) -> DataFrame:

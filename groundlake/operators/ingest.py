@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ids import author_in, category_ok, corpus_id, dated, strip, strip_version, year_from_id
 from ..functions.titles import padded_recid, pii, pii_dois, publisher_doi, report_number, title_candidate
+from .counters import counted
 
 
 def paper_rows(records: DataFrame) -> DataFrame:
@@ -27,6 +28,12 @@ def filtered(papers: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]
     return marked.filter("reason = 'kept'").drop("reason"), marked.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def filtered_counting(papers: DataFrame, names: list[str]) -> tuple[DataFrame, Observation]:
+    """Papers that stay; the numbers of ``kept, skipped_author, skipped_category`` come with the action that takes them."""
+    marked, seen = counted(papers.withColumn("_reason", filter_reason(F.col("authors"), F.col("primary_category"), names)), **{r: F.col("_reason") == r for r in ("kept", "skipped_author", "skipped_category")})
+    return marked.filter("_reason = 'kept'").drop("_reason"), seen
+
+
 def new_rows(rows: DataFrame, existing: DataFrame, key: str = "paper_id") -> DataFrame:
     """Rows whose key is new, once each."""
     return rows.join(existing.select(key), key, "left_anti").dropDuplicates([key])

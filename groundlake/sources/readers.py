@@ -32,8 +32,11 @@ def pdf_blobs(spark: SparkSession, path: str, skip_prefix: str = "inspire_") ->
     return files.filter(~F.col("stem").startswith(skip_prefix)).orderBy("path")
 
 
-def index_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def index_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """An index as of a version, the latest if none is named."""
+    from ..operators.index import table
+
+    return table(spark, path, version)
 
 
 def arguments(spark: SparkSession, values: list[str], name: str = "query") -> DataFrame:

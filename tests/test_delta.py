@@ -32,14 +32,22 @@ def test_add_papers(spark, tmp_path):
         asked.extend(names)
         return spark.createDataFrame([(n, bytearray(blobs[n]) if n in blobs else None) for n in names], "safe string, content binary")
 
-    assert delta.add_papers(papers, download, vectors, path, rejects_path=rejects) == 1
+    assert delta.add_papers(papers, download, vectors, path, rejects_path=rejects) == {"asked": 3, "failed": 1, "parsed": 2, "empty": 0, "chunks": 1, "rejects": 2, "index": 1, "papers": 1}
     assert sorted(asked) == ["1401.0001", "1402.0002", "hep-th_9112056"]
-    rows = spark.read.parquet(path).filter("paper_id <> '1106.4789'").collect()
+    rows = index.table(spark, path).filter("paper_id <> '1106.4789'").collect()
     assert [(r.chunk_id, r.paper_id, r.year, len(r.embedding)) for r in rows] == [("hep-th_9112056_000", "hep-th/9112056", "1999", 4)]
     lost = spark.read.schema(schemas.REJECTS).json(rejects)
     assert {(r.paper_id, r.reason) for r in lost.collect()} == {("1401.0001", "not parsed"), ("1402.0002", "no source")}
     assert [r.year for r in delta.shown_rejects(lost, 1).collect()] == ["2014"]
-    assert delta.add_papers(papers.filter("paper_id LIKE 'hep%'"), download, vectors, path) == 0
+    assert delta.add_papers(papers.filter("paper_id LIKE 'hep%'"), download, vectors, path)["index"] == 0
+
+
+def test_filter_counts_in_the_same_pass(spark):
+    from groundlake.operators import ingest
+
+    rows = [(["A B"], "hep-th"), (["A B"], "math.PR"), (["C"], "hep-th"), (["C"], "math.PR"), ([" A B "], "cond-mat.x")]
+    kept, seen = ingest.filtered_counting(spark.createDataFrame(rows, "authors array<string>, primary_category string"), ["A B"])
+    assert len(kept.collect()) == 2 and seen.get == {"kept": 2, "skipped_author": 2, "skipped_category": 1}
 
 
 def test_pdf_rule(spark):

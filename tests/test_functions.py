@@ -201,11 +201,11 @@ def test_delta_append_is_idempotent(spark, tmp_path):
     more = spark.createDataFrame([("c2", "p2"), ("c3", "p3")], "chunk_id string, paper_id string")
     index.append(more, path)
     index.append(more, path)
-    assert spark.read.parquet(path).count() == 3
+    assert index.table(spark, path).count() == 3
     incoming = str(tmp_path / "in")
     spark.createDataFrame([("c4", "p4"), ("c3", "p3")], "chunk_id string, paper_id string").write.parquet(incoming)
     append_stream(spark, incoming, path, str(tmp_path / "cp"), "chunk_id string, paper_id string").awaitTermination()
-    assert spark.read.parquet(path).count() == 4
+    assert index.table(spark, path).count() == 4
 
 
 def test_export(spark, tmp_path):
