@@ -48,49 +48,58 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
 
 
 def _round_block(seed: int, level: int):
-    """Rounds one block in key order; at most one row keeps a fraction."""
+    """Rounds one block, longest rows first; at most one row keeps a fraction, as a rule one of the shortest.
+
+    A row meets the rows after it, as many as can hand over or take what it lacks or has
+    (in words); mass moves one way or the other, drawn so that every row's expectation is
+    kept, and the row is integral. Where the rows left cannot balance it, it is paired with
+    the next one, and one of the two becomes integral. What is left over at the end is all
+    that a block can miss its share by, hence the order.
+    """
 
     def run(keys, block):
-        block = block.sort_values(["key", "key_2", "nth"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["size", "key", "key_2", "nth"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(keys[-1]) & 0xFFFFFFFF, len(block), int(block.key.iloc[0]) & 0xFFFFFFFF])
         draws = rng.random(len(block)).tolist()
         size, frac = block["size"].tolist(), block["frac"].tolist()
         up = [0] * len(block)
         left = [None] * len(block)
-        held, p = -1, 0.0
         for j, q in enumerate(frac):
             if size[j] == 0:  # carries no words: an independent draw
                 up[j] = int(draws[j] < q)
+        open_rows = [j for j, q in enumerate(frac) if size[j] and 0.0 < q]
+        at = 0
+        while at < len(open_rows):
+            i = open_rows[at]
+            p, w = frac[i], size[i]
+            if p <= 1e-12 or p >= 1 - 1e-12:
+                up[i], at = round(p), at + 1
                 continue
-            if q <= 0.0:
-                continue
-            if held < 0:
-                held, p = j, q
-                continue
-            wi, wj = size[held], size[j]
-            give, take = min(p * wi, (1 - q) * wj), min(q * wj, (1 - p) * wi)
-            if draws[j] * (give + take) < take:  # held hands mass to j
-                if p * wi <= (1 - q) * wj:
-                    q += p * wi / wj
-                    held, p = j, min(q, 1.0)
-                else:
-                    up[j] = 1
-                    p -= (1 - q) * wj / wi
-            elif q * wj <= (1 - p) * wi:
-                p += q * wj / wi
+            give, take = p * w, (1 - p) * w
+            end, able = at + 1, 0.0  # each row after can move the lesser of what it has and lacks
+            while end < len(open_rows) and able < max(give, take):
+                j = open_rows[end]
+                able, end = able + min(frac[j], 1 - frac[j]) * size[j], end + 1
+            if able >= max(give, take):
+                takes = draws[i] < p
+                share = (-take if takes else give) / able
+                for j in open_rows[at + 1 : end]:
+                    frac[j] += share * min(frac[j], 1 - frac[j])
+                up[i], at = int(takes), at + 1
+            elif at + 1 < len(open_rows):
+                j = open_rows[at + 1]
+                give, take = min(give, (1 - frac[j]) * size[j]), min(take, frac[j] * size[j])
+                moved = take if rng.random() * (give + take) < give else -give
+                frac[i], frac[j] = p + moved / w, frac[j] - moved / size[j]
+                if 1e-12 < frac[i] < 1 - 1e-12:  # the partner is integral
+                    up[j] = round(frac[j])
+                    del open_rows[at + 1]
             else:
-                up[held] = 1
-                held, p = j, q - (1 - p) * wi / wj
-            if p >= 1.0 - 1e-12:
-                up[held], held = 1, -1
-            elif p <= 1e-12:
-                held = -1
-        if held >= 0:
-            left[held] = p
+                left[i], at = p, at + 1
         block["copies"] = (block["base"] + np.array(up, dtype=np.int32)).astype("int32")
         block["frac"] = np.array([np.nan if x is None else x for x in left], dtype=float)
         block["block"] = block["block"] // FAN
-        return block
+        return block.sort_values(["key", "key_2", "nth"], kind="stable", ignore_index=True)
 
     return run
 
@@ -161,6 +170,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     named = mix_plan(docs, **options).withColumnsRenamed(dict(zip(("row_hash", "row_hash_2"), keys)))
     plan = named.groupBy(*keys).agg(F.sum("copies").cast("int").alias(copies))
     keyed = docs.withColumns({k: row_hash(docs, seed) for seed, k in enumerate(keys)})
-    once = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))).filter(F.col(nth) == 1)
-    many = once.join(plan, keys).filter(F.col(copies) > 0)
+    many = keyed.dropDuplicates(keys).join(plan, keys).filter(F.col(copies) > 0)
     return many.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

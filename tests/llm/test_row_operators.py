@@ -58,13 +58,28 @@ def test_mix_plan(spark):
         assert r.target == pytest.approx(targets[r.source]) and r.source_size == sizes[r.source]
         assert r.taken == r["size"] * r.copies and 0 <= r.copies <= 2
         taken[r.source] += r.taken
-    biggest = max(r["size"] for r in got)
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= biggest
+        lengths = sorted((r["size"] for r in got if r.source == s), reverse=True)
+        # where the others could balance the longest document, a short one is left over
+        slack = sorted(x for x in lengths if x)[len(lengths) // 4] if lengths and 2 * lengths[0] < sum(lengths) else lengths[0]
+        assert abs(taken[s] - t) <= slack, s
     again = mix_plan(clash(frame(spark, rows), "size", "key").repartition(7)).collect()
     assert Counter((r.row_hash, r.copies) for r in again) == Counter((r.row_hash, r.copies) for r in got)
 
 
+def test_a_block_leaves_a_short_row_over():
+    """A few documents hold most words, yet a source misses its share by a short document at most."""
+    import pandas as pd
+
+    rng = random.Random(11)
+    size = [5184, 2600, 900] + [rng.randrange(1, 400) for _ in range(120)]
+    for seed in range(40):
+        q = rng.uniform(0.25, 0.75)
+        block = pd.DataFrame({"key": range(len(size)), "key_2": 0, "nth": 1, "size": size, "base": 0, "frac": q, "block": 0, "copies": 0})
+        got = _round_block(seed, 0)((0,), block)
+        assert abs((got.copies * got["size"]).sum() - q * sum(size)) <= 20
+
+
 def test_mix_keeps_expectations():
     """Over seeds, every document's mean number of copies is its own ratio, and a block moves no mass."""
     import pandas as pd
