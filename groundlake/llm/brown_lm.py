@@ -3,8 +3,9 @@
 The most frequent words are clustered by the exchange algorithm over their class bigram
 counts; every other training word then takes the class that the same step of exchange
 gives it, from the classes of all its neighbours, summed over all training texts. Words
-not seen in training have a class named by their shape (length, punctuation). A text's
-probability is the product of smoothed class transitions and word emissions, both
+not seen in training have a class named by their shape (length, punctuation); how likely
+one is follows from the words seen once, and of its shape's words not seen, as many as
+Chao's estimate expects, each is as likely. A text's probability is the product of smoothed class transitions and word emissions, both
 counted over all training documents: class bigrams as one bounded table, words as a
 distributed one. Frequent words' counts and classes are broadcast; the rarest words, no
 one of which can be frequent, are joined, place by place.
@@ -108,6 +109,8 @@ class ClassModel:
     clustered: np.ndarray  # log10 P(clustered with the others | class)
     class_total: np.ndarray  # tokens of each class; shapes and the end have none of their own
     transition: np.ndarray | None  # log10 P(class | class before); the last class is the end
+    unseen: np.ndarray  # words of each shape not seen, against one word seen
+    unseen_word: np.ndarray  # log10 P(word | not seen, shape)
     first_shape: int
     n: int
     distinct: int
@@ -306,6 +309,32 @@ def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes:
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
 
 
+def unseen_words(vocabulary: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each shape: tokens not seen in training against one seen (Good and Turing), and log10 of one unseen word's share.
+
+    Of the words of a shape that occur once or twice, ``f1`` and ``f2``, some
+    ``f1**2 / (2 * f2)`` are expected not to occur at all (Chao).
+    """
+
+    def make():
+        few = np.zeros((SHAPES, 2), dtype=np.int64)
+
+        def f(batch):
+            for w, k in zip(column(batch, "word"), column(batch, "n")):
+                few[shape(w), k - 1] += 1
+            return ()
+
+        def end():
+            yield [pa.array(np.arange(SHAPES, dtype=np.int64)), pa.array(few[:, 0]), pa.array(few[:, 1])]
+
+        return f, end
+
+    once, twice = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in emit_rows(vocabulary.filter("n <= 2").select("word", "n"), make, T.StructType.fromDDL("shape long, once long, twice long")).groupBy("shape").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect():
+        once[r["shape"]], twice[r["shape"]] = r["once"], r["twice"]
+    return (once + 0.5) / (n + 0.5 * SHAPES), -np.log10(np.maximum(1.0, once**2 / (2 * np.maximum(twice, 1))))
+
+
 def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, head_words: int = HEAD_WORDS) -> tuple[ClassModel, DataFrame]:
     """The model less its transitions, and ``word, n, class`` of all training words."""
     spark = train.sparkSession
@@ -326,6 +355,8 @@ def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EX
         total[r["class"]], distinct = r["n"], distinct + r["v"]
     for w, n in top:
         inside[named[w]] += n
+    n = int(total.sum()) + ends
+    unseen, unseen_word = unseen_words(vocabulary, n)
     model = ClassModel(
         head={bytes(r["word"]): (r["n"], r["class"]) for r in frequent(vocabulary, head_words).collect()},
         classes=named,
@@ -334,7 +365,9 @@ def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EX
         class_total=np.maximum(total, 1),
         transition=None,
         first_shape=first,
-        n=int(total.sum()) + ends,
+        unseen=unseen,
+        unseen_word=unseen_word,
+        n=n,
         distinct=distinct + (ends > 0),
         ends=ends,
     )
@@ -342,7 +375,10 @@ def _learn(train: DataFrame, *, text_col: str = "text", exchange_words: int = EX
 
 
 def _transition(lines: DataFrame, model: ClassModel) -> np.ndarray:
-    """log10 P(class | class before) over the class lines of the training texts."""
+    """log10 P(class | class before) over the class lines of the training texts.
+
+    Shape classes occur in none; after any class they are as likely as after all.
+    """
     kind, k = model.line_type, model.first_shape + SHAPES + 1
 
     def make():
@@ -363,6 +399,7 @@ def _transition(lines: DataFrame, model: ClassModel) -> np.ndarray:
     n = np.zeros(k * k)
     n[got["pair"].to_numpy()] = got["n"].to_numpy()
     n = n.reshape(k, k)
+    n[:, model.first_shape : k - 1] = n.sum(1, keepdims=True) * model.unseen
     tokens_of = n.sum(0)
     prior = (tokens_of + 1) / (tokens_of.sum() + k)
     return np.log10((n + PRIOR * prior) / (n.sum(1, keepdims=True) + PRIOR))
@@ -479,6 +516,8 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
     ordered = seen.repartition("_row", "_two").sortWithinPartitions("_row", "_two", "at")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[schema[c] for c in ("line", "n_tokens", "n_known", "base_score", "emission")]])
     base_total, totals, cell = model.base_total, model.class_total, model.line_type
+    unseen = np.zeros(len(totals) + SHAPES)
+    unseen[model.first_shape : model.first_shape + SHAPES] = model.unseen_word
 
     def filled(part):
         """Whole texts: the rare words' classes go into the lines, equal rows get a result each."""
@@ -503,7 +542,7 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
             main.column("n_tokens").combine_chunks(),
             pa.array(main.column("n_known").to_numpy() + np.rint(add(known)).astype(np.int64)),
             pa.array(main.column("base_score").to_numpy() + add(np.log10((n + ADD) / base_total))),
-            pa.array(main.column("emission").to_numpy() + add(np.where(known, np.log10(np.maximum(n, 1) / totals[of]), 0.0))),
+            pa.array(main.column("emission").to_numpy() + add(np.where(known, np.log10(np.maximum(n, 1) / totals[of]), unseen[of]))),
         ]
         each = pa.array(np.repeat(np.arange(len(head)), times))
         return pa.RecordBatch.from_arrays([x.take(each) for x in got], names=[x.name for x in out])

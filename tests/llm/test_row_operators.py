@@ -297,6 +297,36 @@ def test_brown_lm_is_a_distribution(spark):
         assert sum(10 ** model.emission[w] for w, k in model.classes.items() if k == c) == pytest.approx(1)
 
 
+def test_brown_lm_words_and_one_unseen_sum_to_one_at_most(spark):
+    """After every class: all words seen, the end, and one word of each shape not seen; the mass of these is that of words seen once."""
+    rows = [(i, f"the cat{i % 7} sat on mat{i % 3} . rare{i} " + "x" * (i % 19 + 1), None, None, None) for i in range(60)]
+    df = frame(spark, rows)
+    model, words = fit(df, exchange_words=6, classes=3, head_words=20)
+    table = [(bytes(r["word"]), r["n"], r["class"]) for r in words.collect()]
+    total = Counter()
+    for _, n, c in table:
+        total[c] += n
+    step = 10**model.transition
+    assert np.allclose(step.sum(1), 1)
+    seen = sum(step[:, c] * n / total[c] for _, n, c in table) + step[:, -1]
+    one_each = sum(step[:, model.first_shape + s] * 10 ** model.unseen_word[s] for s in range(10))
+    assert (seen + one_each <= 1 + 1e-9).all() and (seen + step[:, model.first_shape : -1].sum(1) == pytest.approx(1))
+    share = sum(n == 1 for _, n, _ in table) / model.n
+    assert step[:, model.first_shape : -1].sum(1).mean() == pytest.approx(share / (1 + share), rel=0.3)
+
+
+def test_brown_lm_gains_on_known_and_on_unseen_tokens(spark, sf_dir):
+    """Held-out texts of the given table: least squares of the gain over the base on the numbers of known and unseen tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    train = ~held_out(folds=10)
+    model, words = fit(docs.filter(train))
+    got = score_texts(docs.filter(~train), model, words).collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    counts = np.array([(r.n_known, r.n_tokens - r.n_known) for r in got], dtype=float)
+    known, unseen = np.linalg.lstsq(counts, np.array([r.score - r.base_score for r in got]), rcond=None)[0]
+    assert known > 0 and unseen > 0, (known, unseen)
+
+
 def test_brown_lm_empty(spark):
     nothing = spark.createDataFrame([], DOCS)
     model, words = fit(nothing)
@@ -347,13 +377,19 @@ def test_brown_lm_classes_every_word(spark):
     line = lambda t: [k - 1, *[table[w][1] if w in table else 4 + shape(w) for w in t], k - 1]
     for t in train:
         np.add.at(steps, (line(t)[:-1], line(t)[1:]), 1)
+    once, twice = (Counter(shape(w) for w, c in n.items() if c == k) for k in (1, 2))
+    tokens_of = sum(n.values()) + len(train)
+    for x in range(10):  # as likely after any class: tokens of words seen once against all
+        steps[:, 4 + x] = 0
+    steps[:, 4:14] = steps.sum(1, keepdims=True) * np.array([(once[x] + 0.5) / (tokens_of + 5) for x in range(10)])
+    unseen = lambda w: -math.log10(max(1.0, once[shape(w)] ** 2 / (2 * max(twice[shape(w)], 1))))
     prior = (steps.sum(0) + 1) / (steps.sum() + k)
     step = np.log10((steps + 10 * prior) / (steps.sum(1, keepdims=True) + 10))
     assert np.allclose(step, model.transition)
     want = Counter()
     for i, text, *_ in rows:
         t = tokens(text)
-        score = step[line(t)[:-1], line(t)[1:]].sum() + sum(math.log10(table[w][0] / size[table[w][1]]) for w in t if w in table)
+        score = step[line(t)[:-1], line(t)[1:]].sum() + sum(math.log10(table[w][0] / size[table[w][1]]) if w in table else unseen(w) for w in t)
         want[i, len(t) + 1, round(score, 5)] += 1
     assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in score_texts(df, model, words).collect()) == want
 
