@@ -150,6 +150,10 @@ SELECT stem, CASE WHEN doc_id % 6 NOT IN (0, 2) OR doc_id = 0 THEN NULL WHEN doc
     "validate_citations": f"""{_A} SELECT seq, CAST(len(cited) AS INTEGER) AS n_cited, ok AS valid_citations, bad AS invalid_citations, CAST(len(bad) AS INTEGER) AS n_invalid, violation AS grounding_violation, uncited, regexp_matches(answer, '(?i)outside\\s+(the\\s+)?corpus') AS marked_outside_corpus,
   wanted AS expected_ids, cites AS cites_expected, n_found > 0 AS retrieval_hit, round(CASE WHEN len(wanted) > 0 THEN len(cites) / len(wanted) END, 6) AS citation_recall, round(CASE WHEN len(wanted) > 0 THEN n_found / len(wanted) END, 6) AS retrieval_recall FROM validated""",
     "guardrail_prompt": f"{_A} SELECT seq, printf({_CORRECTION}, array_to_string(bad, ', '), CASE WHEN len(bad) = 1 THEN 'is' ELSE 'are' END, CASE WHEN len(retrieved) = 0 THEN '(none)' ELSE array_to_string(list_sort(list_distinct(retrieved)), ', ') END) AS correction FROM validated WHERE violation",
+    "guardrail_loop": f"""{_A}, tried AS (SELECT conv_id, answer, violation, row_number() OVER (PARTITION BY conv_id ORDER BY turn, answer) AS attempt FROM validated),
+ended AS (SELECT conv_id, min(attempt) FILTER (WHERE NOT violation AND attempt <= 3) AS good, count(*) AS n FROM tried GROUP BY conv_id),
+last AS (SELECT conv_id, coalesce(good, least(n, 3)) AS attempt, good IS NOT NULL AS grounded, good IS NULL AND n < 3 AS ran_out FROM ended)
+SELECT conv_id, md5(answer) AS answer_md5, grounded, CAST(attempt AS INTEGER) AS attempts, ran_out FROM last JOIN tried USING (conv_id, attempt)""",
     "guardrail_replay": f"{_A} SELECT conv_id, bool_or(NOT violation) AS grounded, coalesce(min(attempt) FILTER (WHERE NOT violation), max(attempt)) AS attempts FROM (SELECT *, turn // 2 + 1 AS attempt FROM validated) WHERE attempt <= 3 GROUP BY conv_id",
     "anti_existing": f"{_P} SELECT paper_id FROM papers WHERE doc_id % 4 = 1",
     "join_missing": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'found' ELSE 'no_src' END AS reason, count(*) AS n FROM documents GROUP BY 1",

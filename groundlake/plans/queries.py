@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, ids, prompts, text, titles, vectors
-from ..operators import archive, chunk, clustered, delta, encode, evaluate, health, index, ingest, resolve, retrieve
+from ..operators import archive, chunk, clustered, delta, encode, evaluate, generate, health, index, ingest, resolve, retrieve
 from ..sources import catalogue
 from ..storage import shared_dir
 from .inputs import answers, papers, table
@@ -236,6 +236,17 @@ def guardrail_replay(spark, sf):
     return a.groupBy("conv_id").agg(good.isNotNull().alias("grounded"), F.coalesce(good, F.max("attempt")).alias("attempts"))
 
 
+@query
+def guardrail_loop(spark, sf):
+    """Guarded generation of every conversation; a scripted generator says its recorded turns one after the other."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "answer"))
+    turns = answers(spark, sf).select(F.col("conv_id").cast("string").alias("key"), place.alias("attempt"), "answer", "retrieved")
+    prompts = turns.filter("attempt = 1").select("key", F.lit("script").alias("backend"), F.lit("s").alias("system"), F.lit("u").alias("user"), F.col("retrieved").alias("retrieved_ids"))
+    ask = lambda due: due.select("key", "attempt").join(turns.select("key", "attempt", "answer"), ["key", "attempt"], "left").select("key", "answer", F.when(F.col("answer").isNull(), "no more turns").alias("error"))
+    done = generate.grounded_answers(prompts, ask, f"{shared_dir(spark)}/groundlake/attempts-{uuid.uuid4().hex}")
+    return done.select(F.col("key").cast("long").alias("conv_id"), F.md5("answer").alias("answer_md5"), "grounded", "attempts", F.col("error").isNotNull().alias("ran_out"))
+
+
 @query
 def anti_existing(spark, sf):
     p = papers(spark, sf).select("paper_id", "doc_id")
