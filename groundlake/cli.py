@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.prompts import SYSTEM, joined_passages, passage, rag_prompt
 from . import schemas
-from .operators import encode, evaluate, generate, health, index, resolve, retrieve, runs
+from .operators import checks, encode, evaluate, generate, index, resolve, retrieve, runs
 from .sources import readers
 
 
@@ -34,6 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     ev.add_argument("--baseline", action="store_true")
     ev.add_argument("--max-tokens", type=int, default=generate.MAX_TOKENS)
     ev.add_argument("--limit", type=int)
+    ev.add_argument("--ids", help="question ids, comma-separated")
+    ev.add_argument("--conditions", help="conditions, comma-separated, instead of rag alone or --baseline")
+    ev.add_argument("--show", type=int, default=20, help="flagged answers shown")
     ev.add_argument("--out")
     ev.add_argument("--report")
     ev.add_argument("--retrieve-only", action="store_true")
@@ -41,7 +44,8 @@ def main(argv: list[str] | None = None) -> int:
     res.add_argument("titles", nargs="*")
     res.add_argument("--stdin", action="store_true")
     res.add_argument("--gold")
-    res.add_argument("--write")
+    res.add_argument("--write", help="a folder for the resolved gold set")
+    res.add_argument("--in-place", action="store_true", help="rewrite the gold file if a title resolves; the old one is kept as .old")
     exp = sub.add_parser("export")
     exp.add_argument("out")
     sub.add_parser("health")
@@ -68,17 +72,24 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "eval":
         if not a.report:
             gold = readers.json_lines(spark, a.gold, schemas.GOLD, keep_broken=False)
+            gold = gold.filter(F.col("qid").isin(a.ids.split(","))) if a.ids else gold
             gold = gold.orderBy("qid").limit(a.limit) if a.limit else gold
             if a.retrieve_only:
                 total = evaluate.recall_total(evaluate.recall_preview(runs.preview(gold, table, k=a.k))).first()
                 print(f"mean recall {total['mean_recall']}, questions {total['questions']}, with a miss {total['missed']}")
                 return 0
             a.report = a.out or runs.default_path(datetime.now())
-            conditions = runs.CONDITIONS if a.baseline else ("rag",)
+            conditions = tuple(a.conditions.split(",")) if a.conditions else runs.CONDITIONS if a.baseline else ("rag",)
+            if set(conditions) - set(runs.CONDITIONS):
+                ap.error(f"conditions are {', '.join(runs.CONDITIONS)}")
             runs.run(gold, table, a.providers.split(","), conditions=conditions, k=a.k, max_tokens=a.max_tokens).write.json(a.report)
         done = spark.read.schema(f"{schemas.RUN}, seq long").json(a.report)
         print(evaluate.markdown(evaluate.summary(done)))
-        print("\n".join(r["line"] for r in evaluate.worst_first(evaluate.failures(done)).collect()) or "nothing flagged")
+        print("\n".join(r["line"] for r in evaluate.worst_first(evaluate.failures(done), a.show).collect()) or "nothing flagged")
+        return 0
+    if a.what == "resolve" and a.gold and a.in_place:
+        changed = resolve.rewrite_gold(spark, a.gold, resolve.papers_of(table), schemas.GOLD)
+        print("rewritten" if changed else "unchanged")
         return 0
     if a.what == "resolve" and a.gold:
         gold = readers.json_lines(spark, a.gold, schemas.GOLD, keep_broken=False)
@@ -98,10 +109,17 @@ def main(argv: list[str] | None = None) -> int:
         print(index.export_public(table, a.out))
         return 0
     papers = table.groupBy("paper_id").agg(F.first("title").alias("title"), F.first("year").alias("published"))
-    report = health.health(spark, papers, table, table).collect()
-    for r in report:
+
+    def smoke():
+        dim = table.select(F.size("embedding").alias("d")).first()
+        q = encode.encode(readers.arguments(spark, ["what is this corpus about"], "question"), "question", out_col="q_embedding", make=lambda: encode.HashingEncoder(dim["d"]))
+        return retrieve.with_payload(retrieve.top_k(table, q, 3), table.drop("embedding"), "chunk_id")
+
+    around = checks.surroundings(spark, paths=(a.index,), keys=("ANTHROPIC_API_KEY", "OPENAI_API_KEY"), smoke=smoke)
+    told = checks.report(papers, table, around).collect()
+    for r in told:
         print(f"{r['status']:5}{r['check']}  {r['detail']}")
-    return int(any(r["status"] == "FAIL" for r in report))
+    return int(any(r["status"] == "FAIL" for r in told))
 
 
 if __name__ == "__main__":

@@ -10,12 +10,12 @@ only pairs whose bound passes are matched.
 from __future__ import annotations
 
 import heapq
-import math
+import uuid
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_paper_id
@@ -249,6 +249,41 @@ def resolve_expected(gold: DataFrame, papers: DataFrame) -> DataFrame:
     return out.select(*gold.columns)
 
 
+def rewrite_gold(spark: SparkSession, path: str, papers: DataFrame, schema: str) -> bool:
+    """Resolves the titles of a gold file in place; whether it changed.
+
+    The file is one of JSON lines that people edit, so its lines keep their order and lines
+    without a title to resolve keep their bytes. If no line changes nothing is written. Else
+    the new content is written aside by one task, line by line, the old file is kept as ``<path>.old``, and the new one renamed into place.
+    """
+    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    # to the place of a line, as one file read in order gives it
+    gold = lines.withColumn("g", F.from_json("value", schema)).select("_line", "value", F.col("_line").cast("string").alias("qid"), F.col("g.expected_citations").alias("expected_citations"))
+    known = gold.filter("expected_citations IS NOT NULL")
+    done = resolve_expected(known.select("qid", "expected_citations"), papers).withColumnRenamed("expected_citations", "now")
+    own = gold.join(done, "qid", "left").withColumn("changed", F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("expected_citations")))
+    if not own.filter("changed").take(1):
+        return False
+    # only the list is replaced; every other character of the line stays
+    pattern = r'("expected_citations"\s*:\s*)\[(?:[^\]"]|"(?:\\.|[^"\\])*")*\]'
+    start = F.regexp_extract("value", pattern, 0)
+    label = F.regexp_extract("value", pattern, 1)
+    value = F.when(F.col("changed"), F.replace(F.col("value"), start, F.concat(label, F.to_json("now")))).otherwise(F.col("value"))
+    aside = f"{path}.new-{uuid.uuid4().hex}"
+    own.select("_line", value.alias("value")).orderBy("_line").coalesce(1).select("value").write.text(aside)
+    fs_of = spark._jvm.org.apache.hadoop.fs
+    at, old, new = fs_of.Path(path), fs_of.Path(f"{path}.old"), fs_of.Path(aside)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [s.getPath() for s in fs.listStatus(new) if s.getPath().getName().startswith("part-")]
+    if fs.exists(old):
+        fs.delete(old, False)
+    for source, to in ((at, old), (made[0], at)):
+        if not fs.rename(source, to):
+            raise OSError(f"could not rename {source.toString()}")
+    fs.delete(new, True)
+    return True
+
+
 def title_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (with ``a, b``, normal titles) and their ``similarity``."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pairs.schema)}, similarity double"

@@ -181,6 +181,11 @@ SELECT conv_id, md5(answer) AS answer_md5, grounded, CAST(attempt AS INTEGER) AS
 SELECT doc_id, CASE WHEN y BETWEEN 1950 AND 2099 THEN source || '  in 1985, again  end' ELSE source || '  in , again (' || y || ') end' END AS title, CASE WHEN y BETWEEN 1950 AND 2099 THEN CAST(y AS VARCHAR) ELSE '1985' END AS year
 FROM (SELECT doc_id, source, 1950 + doc_id % 200 AS y FROM documents)""",
     "health_counts": "SELECT *, index_rows = chunk_rows AS equal FROM (SELECT (SELECT count(*) FROM embeddings) AS index_rows, (SELECT count(*) FROM documents) AS chunk_rows)",
+    "health_report": f"""{_P}, seen AS (SELECT 'once' AS seen, paper_id, title, published FROM papers UNION ALL SELECT 'twice', CASE WHEN paper_id LIKE 'inspire%' THEN '' ELSE paper_id END, title, published FROM papers, (VALUES (1), (2)) AS v(k)),
+sums AS (SELECT seen, count(*) AS n, count(*) FILTER (WHERE paper_id = '') AS empty, min(title) FILTER (WHERE paper_id = '') AS empty_name, count(*) FILTER (WHERE published LIKE '?%') AS odd, min(paper_id || ' ' || substr(published, 1, 4)) FILTER (WHERE published LIKE '?%') AS odd_name, count(paper_id) - count(DISTINCT paper_id) AS again FROM seen GROUP BY seen)
+SELECT seen, 'paper ids present' AS "check", CASE WHEN empty = 0 THEN 'OK' ELSE 'FAIL' END AS status, CASE WHEN empty = 0 THEN '' ELSE empty || ' rows, first ' || empty_name END AS detail FROM sums
+UNION ALL SELECT seen, 'metadata years', CASE WHEN odd = 0 THEN 'OK' ELSE 'WARN' END, CASE WHEN odd = 0 THEN '' ELSE odd || ' rows, first ' || odd_name END FROM sums
+UNION ALL SELECT seen, 'paper_id unique', CASE WHEN again = 0 THEN 'OK' WHEN seen = 'once' THEN 'FAIL' ELSE 'WARN' END, n || ' rows, ' || again || ' again' FROM sums""",
     "health_unique": "SELECT *, n_rows = n_ids AS is_unique FROM (SELECT count(*) + count(*) FILTER (WHERE doc_id % 10 = 0) AS n_rows, count(DISTINCT doc_id) AS n_ids FROM documents)",
     "health_years": f"{_P} SELECT paper_id, substr(published, 1, 4) AS year, source AS title FROM papers WHERE published LIKE '?%' ORDER BY paper_id LIMIT 5",
     "pdf_method": f"SELECT doc_id, CASE WHEN n - 60 >= 150 THEN 'text' WHEN n >= 50 THEN 'ocr' ELSE 'failed' END AS method FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents)",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, ids, prompts, text, titles, vectors
-from ..operators import archive, chunk, clustered, delta, encode, evaluate, generate, health, index, ingest, resolve, retrieve
+from ..operators import archive, checks, chunk, clustered, delta, encode, evaluate, generate, health, index, ingest, resolve, retrieve
 from ..sources import catalogue
 from ..storage import shared_dir
 from .inputs import answers, papers, table
@@ -398,6 +398,15 @@ def health_counts(spark, sf):
     return health.counts(_vectors(spark, sf), table(spark, sf, "documents"))
 
 
+@query
+def health_report(spark, sf):
+    """Constraints of the papers and of a version of them that has each twice, a pass each."""
+    p = papers(spark, sf).select("paper_id", "title", "published")
+    one = checks.checked(p, checks.paper_constraints(), (checks.unique("paper_id"),))
+    two = checks.checked(p.unionByName(p).withColumn("paper_id", F.when(F.col("paper_id").startswith("inspire"), "").otherwise(F.col("paper_id"))), checks.paper_constraints(), (checks.unique("paper_id", fatal=False),))
+    return one.withColumn("seen", F.lit("once")).unionByName(two.withColumn("seen", F.lit("twice")))
+
+
 @query
 def health_unique(spark, sf):
     p = papers(spark, sf)
