@@ -189,8 +189,13 @@ UNION ALL SELECT seen, 'paper_id unique', CASE WHEN again = 0 THEN 'OK' WHEN see
     "health_unique": "SELECT *, n_rows = n_ids AS is_unique FROM (SELECT count(*) + count(*) FILTER (WHERE doc_id % 10 = 0) AS n_rows, count(DISTINCT doc_id) AS n_ids FROM documents)",
     "health_years": f"{_P} SELECT paper_id, substr(published, 1, 4) AS year, source AS title FROM papers WHERE published LIKE '?%' ORDER BY paper_id LIMIT 5",
     "pdf_method": f"SELECT doc_id, CASE WHEN n - 60 >= 150 THEN 'text' WHEN n >= 50 THEN 'ocr' ELSE 'failed' END AS method FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents)",
-    "embed_hash": f"SELECT doc_id, 64 AS dim, CASE WHEN len({_WORDS}) > 0 THEN 1.0 ELSE 0.0 END AS norm2 FROM documents",
-    "rejects_shown": f"{_P} SELECT paper_id, CASE WHEN doc_id % 2 = 0 THEN substr(published, 1, 4) END AS year FROM papers WHERE doc_id % 7 = 0 ORDER BY coalesce(year, '9999'), paper_id LIMIT 15",
+    "embed_hash": f"""WITH said AS (SELECT doc_id, unnest({_WORDS.replace("text", "lower(text)")}) AS w FROM documents),
+bits AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM said)),
+hashed AS (SELECT w, xor(list_reduce(list_concat([4294967295], flatten(list_transform(generate_series(1, len(x) - 1, 2), lambda i: [16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS h FROM bits),
+cells AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM said JOIN hashed USING (w) GROUP BY ALL),
+every AS (SELECT doc_id, g.i, coalesce(v, 0) AS v FROM documents CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS i) g LEFT JOIN cells USING (doc_id, i))
+SELECT doc_id, 64 AS dim, CASE WHEN count(*) FILTER (WHERE v <> 0) > 0 THEN 1.0 ELSE 0.0 END AS norm2, arg_min(i, -v * 100 + i) AS largest, md5(string_agg(CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '-' ELSE '0' END, '' ORDER BY i)) AS signs FROM every GROUP BY doc_id""",
+    "rejects_shown": f"{_P} SELECT paper_id, CASE WHEN doc_id % 2 = 0 THEN substr(published, 1, 4) END AS year FROM papers ORDER BY coalesce(year, '9999'), paper_id LIMIT 15",
     "join_metadata": f"{_P} SELECT replace(replace(paper_id, '/', '_'), ':', '_') AS safe, n_chars AS length, paper_id || 'v2' AS paper_id, published FROM papers WHERE doc_id % 3 = 0",
     "api_rows": f"{_P} SELECT paper_id, source AS title, 'a ' || source AS abstract, published, primary_category FROM papers",
     "catalogue_papers": f"""{_P}, e AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND paper_id NOT LIKE 'inspire:%' THEN paper_id END AS ep FROM papers),

@@ -84,7 +84,10 @@ def vec_normalize(spark, sf):
 @query
 def embed_hash(spark, sf):
     e = encode.encode(table(spark, sf, "documents").select("doc_id", "text"), make=lambda: encode.HashingEncoder(64))
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.inner_product(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))
+    v = F.col("embedding")
+    signs = F.array_join(F.transform(v, lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+    largest = (F.array_position(v, F.array_max(v)) - 1).alias("largest")
+    return e.select("doc_id", F.size(v).alias("dim"), F.round(vectors.inner_product(v, v), 4).alias("norm2"), largest, F.md5(signs).alias("signs"))
 
 
 @query
@@ -425,7 +428,7 @@ def pdf_method(spark, sf):
 
 
 def _rejects(spark, sf):
-    return papers(spark, sf).filter("doc_id % 7 = 0").select("paper_id", F.when(F.col("doc_id") % 2 == 0, ids.year_of(F.col("published"))).alias("year"))
+    return papers(spark, sf).select("paper_id", F.when(F.col("doc_id") % 2 == 0, ids.year_of(F.col("published"))).alias("year"))
 
 
 @query
