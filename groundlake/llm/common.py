@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir, written  # noqa: F401 - operators take them from here
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,16 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can write: ``spark.checkpoint.dir``.
-
-    Where a session has none, a folder of the warehouse is taken, which is shared as
-    well; only a local session's warehouse is a folder of one machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return found.rstrip("/")
-
-
 def release() -> None:
     """Gives a Python worker's free memory back: workers outlive their tasks."""
     gc.collect()
@@ -38,16 +29,6 @@ def release() -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/groundlake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_columns(df: DataFrame, make, fields: list[T.StructField], carry: list[str], *, rows: int = SLICE_ROWS) -> DataFrame:
     """Columns computed batch by batch in Python, beside the carried ones.
 
