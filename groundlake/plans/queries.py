@@ -23,7 +23,8 @@ def query(fn):
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+    """Declared columns: no job to look them up in the files."""
+    return spark.read.schema("vec_id long, embedding array<float>").parquet(f"{sf}/embeddings.parquet")
 
 
 def _questions(spark, sf):
