@@ -224,6 +224,22 @@ def test_retrieval_bounds(spark):
     assert [r.chunk_id for r in retrieve.top_k_single(table, [1.0, 0.0], 2).collect()] == ["a", "b"]
 
 
+def test_scores_held_are_bounded():
+    """A batch against many questions never has all its scores at once, and finds what all scores give."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(6000, 4)), rng.normal(size=(2000, 4))
+    held = retrieve.Nearest(q, 3)
+    tracemalloc.start()
+    for start in range(0, 6000, 3000):
+        held.add(np.arange(start, start + 3000), x[start : start + 3000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all scores of a batch: 48 MB, and as much to part them
+    assert (held.ids.reshape(2000, 3) == np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :3]).all()
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
     got = [r.embedding for r in encode.encode(df, make=lambda: encode.HashingEncoder(16)).collect()]
