@@ -149,6 +149,16 @@ def test_text(spark):
     assert one(spark, text.text_cleanup(F.lit(" [NO \\author GIVEN]a \t b<cit.>\n\n\n\nc "))) == "a b[cite]\n\nc"
 
 
+def test_cells_round_the_stored_value(spark):
+    """As printf and Python do; 0.145 is stored as less, and exact halves go to even."""
+    from groundlake.functions import prompts
+
+    data = [0.145, 0.125, 0.375, 0.005, 0.015, 1.005, 2.675, 0.625, 1234.565, 0.0, 1.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "i int, v double")
+    got = [r.x for r in df.select("i", prompts.cell(F.col("v"), True).alias("x")).orderBy("i").collect()]
+    assert got == ["—" if v is None else f"{v:.2f}" for v in data]
+
+
 def test_titles(spark):
     assert one(spark, titles.normalize_title(F.lit("The \\alpha{X}--Model (II)"))) == "the alpha x model ii"
     split = values(spark, ["A title (1994)", "1984 and 1999 x", "2001 A", "none", "T (verify) 1990"], titles.split_year)
