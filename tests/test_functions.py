@@ -250,6 +250,19 @@ def test_scores_held_are_bounded():
     assert (held.ids.reshape(2000, 3) == np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :3]).all()
 
 
+def test_blocks_of_questions_share_a_pass(spark):
+    """The index is read, and questions fetched, as often for many blocks as for one."""
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "qid int, q_embedding array<double>")
+    sc, jobs, found = spark.sparkContext, [], []
+    for most in (12, 1):
+        sc.setJobGroup(f"blocks-{most}", "")
+        found.append(sorted(retrieve.top_k(table, q, 3, most=most).collect()))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"blocks-{most}")))
+    sc._jsc.clearJobGroup()
+    assert jobs[0] == jobs[1] and found[0] == found[1] and len(found[0]) == 36
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
     got = [r.embedding for r in encode.encode(df, make=lambda: encode.HashingEncoder(16)).collect()]
