@@ -9,7 +9,6 @@ only pairs whose bound passes are matched.
 
 from __future__ import annotations
 
-import heapq
 import uuid
 from difflib import SequenceMatcher
 
@@ -22,15 +21,15 @@ from ..functions.ids import is_paper_id
 from ..functions.titles import HIGH, adjusted, band, normalize_title, split_year
 from ..storage import written
 
-#: Titles resolved in one pass; more are resolved block by block.
-MAX_TITLES = 2000
+#: Titles resolved in one pass; more are resolved block by block. A task holds them all at most.
+MAX_TITLES = 20_000
 
 #: Rare grams of a title, how frequent one may be, and papers tried, in the search for a score to beat.
 #: None changes a result: what this search misses, the blocks find.
 SEED_GRAMS, SEED_DF, SEED_TRIES = 16, 500, 30
 
-#: Titles and letters of a block at most, about.
-BLOCK_ROWS, BLOCK_LETTERS = 1024, 1_000_000
+#: Titles and letters of a block at most, about, and shares of the titles asked for that meet it apart.
+BLOCK_ROWS, BLOCK_LETTERS, SHARES = 4096, 1_000_000, 8
 
 #: Length classes an octave, and what agreement of years may add.
 CLASSES, NUDGE = 2, 0.05
@@ -38,6 +37,9 @@ CLASSES, NUDGE = 2, 0.05
 #: Letters beyond which a common subsequence costs more than it saves.
 LONGEST = 640
 
+#: Letters from which on the matcher leaves out frequent ones, and pairs matched in one go.
+JUNK, PAIRS = 200, 1024
+
 _SYMBOLS = np.full(256, 37, dtype=np.uint8)
 _SYMBOLS[np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = np.arange(37)
 
@@ -58,36 +60,116 @@ def letters(norms: list[str]) -> np.ndarray:
     return np.array([np.bincount(_SYMBOLS[np.frombuffer(x.encode(), dtype=np.uint8)], minlength=38)[:37] for x in norms], dtype=np.int32).reshape(len(norms), 37)
 
 
+def padded(texts: list[str], fill: int) -> np.ndarray:
+    """The bytes of ASCII texts, a text a row."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), fill, dtype=np.uint8)
+    for row, x in zip(out, texts):
+        row[: len(x)] = np.frombuffer(x.encode(), dtype=np.uint8)
+    return out
+
+
+def longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of the longest common block of each pair (a column of either) and its starts: the first in ``a``, then in ``b``."""
+    held, new = np.zeros((2, len(b) + 1, b.shape[1]), dtype=np.uint8)
+    best = np.zeros(b.shape[1], dtype=np.uint8)
+    at_a, at_b = np.zeros((2, b.shape[1]), dtype=np.int64)
+    for i in range(len(a)):
+        np.add(held[:-1], 1, out=new[1:])
+        np.multiply(new[1:], b == a[i], out=new[1:])
+        most = new.max(axis=0)
+        up = np.flatnonzero(most > best)
+        if len(up):
+            best[up] = size = most[up]
+            at_a[up] = i + 1 - size.astype(np.int64)
+            at_b[up] = new[:, up].argmax(axis=0) - size.astype(np.int64)
+        held, new = new, held
+    return best.astype(np.int64), at_a, at_b
+
+
+def matched(a: list[str], b: list[str]) -> np.ndarray:
+    """Letters in the matching blocks of each pair of ASCII texts, the second under ``JUNK`` letters: those of the matcher."""
+    left, right = padded(a, 0), padded(b, 1)
+    total = np.zeros(len(a), dtype=np.int64)
+    # stretches still to match: pair, from and to in either text
+    todo = np.array([np.arange(len(a)), np.zeros(len(a)), [len(x) for x in a], np.zeros(len(a)), [len(x) for x in b]], dtype=np.int64).reshape(5, -1)
+    todo = todo[:, (todo[2] > 0) & (todo[4] > 0)]
+    while todo.shape[1]:
+        todo = todo[:, np.lexsort((todo[4] - todo[3], (todo[2] - todo[1]) // 8))]
+        later = []
+        for start in range(0, todo.shape[1], PAIRS):
+            pair, a0, a1, b0, b1 = part = todo[:, start : start + PAIRS]
+            i, j = np.arange((a1 - a0).max())[:, None] + a0, np.arange((b1 - b0).max())[:, None] + b0
+            of_a = np.where(i < a1, left[pair, np.minimum(i, left.shape[1] - 1)], 0)
+            of_b = np.where(j < b1, right[pair, np.minimum(j, right.shape[1] - 1)], 1)
+            size, at_a, at_b = longest_blocks(of_a.astype(np.uint8), of_b.astype(np.uint8))
+            np.add.at(total, pair, size)
+            at_a, at_b = at_a + a0, at_b + b0
+            for sides in ((pair, a0, at_a, b0, at_b), (pair, at_a + size, a1, at_b + size, b1)):
+                more = (size > 0) & (sides[1] < sides[2]) & (sides[3] < sides[4])
+                later.append(np.array(sides)[:, more])
+        todo = np.concatenate(later, axis=1)
+    return total
+
+
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """``similarity`` of each pair; short ASCII texts are matched many at a time."""
+    out = np.ones(len(a))
+    short = np.array([len(y) < JUNK and len(x) <= LONGEST and x.isascii() and y.isascii() for x, y in zip(a, b)], dtype=bool)
+    at = np.flatnonzero(short)
+    for start in range(0, len(at), 16 * PAIRS):
+        few = at[start : start + 16 * PAIRS]
+        left, right = [a[i] for i in few], [b[i] for i in few]
+        size = np.array([len(x) + len(y) for x, y in zip(left, right)])
+        out[few] = np.where(size > 0, 2.0 * matched(left, right) / np.maximum(size, 1), 1.0)
+    m = SequenceMatcher(None)
+    # what a matcher knows of its second text serves all titles asked for
+    for i in sorted(np.flatnonzero(~short).tolist(), key=lambda i: b[i]):
+        if m.b != b[i]:
+            m.set_seq2(b[i])
+        m.set_seq1(a[i])
+        out[i] = m.ratio()
+    return out
+
+
 def common_subsequences(asked: str, norms: list[str]) -> np.ndarray:
-    """Length of the longest common subsequence of a normal title with each of many.
+    """Length of the longest common subsequence of a normal title with each of many."""
+    return subsequences(asked, symbols(norms))
+
+
+def symbols(norms: list[str]) -> np.ndarray:
+    """Symbol numbers of normal titles, a title a column; 37 beyond its end."""
+    return np.ascontiguousarray(_SYMBOLS[padded(norms, 0)].T)
 
-    One bit per letter of ``asked``; all of ``norms`` advance by one letter at a time.
+
+def subsequences(asked: str, text: np.ndarray) -> np.ndarray:
+    """``common_subsequences`` over symbol numbers.
+
+    One bit per letter of ``asked``; all titles advance by one letter at a time.
     """
-    size, lengths = len(asked), np.array([len(x) for x in norms])
-    if not size or not len(norms) or not lengths.max():
-        return np.zeros(len(norms), dtype=np.int64)
+    size = len(asked)
+    if not size or not text.size:
+        return np.zeros(text.shape[1], dtype=np.int64)
     wide = -(-size // 64)
     own = _SYMBOLS[np.frombuffer(asked.encode(), dtype=np.uint8)]
     mask = np.zeros((wide, 38), dtype=np.uint64)
     for i, c in enumerate(own.tolist()):
         mask[i // 64, c] |= np.uint64(1 << (i % 64))
     mask[:, 37] = 0
-    text = np.full((len(norms), lengths.max()), 37, dtype=np.uint8)
-    for row, x in zip(text, norms):
-        row[: len(x)] = _SYMBOLS[np.frombuffer(x.encode(), dtype=np.uint8)]
-    v = np.full((wide, len(norms)), np.uint64(2**64 - 1))
-    for at in range(text.shape[1]):
-        met = mask[:, text[:, at]]
+    v = np.full((wide, text.shape[1]), np.uint64(2**64 - 1))
+    u, total, met = np.empty((3, text.shape[1]), dtype=np.uint64)
+    tables, states = list(mask), list(v)
+    for at in text.astype(np.intp):
         carry = None
-        for w in range(wide):
-            u = v[w] & met[w]
-            total = v[w] + u
-            over = total < u
+        for w, (table, state) in enumerate(zip(tables, states)):
+            np.take(table, at, out=met, mode="clip")
+            np.bitwise_and(state, met, out=u)
+            np.add(state, u, out=total)
+            over = total < u if w + 1 < wide else None
             if carry is not None:
-                more = total + carry
-                over = over | (more < total)
-                total = more
-            v[w] = total | (v[w] - u)
+                np.add(total, carry, out=total)
+                over = over | (total < carry) if w + 1 < wide else None
+            np.subtract(state, u, out=state)
+            np.bitwise_or(total, state, out=state)
             carry = over.astype(np.uint64) if w + 1 < wide else None
     # bits beyond the title never meet a letter and stay set
     return 64 * wide - np.bitwise_count(v).astype(np.int64).sum(axis=0)
@@ -142,7 +224,7 @@ def first_scores(asked: DataFrame, entries: DataFrame, top: int) -> DataFrame:
 
     def score(frames):
         for f in frames:
-            yield pd.DataFrame({"qid": f["qid"].astype(object), "n": f["n"], "s": [min(similarity(a, b) + x, 1.0) for a, b, x in zip(f["q_norm"], f["norm"], f["nudge"])]})
+            yield pd.DataFrame({"qid": f["qid"].astype(object), "n": f["n"], "s": np.minimum(similarities(f["q_norm"].tolist(), f["norm"].tolist()) + f["nudge"].to_numpy(), 1.0)})
 
     scored = tried.select("qid", "q_norm", "norm", "nudge", "n").mapInPandas(score, "qid string, n int, s double")
     upto = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -150,44 +232,72 @@ def first_scores(asked: DataFrame, entries: DataFrame, top: int) -> DataFrame:
 
 
 def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
-    """The entries of one block that may be among the ``top`` best of each title: ``qid, at, s``, with how many were matched."""
+    """The entries of one block that may be among the ``top`` best of each title: ``qid, at, s``."""
     norms, years = titles["norm"].tolist(), titles["year"].to_numpy(dtype=object)
-    sizes, held = np.array([len(x) for x in norms]), letters(norms)
+    sizes, held, text = np.array([len(x) for x in norms]), np.ascontiguousarray(letters(norms).T), symbols(norms)
     copies = titles["n"].to_numpy()
     dated = np.array([y is not None and y != "" for y in years])
-    out: list[tuple] = []
-    matchers: dict[int, SequenceMatcher] = {}  # what a matcher knows of its second text serves all titles asked for
-    for qid, q, year, least in zip(asked["qid"], asked["q_norm"], asked["q_year"], asked["least"]):
-        nudge = np.where(dated, np.where(years == year, NUDGE, -NUDGE), 0.0) if isinstance(year, str) else np.zeros(len(norms))
+    of_year = {y: years == y for y in set(asked["q_year"]) if isinstance(y, str)}
+    qids, questions, wanted, floors = asked["qid"].tolist(), asked["q_norm"].tolist(), asked["q_year"].tolist(), asked["least"].to_numpy(dtype=float).copy()
+    own = letters(questions)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def nudged(n: int) -> np.ndarray:
+        return np.where(dated, np.where(of_year[wanted[n]], NUDGE, -NUDGE), 0.0) if isinstance(wanted[n], str) else np.zeros(len(norms))
+
+    def candidates(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries whose bound reaches the floor, best bound first."""
+        q, nudge = questions[n], nudged(n)
         total = sizes + len(q)
         upper = lambda common, at: np.minimum(np.where(total[at] > 0, 2 * common / np.maximum(total[at], 1), 1.0) + nudge[at], 1.0) + 1e-9
         at = np.arange(len(norms))
-        bound = upper(np.minimum(held, letters([q])).sum(axis=1), at)
-        keep = bound >= least
-        at, bound = at[keep], bound[keep]
+        bound = upper(np.minimum(held, own[n][:, None]).sum(axis=0), at)
+        at = np.flatnonzero(bound >= floors[n])
+        bound = bound[at]
         if len(at) > 8 and max(len(q), sizes[at].max()) <= LONGEST:
-            bound = np.minimum(bound, upper(common_subsequences(q, [norms[i] for i in at]), at))
-            keep = bound >= least
-            at, bound = at[keep], bound[keep]
-        best: list[tuple[float, int]] = []  # scores and how many papers have them
-        room = 0
-        floor = least
-        for i, b in zip(at[np.argsort(-bound, kind="stable")].tolist(), np.sort(-bound, kind="stable").tolist()):
-            if -b < floor:
-                break
-            m = matchers.get(i) or matchers.setdefault(i, SequenceMatcher(None, "", norms[i]))
-            m.set_seq1(q)
-            s = min(m.ratio() + nudge[i], 1.0)
-            if s < floor:
-                continue
-            out.append((qid, i, s))
-            heapq.heappush(best, (s, int(copies[i])))
-            room += int(copies[i])
-            while room - best[0][1] >= top:
-                room -= heapq.heappop(best)[1]
-            if room >= top:
-                floor = max(floor, best[0][0])
-    return pd.DataFrame(out, columns=["qid", "at", "s"])
+            bound = np.minimum(bound, upper(subsequences(q, text[: sizes[at].max(), at]), at))
+            at, bound = at[bound >= floors[n]], bound[bound >= floors[n]]
+        order = np.argsort(-bound, kind="stable")
+        return at[order], bound[order]
+
+    def match(pairs: list[tuple[int, np.ndarray]]) -> None:
+        """Scores of entries with titles; raises the titles' floors."""
+        n = np.repeat([x for x, _ in pairs], [len(at) for _, at in pairs])
+        at = np.concatenate([at for _, at in pairs])
+        ratio = similarities([questions[i] for i in n], [norms[i] for i in at])
+        begin = 0
+        for x, of in pairs:
+            s = np.minimum(ratio[begin : begin + len(of)] + nudged(x)[of], 1.0)
+            begin += len(of)
+            order = np.argsort(-s, kind="stable")
+            enough = np.flatnonzero(np.cumsum(copies[of[order]]) >= top)
+            if len(enough):
+                floors[x] = max(floors[x], s[order[enough[0]]])
+            keep = s >= floors[x]
+            out.append((np.full(keep.sum(), x), of[keep], s[keep]))
+
+    def settle(found: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """The best bounds first, then what still reaches the floor."""
+        first = top + 5
+        match([(n, at[:first]) for n, at, _ in found])
+        rest = [(n, at[first:][bound[first:] >= floors[n]]) for n, at, bound in found]
+        if any(len(at) for _, at in rest):
+            match([(n, at) for n, at in rest if len(at)])
+
+    waiting, pairs = [], 0
+    for n in range(len(questions)):
+        at, bound = candidates(n)
+        if len(at):
+            waiting.append((n, at, bound))
+            pairs += len(at)
+        if pairs >= 8 * PAIRS:
+            settle(waiting)
+            waiting, pairs = [], 0
+    if waiting:
+        settle(waiting)
+    n, at, s = (np.concatenate([x[c] for x in out] or [np.zeros(0, dtype=int)]) for c in range(3))
+    keep = s >= floors[n.astype(int)]
+    return pd.DataFrame({"qid": [qids[i] for i in n[keep].astype(int)], "at": at[keep].astype(int), "s": s[keep].astype(float)})
 
 
 def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float | None = None) -> DataFrame:
@@ -201,6 +311,9 @@ def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float
     passes = max(1, -(-number // MAX_TITLES))
     entries = written(entries_of(papers, top), "titles")
     blocked, classes = blocks_of(entries)
+    classes = written(classes, "titles-classes")
+    # so many tasks whatever their bytes: a block is small and its matching long, and small partitions would be made one
+    tasks = 2 * SHARES * max(1, classes.agg(F.sum("parts")).first()[0] or 0)
     found = None
     for p in range(passes):
         part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
@@ -215,7 +328,7 @@ def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float
         high = F.when(open_ended, F.lit((1 << 31) - 2)).otherwise(F.ceil(size * (2 - need) / need) + 1)
         spread = F.sequence(size_class(F.greatest(low, F.lit(0))), size_class(high))
         sent = q.select("qid", "q_norm", "q_year", "least", F.explode(spread).alias("class")).join(F.broadcast(classes), "class")
-        sent = sent.select("qid", "q_norm", "q_year", "least", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        sent = sent.select("qid", "q_norm", "q_year", "least", "class", F.pmod(F.xxhash64("qid"), F.lit(SHARES)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
         def both(titles: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             got = meet(titles, asked, top)
@@ -224,8 +337,10 @@ def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float
             found = {"qid": got["qid"].tolist(), "norm": [norm[i] for i in got["at"]], "year": [year[i] for i in got["at"]]}
             return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in found.items()} | {"s": got["s"].astype(float)})
 
-        lying = blocked.select("class", "part", "norm", "year", F.size("papers").alias("n"))
-        near = lying.groupBy("class", "part").cogroup(sent.groupBy("class", "part")).applyInPandas(both, "qid string, norm string, year string, s double")
+        spot = ["class", "part", "share"]
+        lying = blocked.select("class", "part", F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share"), "norm", "year", F.size("papers").alias("n"))
+        met = lying.repartition(tasks, *spot).groupBy(*spot)
+        near = met.cogroup(sent.repartition(tasks, *spot).groupBy(*spot)).applyInPandas(both, "qid string, norm string, year string, s double")
         found = near if found is None else found.unionByName(near)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "paper_id"))
     # an entry has ``top`` papers at most

@@ -384,6 +384,31 @@ def test_resolve_matches_all_pairs(spark):
             assert got[qid, place][0] == paper and abs(got[qid, place][1] + score) < 0.0006
 
 
+def test_similarities_are_the_matchers():
+    """Pairs matched many at a time score as one by one: repeats, empty, long and other texts."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    parts = ["the", "of", "tion", "en", "a", "", "7", "1989", "aaaa"]
+    title = lambda: " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30)))[: rng.choice([0, 5, 60, 199, 230])]
+    a, b = [title() for _ in range(3000)] + ["ß", "a" * 700], [title() for _ in range(3000)] + ["ß a", "a" * 30]
+    assert resolve.similarities(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+
+
+def test_resolve_spreads_its_blocks(spark):
+    """Blocks are few bytes and much work: partitions of few bytes, made one, would leave one core busy."""
+    words = ["gauge", "theory", "mirror", "string", "duality", "knots"]
+    known = spark.createDataFrame([(f"p{i:03d}", t, "1990", t) for i in range(300) for t in [f"{words[i % 6]} {words[i % 5]} {i}"]], "paper_id string, title string, year string, norm string")
+    asked = spark.createDataFrame([(f"q{i}", f"{words[i % 4]} {words[i % 3]} {i}") for i in range(20)], "qid string, query string")
+    sc = spark.sparkContext
+    sc.setJobGroup("spread", "")
+    resolve.resolve(asked, known).collect()
+    infos = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("spread") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    sc._jsc.clearJobGroup()
+    assert max(i.numCompletedTasks for i in infos if i) >= 2 * 8
+
+
 def test_common_subsequences_and_bounds():
     """Bit vectors over one and several words against dynamic programming; never under the blocks matched."""
     import random
