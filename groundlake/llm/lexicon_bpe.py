@@ -266,6 +266,35 @@ class Lexicon:
         return self._ids[self._offsets[number] : self._offsets[number + 1]].tolist()
 
 
+class Shown:
+    """Words as their number of ids, the ids and the decoded text.
+
+    Words that differ in capitals or in marks share the merges of their pieces, of which
+    ``most`` are kept.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int):
+        self.v, self.most = vocabulary, most
+        self.pieces: dict[str, tuple] = {}
+
+    def ids(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.v.decode(ids)
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= self.most:
+                self.pieces.clear()
+            got = self.pieces[piece] = self.ids(self.v.merge(piece))
+        return got
+
+    def word(self, word: str) -> tuple[int, str, str]:
+        parts = [self.piece(p) for p in self.v.pieces(word)]
+        if len(parts) == 1:
+            return parts[0]
+        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+
+
 def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text") -> list[str]:
     """The words seen most in all texts, at most ``size``, counted by summaries of bounded size.
 
@@ -322,15 +351,14 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, *, lexicon_size: int = 50
         v, lexicon = vocabulary.value, Lexicon(compiled.value)
         known: dict[str, tuple] = {}
         before: dict[str, tuple] = {}  # what was known when it last grew full
+        shown = Shown(v, cache_size)
 
         def look_up(word):
             nonlocal before
             got = before.get(word)
             if got is None:
                 ids = lexicon.get(word.encode("utf-8", "surrogatepass"))
-                if ids is None:
-                    ids = v.encode(word)
-                got = (len(ids), " ".join(map(str, ids)), v.decode(ids))
+                got = shown.word(word) if ids is None else shown.ids(ids)
             if len(known) >= cache_size:
                 before = dict(known)
                 known.clear()

@@ -516,3 +516,19 @@ def test_repair(spark, segment):
         assert len(heads) == got[c].n_out and heads[-1] == "<|assistant|>"
         assert all(a != b for a, b in zip(heads, heads[1:])) and heads[0] != "<|assistant|>"
     assert repair(df.filter("false")).collect() == []
+
+
+def test_bpe_merges_a_piece_once(monkeypatch):
+    """Words that differ in capitals or in a mark after them share the merges of their piece."""
+    import public_tokenizers
+    from groundlake.llm import lexicon_bpe as L
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        v = L.Vocabulary(f.read())
+    merged, merge = [], v.merge
+    monkeypatch.setattr(v, "merge", lambda piece: merged.append(piece) or merge(piece))
+    words = ["zqthorreou", "Zqthorreou", "zqthorreou,", "ZQTHORREOU.", "zqthorreou's"]
+    shown = L.Shown(v, 100)
+    got = [shown.word(w) for w in words]
+    assert merged.count("zqthorreou") == 1
+    assert got == [(len(i), " ".join(map(str, i)), v.decode(i)) for i in map(v.encode, words)]
