@@ -14,12 +14,12 @@ one of which can be frequent, are joined, place by place.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +49,21 @@ def shape(word: bytes) -> int:
     return (n > 3) + (n > 6) + (n > 9) + (n > 13) + 5 * mark
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """``shape`` of each of the words, none of them null or empty."""
+    edge = _edges(words)
+    size, last = np.diff(edge), np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[edge[1:] - 1]
+    mark = (last < 128) & ~(((97 <= last) & (last <= 122)) | ((48 <= last) & (last <= 57)))
+    return np.searchsorted([3, 6, 9, 13], size) + 5 * mark
+
+
+def _edges(x: pa.Array) -> np.ndarray:
+    """Where the values of a binary array begin and end in its bytes."""
+    if not len(x):
+        return np.zeros(1, dtype=np.int64)
+    return np.frombuffer(x.buffers()[1], dtype=np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
@@ -126,29 +141,46 @@ class ClassModel:
         return np.dtype("<u1" if self.first_shape + SHAPES < 256 else "<u2")
 
 
+class Held:
+    """Words as Arrow arrays, until there are some millions of them."""
+
+    def __init__(self):
+        self.parts: list[pa.Array] = []
+
+    def add(self, words: list[bytes]) -> bool:
+        """Whether it is time to take them."""
+        if words:
+            self.parts.append(pa.array(words, pa.binary()))
+        return sum(map(len, self.parts)) > 1 << 22 or sum([x.nbytes for x in self.parts]) > 1 << 28
+
+    def taken(self) -> pa.Array:
+        got = pa.concat_arrays(self.parts)
+        self.parts = []
+        return got
+
+
 def count_words(train: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n`` over all training texts; each task sums before it sends."""
 
     def make():
-        seen: Counter = Counter()
+        held = Held()
 
         def flush():
-            if seen:
-                words = list(seen)
-                out = [pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([shape(w) for w in words], pa.int32())]
-                seen.clear()
-                yield out
+            if held.parts:
+                seen = held.taken().value_counts()
+                yield [seen.field("values"), seen.field("counts")]
 
         def f(batch):
+            words: list[bytes] = []
             for text in column(batch, text_col):
-                seen.update(tokens(text))
-            if len(seen) > 300_000:
+                words += tokens(text)
+            if held.add(words):
                 yield from flush()
 
         return f, flush
 
-    schema = T.StructType.fromDDL("word binary, n long, shape int")
-    return emit_rows(train.select(text_col), make, schema).groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    schema = T.StructType.fromDDL("word binary, n long")
+    return emit_rows(train.select(text_col), make, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_bigrams(train: DataFrame, words: list[bytes], text_col: str = "text") -> np.ndarray:
@@ -157,18 +189,18 @@ def count_bigrams(train: DataFrame, words: list[bytes], text_col: str = "text")
     given = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def make():
-        ids, end = given.value, size - 1
+        # no word is a blank, which stands for the end
+        number, other = {**given.value, b" ": size - 1}.get, len(given.value)
         total = np.zeros(size * size, dtype=np.int64)
-        other = len(ids)
 
         def f(batch):
-            line = [end]
+            line = [b" "]
             for text in column(batch, text_col):
-                for w in tokens(text):
-                    i = ids.get(w)
-                    line.append(other + shape(w) if i is None else i)
-                line.append(end)
-            got = np.array(line, dtype=np.int64)
+                line += tokens(text)
+                line.append(b" ")
+            got = np.array([number(w, -1) for w in line], dtype=np.int64)
+            rest = np.flatnonzero(got < 0)
+            got[rest] = other + shapes(pa.array([line[i] for i in rest.tolist()], pa.binary()))
             total[:] += np.bincount(got[:-1] * size + got[1:], minlength=size * size)
             return ()
 
@@ -221,33 +253,24 @@ def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes:
     given = spark.sparkContext.broadcast((of, n))
     wide = 2 * k + 1  # classes after, classes before, itself
 
-    class Numbers(dict):
-        """Below 0: -1 - class; others are numbered as they come."""
-
-        def __missing__(self, w):
-            self.words.append(w)
-            self[w] = j = len(self.words) - 1
-            return j
-
     def make():
-        known = {w: -1 - c for w, c in given.value[0].items()}
-        state: dict = {}
-
-        def fresh():
-            state["ids"], state["line"] = Numbers(known), [-k]
-            state["ids"].words = []
-
-        fresh()
+        # no word is a blank, which stands for the end
+        known, held = {**given.value[0], b" ": k - 1}, Held()
+        names, their = pa.array(list(known), pa.binary()), np.array(list(known.values()), dtype=np.int64)
 
         def flush():
-            words, v = state["ids"].words, np.array(state["line"], dtype=np.int64)
-            fresh()
-            if not words:
+            if not held.parts:
                 return
-            shapes = first + np.array([shape(w) for w in words], dtype=np.int64)
-            c = np.where(v < 0, -1 - v, shapes[np.maximum(v, 0)])
-            at = np.flatnonzero(v >= 0)
-            own = v[at]
+            held.parts.insert(0, pa.array([b" "], pa.binary()))
+            line = held.taken().dictionary_encode()
+            words, v = line.dictionary, line.indices.to_numpy()
+            which = pc.index_in(words, value_set=names).fill_null(-1).to_numpy()
+            new = which < 0
+            c = np.where(new, first + shapes(words), their[which])[v]
+            words = words.filter(pa.array(new))
+            at = np.flatnonzero(new[v])
+            v = (np.cumsum(new) - 1)[v] + len(new) * ~new[v]  # new words by number, others beyond
+            own = v[at].astype(np.int64)
             again, was = v[at + 1] == own, v[at - 1] == own
             keys = np.concatenate((own * wide + np.where(again, 2 * k, c[at + 1]), (own * wide + k + c[at - 1])[~was]))
             keys, counts = np.unique(keys, return_counts=True)
@@ -255,15 +278,15 @@ def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes:
             edge = np.searchsorted(keys, np.arange(len(words) + 1) * wide).astype(np.int32) * 8
             for lo in range(0, len(words), 4096):
                 part = edge[lo : lo + 4097]
-                held = packed[part[0] // 8 : part[-1] // 8].tobytes()
-                yield [pa.array(words[lo : lo + 4096], pa.binary()), pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), pa.py_buffer(held)])]
+                met = packed[part[0] // 8 : part[-1] // 8].tobytes()
+                yield [words.slice(lo, 4096), pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer(part - part[0]), pa.py_buffer(met)])]
 
         def f(batch):
-            line, number = state["line"], state["ids"].__getitem__
+            line: list[bytes] = []
             for text in column(batch, text_col):
-                line.extend(map(number, tokens(text)))
-                line.append(-k)
-            if len(state["ids"].words) > 300_000 or len(line) > 1 << 22:
+                line += tokens(text)
+                line.append(b" ")
+            if held.add(line):
                 yield from flush()
 
         return f, flush
@@ -272,10 +295,13 @@ def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes:
         table = given.value[1]
         once = np.full(k * k * SHAPES, -1)
 
-        def done(words, held):
-            own = np.array([first + shape(w) for w in words], dtype=np.int64)
-            packed = np.frombuffer(b"".join(held), dtype="<u8")
-            w = np.repeat(np.arange(len(words)), [len(x) // 8 for x in held])
+        def done(words, met):
+            """Of sorted rows, in which no word's are cut."""
+            new = np.concatenate(([True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)))
+            words, edge = words.filter(pa.array(new)), _edges(met)
+            own = first + shapes(words)
+            packed = np.frombuffer(met.buffers()[2], dtype="<u8", count=edge[-1] // 8)[edge[0] // 8 :]
+            w = np.repeat(np.cumsum(new) - 1, np.diff(edge) // 8)
             seen = np.bincount(w * wide + (packed >> U(40)).astype(np.int64), weights=(packed & U((1 << 40) - 1)).astype(float), minlength=len(words) * wide).reshape(-1, wide)
             after, before, itself = seen[:, :k], seen[:, k:-1], seen[:, -1]
             total = after.sum(1) + itself
@@ -289,21 +315,20 @@ def class_words(train: DataFrame, of: dict[bytes, int], n: np.ndarray, classes:
                 at = todo[lo : lo + 256]
                 best[at] = best_classes(after[at], before[at], itself[at], own[at], table, classes)
             once[key[single]] = best[single]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+            return pa.RecordBatch.from_arrays([words, pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
 
-        words, held = [], []
+        carry = None  # rows of the last word, of which more may come
         for b in batches:
-            for w, x in zip(column(b, "word"), column(b, "met")):
-                if words and words[-1] == w:
-                    held[-1] += x
-                    continue
-                if len(words) == 4096:
-                    yield done(words, held)
-                    words, held = [], []
-                words.append(w)
-                held.append(x)
-        if words:
-            yield done(words, held)
+            if not b.num_rows:
+                continue
+            rows = [b.column(b.schema.get_field_index(c)).cast(pa.binary()) for c in ("word", "met")]
+            words, met = rows if carry is None else (pa.concat_arrays(x) for x in zip(carry, rows))
+            cut = int(np.argmax(pc.equal(words, words[-1]).to_numpy(zero_copy_only=False)))
+            if cut:
+                yield done(words.slice(0, cut), met.slice(0, cut))
+            carry = words.slice(cut), met.slice(cut)
+        if carry is not None:
+            yield done(*carry)
 
     rows = emit_rows(train.select(text_col), make, T.StructType.fromDDL("word binary, met binary"))
     return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
@@ -320,8 +345,8 @@ def unseen_words(vocabulary: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]
         few = np.zeros((SHAPES, 2), dtype=np.int64)
 
         def f(batch):
-            for w, k in zip(column(batch, "word"), column(batch, "n")):
-                few[shape(w), k - 1] += 1
+            words, n = (batch.column(batch.schema.get_field_index(c)) for c in ("word", "n"))
+            np.add.at(few, (shapes(words.cast(pa.binary())), n.to_numpy() - 1), 1)
             return ()
 
         def end():
@@ -503,17 +528,18 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
             yield [rows, two, pa.array(np.full(len(texts), -1, dtype=np.int32)), filler, some, ids, line, pa.array(sizes + 1), pa.array(per() + int(m.ends > 0)), pa.array(per(base) + end_base), pa.array(per(emission), pa.float64())]
             rare = np.flatnonzero(found < 0)
             if len(rare):
-                words, own = [flat[i] for i in rare.tolist()], pa.array(doc[rare])
-                other = pa.array([m.first_shape + shape(w) for w in words], pa.int32())
+                words, own = pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.array(doc[rare])
+                other = pa.array((m.first_shape + shapes(words)).astype(np.int32))
                 nothing = [pa.nulls(len(rare), t) for t in (ids.type, pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield [rows.take(own), two.take(own), pa.array(at[rare].astype(np.int32)), pa.array(words, pa.binary()), other, *nothing]
+                yield [rows.take(own), two.take(own), pa.array(at[rare].astype(np.int32)), words, other, *nothing]
 
         return f, None
 
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.xxhash64(F.lit(1), id_col, text_col).alias("_two"), text_col)
     parts = emit_rows(keyed, make, schema, rows=256)
     seen = parts.join(vocabulary, "word", "left").select(*[c for c in names if c not in ("word", "other")], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", "other", F.lit(0)).alias("class"))
-    ordered = seen.repartition("_row", "_two").sortWithinPartitions("_row", "_two", "at")
+    # by one number, which Spark sorts by radix; `filled` orders what shares it
+    ordered = seen.repartition("_row", "_two").sortWithinPartitions("_row")
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[schema[c] for c in ("line", "n_tokens", "n_known", "base_score", "emission")]])
     base_total, totals, cell = model.base_total, model.class_total, model.line_type
     unseen = np.zeros(len(totals) + SHAPES)
@@ -522,12 +548,13 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
     def filled(part):
         """Whole texts: the rare words' classes go into the lines, equal rows get a result each."""
         get = lambda c: part.column(c).to_numpy()
-        row, two, at, n, of = (get(c) for c in ("_row", "_two", "at", "n", "class"))
+        order = np.lexsort([get(c) for c in ("at", "_two", "_row")])
+        row, two, at, n, of = (get(c)[order] for c in ("_row", "_two", "at", "n", "class"))
         new = np.ones(len(row), dtype=bool)
         new[1:] = (row[1:] != row[:-1]) | (two[1:] != two[:-1])
         group, head, rare = np.cumsum(new) - 1, np.flatnonzero(new), np.flatnonzero(at >= 0)
         times = np.bincount(group[at < 0])
-        main = part.take(pa.array(head))
+        main = part.take(pa.array(order[head]))
         lines = main.column("line").to_pylist()
         size = np.array([len(x) // cell.itemsize for x in lines], dtype=np.int64)
         whole = np.frombuffer(b"".join(lines), dtype=cell).copy()
@@ -551,8 +578,8 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
         carry = None
         for b in batches:
             part = pa.Table.from_batches([b])
-            row, two = part.column("_row").to_numpy(), part.column("_two").to_numpy()
-            last = np.flatnonzero((row != row[-1]) | (two != two[-1])) if len(row) else []
+            row = part.column("_row").to_numpy()
+            last = np.flatnonzero(row != row[-1]) if len(row) else []
             if not len(row):
                 continue
             end = int(last[-1]) + 1 if len(last) else 0
@@ -560,7 +587,7 @@ def _lines(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, id_col: st
             if end:
                 yield filled(pa.concat_tables([*before, part.slice(0, end)]).combine_chunks())
                 carry = part.slice(end)
-            elif before and (carry.column("_row")[0].as_py(), carry.column("_two")[0].as_py()) != (int(row[0]), int(two[0])):
+            elif before and carry.column("_row")[0].as_py() != int(row[0]):
                 yield filled(carry.combine_chunks())
                 carry = part
             else:

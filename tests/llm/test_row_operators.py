@@ -532,3 +532,76 @@ def test_bpe_merges_a_piece_once(monkeypatch):
     got = [shown.word(w) for w in words]
     assert merged.count("zqthorreou") == 1
     assert got == [(len(i), " ".join(map(str, i)), v.decode(i)) for i in map(v.encode, words)]
+
+
+def python_calls(run):
+    """How many Python functions and C functions are called by name while ``run()`` runs."""
+    import sys
+
+    seen = Counter()
+
+    def note(frame, event, arg):
+        if event in ("call", "c_call"):
+            seen[frame.f_code.co_name if event == "call" else arg.__name__] += 1
+
+    sys.setprofile(note)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return seen
+
+
+def test_brown_lm_calls_nothing_per_word(monkeypatch):
+    """Shapes of words and the rows of equal words are found by arrays, also where batches cut a word's rows."""
+    import pyarrow as pa
+    from groundlake.llm import brown_lm as B
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "a", f"w{rng.randrange(900)}{'x' * rng.randrange(14)}{rng.choice(['', '.', 'é', '!'])}"]) for _ in range(40)) for _ in range(200)]
+    held = {}
+
+    class Table:
+        """Stands for the frame: the steps run here, over batches of some rows."""
+
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: type("V", (), {"value": x})())})()})()
+
+        def __init__(self, batches):
+            self.batches = batches
+
+        def select(self, *_):
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, c):
+            whole = pa.Table.from_batches(self.batches).sort_by(c)
+            return Table(whole.to_batches(max_chunksize=7))
+
+        def mapInArrow(self, f, schema):
+            return Table([x for x in f(iter(self.batches))])
+
+    def emit(df, make, schema, *, rows=512):
+        out = []
+        f, end = make()
+        for b in df.batches:
+            out += [pa.RecordBatch.from_arrays(x, names=[c.name for c in schema]) for x in f(b)]
+        return Table(out + [pa.RecordBatch.from_arrays(x, names=[c.name for c in schema]) for x in end()])
+
+    monkeypatch.setattr(B, "emit_rows", emit)
+    train = Table([pa.RecordBatch.from_arrays([pa.array(texts[at : at + 50])], names=["text"]) for at in range(0, 200, 50)])
+    of = {b"the": 0, b"a": 1}
+    table = np.ones((13, 13)) * 5
+
+    def run():
+        held["got"] = B.class_words(train, of, table, 2).batches
+
+    calls = python_calls(run)
+    want = Counter(w for t in texts for w in tokens(t) if w not in of)
+    got = [(w, n) for b in held["got"] for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(got) == len(want) and dict(got) == want
+    assert calls["shape"] == 0 and calls["__missing__"] == 0
+    words = pa.array([w for w in want], pa.binary())
+    assert B.shapes(words).tolist() == [shape(w) for w in want] and B.shapes(words.slice(5, 9)).tolist() == [shape(w) for w in list(want)[5:14]]
+    assert B.shapes(pa.array([], pa.binary())).tolist() == []
