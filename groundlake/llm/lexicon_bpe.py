@@ -16,6 +16,8 @@ import struct
 import tempfile
 import unicodedata
 from collections import Counter
+from itertools import pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from .common import column, emit_rows, frequent, map_columns, without, written
 #: Fixed values of the tokenizer's file: how it cuts a normalised text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\p{White_Space}{L}{N}]+"
 END = "</w>"
+NONE = 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -78,6 +81,10 @@ class Vocabulary:
         letters = byte_letters()
         self._first = [self.ids[c] for c in letters]
         self._last = [self.ids[c + END] for c in letters]
+        #: what a byte's letter and the next byte's merge to, neither of them a piece's last
+        self._near = [[self.pairs.get(a << 20 | b, NONE) for b in self._first] for a in self._first]
+        #: each id's decimal
+        self.decimals = {i: str(i) for i in self.tokens}
         self._odd, self._space = regex.compile("[\x1c-\x1f]"), regex.compile(r"\p{White_Space}+")
         self._cut = regex.compile(piece_pattern(), regex.V1)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -109,13 +116,15 @@ class Vocabulary:
         """Exact ids of one piece: always the lowest-ranked pair, the leftmost of equals."""
         if piece in self.special:
             return [self.special[piece]]
-        raw, first = piece.encode(), self._first
+        raw, first, near = piece.encode(), self._first, self._near
         ids = [first[b] for b in raw]
         ids[-1] = self._last[raw[-1]]
         if len(ids) > 60:
             return self._long(ids)
-        pairs, none = self.pairs.get, 1 << 62
-        found = [pairs(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        pairs, none = self.pairs.get, NONE
+        found = [near[a][b] for a, b in pairwise(raw)]
+        if found:
+            found[-1] = pairs(ids[-2] << 20 | ids[-1], none)
         while found and (best := min(found)) < none:
             i = found.index(best)
             ids[i] = best & 0xFFFFF
@@ -278,7 +287,8 @@ class Shown:
         self.pieces: dict[str, tuple] = {}
 
     def ids(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.v.decode(ids)
+        decimals, tokens = self.v.decimals, self.v.tokens
+        return len(ids), " ".join([decimals[i] for i in ids]), " ".join([tokens[i] for i in ids])
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         got = self.pieces.get(piece)
@@ -295,6 +305,11 @@ class Shown:
         return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
 
+def most(counts: Counter, size: int) -> list[tuple[str, int]]:
+    """``counts.most_common(size)`` by a sort, as a heap of so many is slower."""
+    return sorted(counts.items(), key=itemgetter(1), reverse=True)[:size]
+
+
 def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text") -> list[str]:
     """The words seen most in all texts, at most ``size``, counted by summaries of bounded size.
 
@@ -311,13 +326,13 @@ def frequent_words(docs: DataFrame, vocabulary, size: int, text_col: str = "text
                 if text:
                     seen.update(v.words(text))
             if len(seen) > 8 * size:
-                kept = seen.most_common(4 * size)
+                kept = most(seen, 4 * size)
                 seen.clear()
                 seen.update(dict(kept))
             return ()
 
         def end():
-            top = seen.most_common(size)
+            top = most(seen, size)
             if top:
                 yield [pa.array([w for w, _ in top]), pa.array([n for _, n in top], pa.int64())]
 

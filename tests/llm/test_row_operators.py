@@ -605,3 +605,26 @@ def test_brown_lm_calls_nothing_per_word(monkeypatch):
     words = pa.array([w for w in want], pa.binary())
     assert B.shapes(words).tolist() == [shape(w) for w in want] and B.shapes(words.slice(5, 9)).tolist() == [shape(w) for w in list(want)[5:14]]
     assert B.shapes(pa.array([], pa.binary())).tolist() == []
+
+
+def test_bpe_looks_first_pairs_up_by_byte():
+    """A piece's first pairs come from a table by bytes; of the merges' dictionary only pairs with a merged or last part are asked."""
+    from groundlake.llm.lexicon_bpe import Shown, most
+
+    v = Vocabulary(open(PATH, encoding="utf-8").read())
+    asked, rng = [], random.Random(2)
+
+    class Asked(dict):
+        def get(self, *a):
+            asked.append(a[0])
+            return super().get(*a)
+
+    pieces = ["".join(rng.choice("abcdeioustrné") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    whole = [v._long([v._first[b] for b in p.encode()[:-1]] + [v._last[p.encode()[-1]]]) for p in pieces]
+    v.pairs = Asked(v.pairs)
+    assert [v.merge(p) for p in pieces] == whole
+    merges = sum(len(p.encode()) - len(ids) for p, ids in zip(pieces, whole))
+    assert len(asked) <= 2 * merges + len(pieces)
+    assert [Shown(v, 9).ids(x) for x in whole] == [(len(x), " ".join(map(str, x)), v.decode(x)) for x in whole]
+    seen = Counter(rng.choice(pieces) for _ in range(900))
+    assert all(most(seen, k) == seen.most_common(k) for k in (1, 20, 1000))
