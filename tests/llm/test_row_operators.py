@@ -552,7 +552,7 @@ def python_calls(run):
     return seen
 
 
-def test_brown_lm_calls_nothing_per_word(monkeypatch):
+def test_brown_lm_calls_nothing_per_word(spark, monkeypatch):
     """Shapes of words and the rows of equal words are found by arrays, also where batches cut a word's rows."""
     import pyarrow as pa
     from groundlake.llm import brown_lm as B
