@@ -1,10 +1,11 @@
 """Titles to paper ids by similarity, year-aware (JN-5, SRT-2, TXT-13 to TXT-15, AGG-7, OPS-6).
 
-Exact best matches without comparing a title to all papers: papers that share a title's
-rarest grams give it a third-best score to beat; the papers lie in blocks of about equal
-length, of which only those meet the title whose lengths can beat that score; in a block
-counts of letters, then a longest common subsequence, bound the similarity from above, and
-only pairs whose bound passes are matched.
+Exact best matches without matching a title with all papers: equal titles, then the best of
+a small sample of the papers, then of a larger one, give it a third-best score to beat; the
+papers lie in blocks of about equal length, of which only those meet the title whose lengths
+can beat that score; in a block counts of letters, then a longest common subsequence, bound
+the similarity from above, and only pairs whose bound passes are matched. Equal titles are
+bounded and matched once, whatever their years.
 """
 
 from __future__ import annotations
@@ -21,27 +22,30 @@ from ..functions.ids import is_paper_id
 from ..functions.titles import HIGH, adjusted, band, normalize_title, split_year
 from ..storage import written
 
-#: Titles resolved in one pass; more are resolved block by block. A task holds them all at most.
-MAX_TITLES = 20_000
+#: Each round meets so many times the titles of those before it; the first has that many at least.
+#: Neither changes a result: a round only gives the next one scores to beat.
+ROUND, FEWEST = 16, 1000
 
-#: Rare grams of a title, how frequent one may be, and papers tried, in the search for a score to beat.
-#: None changes a result: what this search misses, the blocks find.
-SEED_GRAMS, SEED_DF, SEED_TRIES = 16, 500, 30
+#: Titles and letters of a block at most, about; titles asked for that meet it at once, about, in so many shares at least.
+BLOCK_ROWS, BLOCK_LETTERS, SHARE_ROWS, SHARES = 16_384, 1_000_000, 2048, 8
 
-#: Titles and letters of a block at most, about, and shares of the titles asked for that meet it apart.
-BLOCK_ROWS, BLOCK_LETTERS, SHARES = 4096, 1_000_000, 8
+#: Partitions of a round at most; each then holds several blocks, one after the other.
+MOST_TASKS = 4096
 
 #: Length classes an octave, and what agreement of years may add.
 CLASSES, NUDGE = 2, 0.05
 
-#: Letters beyond which a common subsequence costs more than it saves.
-LONGEST = 640
+#: Letters beyond which a common subsequence costs more than it saves, titles advanced at once, and letters in a word of theirs.
+LONGEST, ABREAST, WORD = 640, 4096, 63
 
-#: Letters from which on the matcher leaves out frequent ones, and pairs matched in one go.
-JUNK, PAIRS = 200, 1024
+#: Letters from which on the matcher leaves out frequent ones, pairs matched in one go, and pairs kept until many titles' best are matched together.
+JUNK, PAIRS, WAITING = 200, 1024, 2_000_000
 
 _SYMBOLS = np.full(256, 37, dtype=np.uint8)
 _SYMBOLS[np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = np.arange(37)
+#: The same, but for what fills the second of two texts.
+_MARKED = _SYMBOLS.copy()
+_MARKED[1] = 38
 
 
 def papers_of(index: DataFrame) -> DataFrame:
@@ -55,27 +59,24 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def letters(norms: list[str]) -> np.ndarray:
-    """How often each of the 37 symbols of normal titles occurs in each."""
-    return np.array([np.bincount(_SYMBOLS[np.frombuffer(x.encode(), dtype=np.uint8)], minlength=38)[:37] for x in norms], dtype=np.int32).reshape(len(norms), 37)
-
-
 def padded(texts: list[str], fill: int) -> np.ndarray:
     """The bytes of ASCII texts, a text a row."""
-    out = np.full((len(texts), max(map(len, texts), default=0)), fill, dtype=np.uint8)
-    for row, x in zip(out, texts):
-        row[: len(x)] = np.frombuffer(x.encode(), dtype=np.uint8)
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    out = np.full((len(texts), size.max(initial=0)), fill, dtype=np.uint8)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
     return out
 
 
 def longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size of the longest common block of each pair (a column of either) and its starts: the first in ``a``, then in ``b``."""
     held, new = np.zeros((2, len(b) + 1, b.shape[1]), dtype=np.uint8)
+    same = np.empty(b.shape, dtype=bool)
     best = np.zeros(b.shape[1], dtype=np.uint8)
     at_a, at_b = np.zeros((2, b.shape[1]), dtype=np.int64)
     for i in range(len(a)):
+        np.equal(b, a[i], out=same)
         np.add(held[:-1], 1, out=new[1:])
-        np.multiply(new[1:], b == a[i], out=new[1:])
+        np.multiply(new[1:], same.view(np.uint8), out=new[1:])
         most = new.max(axis=0)
         up = np.flatnonzero(most > best)
         if len(up):
@@ -86,8 +87,41 @@ def longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best.astype(np.int64), at_a, at_b
 
 
-def matched(a: list[str], b: list[str]) -> np.ndarray:
-    """Letters in the matching blocks of each pair of ASCII texts, the second under ``JUNK`` letters: those of the matcher."""
+def stretches(text: np.ndarray, pair: np.ndarray, start: np.ndarray, end: np.ndarray, fill: int) -> np.ndarray:
+    """The letters of a part of each text, a part a column, ``fill`` beyond its end."""
+    i = np.arange((end - start).max(initial=0))[:, None] + start
+    return np.where(i < end, text[pair, np.minimum(i, text.shape[1] - 1)], np.uint8(fill))
+
+
+def most_common(left: np.ndarray, right: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """What stretches of normal texts can share at most: their longest common subsequence, if one side has 64 letters or less."""
+    pair, a0, a1, b0, b1 = parts
+    found = np.minimum(a1 - a0, b1 - b0)
+    first, second = (left, a0, a1, 0), (right, b0, b1, 1)
+    for own, (x, x0, x1, x_fill), (y, y0, y1, y_fill) in ((a1 - a0 <= b1 - b0, first, second), (a1 - a0 > b1 - b0, second, first)):
+        own = np.flatnonzero(own & (found <= 64))
+        own = own[np.argsort((y1 - y0)[own], kind="stable")]
+        for at in (own[n : n + PAIRS] for n in range(0, len(own), PAIRS)):
+            short, long = stretches(x, pair[at], x0[at], x1[at], x_fill), stretches(y, pair[at], y0[at], y1[at], y_fill)
+            column = np.arange(len(at))
+            # fills differ and meet nothing
+            marks = np.zeros((39, len(at)), dtype=np.uint64)
+            for i, row in enumerate(_MARKED[short]):
+                marks[row, column] |= np.uint64(1 << i)
+            marks[37:] = 0
+            v = np.full(len(at), np.uint64(2**64 - 1))
+            for place in _MARKED[long].astype(np.intp) * len(at) + column:
+                u = v & marks.ravel()[place]
+                v = (v + u) | (v - u)
+            found[at] = 64 - np.bitwise_count(v)
+    return found
+
+
+def matched(a: list[str], b: list[str], need: np.ndarray | None = None) -> np.ndarray:
+    """Letters in the matching blocks of each pair of ASCII texts, the second under ``JUNK`` letters: those of the matcher.
+
+    A pair of normal texts that cannot have ``need`` of them is left when that is clear, with those found.
+    """
     left, right = padded(a, 0), padded(b, 1)
     total = np.zeros(len(a), dtype=np.int64)
     # stretches still to match: pair, from and to in either text
@@ -97,22 +131,27 @@ def matched(a: list[str], b: list[str]) -> np.ndarray:
         todo = todo[:, np.lexsort((todo[4] - todo[3], (todo[2] - todo[1]) // 8))]
         later = []
         for start in range(0, todo.shape[1], PAIRS):
-            pair, a0, a1, b0, b1 = part = todo[:, start : start + PAIRS]
-            i, j = np.arange((a1 - a0).max())[:, None] + a0, np.arange((b1 - b0).max())[:, None] + b0
-            of_a = np.where(i < a1, left[pair, np.minimum(i, left.shape[1] - 1)], 0)
-            of_b = np.where(j < b1, right[pair, np.minimum(j, right.shape[1] - 1)], 1)
-            size, at_a, at_b = longest_blocks(of_a.astype(np.uint8), of_b.astype(np.uint8))
+            pair, a0, a1, b0, b1 = todo[:, start : start + PAIRS]
+            size, at_a, at_b = longest_blocks(stretches(left, pair, a0, a1, 0), stretches(right, pair, b0, b1, 1))
             np.add.at(total, pair, size)
             at_a, at_b = at_a + a0, at_b + b0
             for sides in ((pair, a0, at_a, b0, at_b), (pair, at_a + size, a1, at_b + size, b1)):
                 more = (size > 0) & (sides[1] < sides[2]) & (sides[3] < sides[4])
                 later.append(np.array(sides)[:, more])
         todo = np.concatenate(later, axis=1)
+        if need is not None and todo.shape[1]:
+            for bound in (lambda x: np.minimum(x[2] - x[1], x[4] - x[3]), lambda x: most_common(left, right, x)):
+                rest = bound(todo)
+                open_ = total + np.bincount(todo[0], weights=rest, minlength=len(total)) >= need
+                todo = todo[:, open_[todo[0]] & (rest > 0)]
     return total
 
 
-def similarities(a: list[str], b: list[str]) -> np.ndarray:
-    """``similarity`` of each pair; short ASCII texts are matched many at a time."""
+def similarities(a: list[str], b: list[str], least: np.ndarray | None = None) -> np.ndarray:
+    """``similarity`` of each pair; short ASCII texts are matched many at a time.
+
+    A pair of normal texts under its ``least`` may have any value under that.
+    """
     out = np.ones(len(a))
     short = np.array([len(y) < JUNK and len(x) <= LONGEST and x.isascii() and y.isascii() for x, y in zip(a, b)], dtype=bool)
     at = np.flatnonzero(short)
@@ -120,7 +159,8 @@ def similarities(a: list[str], b: list[str]) -> np.ndarray:
         few = at[start : start + 16 * PAIRS]
         left, right = [a[i] for i in few], [b[i] for i in few]
         size = np.array([len(x) + len(y) for x, y in zip(left, right)])
-        out[few] = np.where(size > 0, 2.0 * matched(left, right) / np.maximum(size, 1), 1.0)
+        need = None if least is None else (least[few] - 1e-9) * size / 2
+        out[few] = np.where(size > 0, 2.0 * matched(left, right, need) / np.maximum(size, 1), 1.0)
     m = SequenceMatcher(None)
     # what a matcher knows of its second text serves all titles asked for
     for i in sorted(np.flatnonzero(~short).tolist(), key=lambda i: b[i]):
@@ -133,7 +173,12 @@ def similarities(a: list[str], b: list[str]) -> np.ndarray:
 
 def common_subsequences(asked: str, norms: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of a normal title with each of many."""
-    return subsequences(asked, symbols(norms))
+    return subsequences(numbers(asked), places(symbols(norms)))
+
+
+def numbers(norm: str) -> list[int]:
+    """Symbol numbers of a normal title."""
+    return _SYMBOLS[np.frombuffer(norm.encode(), dtype=np.uint8)].tolist()
 
 
 def symbols(norms: list[str]) -> np.ndarray:
@@ -141,38 +186,46 @@ def symbols(norms: list[str]) -> np.ndarray:
     return np.ascontiguousarray(_SYMBOLS[padded(norms, 0)].T)
 
 
-def subsequences(asked: str, text: np.ndarray) -> np.ndarray:
-    """``common_subsequences`` over symbol numbers.
+def letters(text: np.ndarray) -> np.ndarray:
+    """How often each of the 37 symbols occurs in each column of symbol numbers, a symbol a row."""
+    n = text.shape[1]
+    return np.bincount((text * np.int64(n) + np.arange(n)).ravel(), minlength=38 * n).reshape(38, n)[:37]
+
+
+def places(text: np.ndarray) -> np.ndarray:
+    """Where each symbol stands in each column of symbol numbers, a bit a letter: by symbol, word, column."""
+    out = np.zeros((38, max(1, -(-len(text) // WORD)), text.shape[1]), dtype=np.uint64)
+    column = np.arange(text.shape[1])
+    for i, row in enumerate(text):
+        out[row, i // WORD, column] |= np.uint64(1 << i % WORD)
+    out[37] = 0
+    return out
+
 
-    One bit per letter of ``asked``; all titles advance by one letter at a time.
+def subsequences(asked: list[int], marks: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """``common_subsequences`` of symbol numbers with titles in ``places``, all or those ``at``.
+
+    One bit per letter of a title; all titles advance by one letter of ``asked`` at a time.
     """
-    size = len(asked)
-    if not size or not text.size:
-        return np.zeros(text.shape[1], dtype=np.int64)
-    wide = -(-size // 64)
-    own = _SYMBOLS[np.frombuffer(asked.encode(), dtype=np.uint8)]
-    mask = np.zeros((wide, 38), dtype=np.uint64)
-    for i, c in enumerate(own.tolist()):
-        mask[i // 64, c] |= np.uint64(1 << (i % 64))
-    mask[:, 37] = 0
-    v = np.full((wide, text.shape[1]), np.uint64(2**64 - 1))
-    u, total, met = np.empty((3, text.shape[1]), dtype=np.uint64)
-    tables, states = list(mask), list(v)
-    for at in text.astype(np.intp):
-        carry = None
-        for w, (table, state) in enumerate(zip(tables, states)):
-            np.take(table, at, out=met, mode="clip")
-            np.bitwise_and(state, met, out=u)
-            np.add(state, u, out=total)
-            over = total < u if w + 1 < wide else None
-            if carry is not None:
-                np.add(total, carry, out=total)
-                over = over | (total < carry) if w + 1 < wide else None
-            np.subtract(state, u, out=state)
-            np.bitwise_or(total, state, out=state)
-            carry = over.astype(np.uint64) if w + 1 < wide else None
-    # bits beyond the title never meet a letter and stay set
-    return 64 * wide - np.bitwise_count(v).astype(np.int64).sum(axis=0)
+    tables = {c: marks[c] if at is None else marks[c].take(at, axis=1) for c in set(asked)}
+    wide, size = marks.shape[1], marks.shape[2] if at is None else len(at)
+    full, top = np.uint64(2**WORD - 1), np.uint64(WORD)
+    v = np.full((wide, size), full)
+    u, total = np.empty((2, wide, size), dtype=np.uint64)
+    carry = np.empty(size, dtype=np.uint64)
+    for c in asked:
+        np.bitwise_and(v, tables[c], out=u)
+        np.add(v, u, out=total)
+        # a word has a bit to spare, for what goes over to the next one
+        for w in range(1, wide):
+            np.right_shift(total[w - 1], top, out=carry)
+            np.add(total[w], carry, out=total[w])
+        np.bitwise_xor(v, u, out=v)
+        np.bitwise_or(v, total, out=v)
+        if wide > 1:
+            np.bitwise_and(v, full, out=v)
+    # bits beyond a title never meet a letter and stay set
+    return WORD * wide - np.bitwise_count(v & full).sum(axis=0, dtype=np.int64)
 
 
 def size_class(size: Column) -> Column:
@@ -180,12 +233,6 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log2(size + 1) * CLASSES).cast("int")
 
 
-def grams(norm: Column) -> Column:
-    """Distinct runs of three symbols; a shorter title is one gram."""
-    n = F.length(norm)
-    return F.array_distinct(F.when(n < 4, F.array(norm)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(norm, i, 3))))
-
-
 def entries_of(papers: DataFrame, top: int) -> DataFrame:
     """One row per distinct ``norm, year`` with its ``top`` smallest papers: equal titles score alike.
 
@@ -197,92 +244,154 @@ def entries_of(papers: DataFrame, top: int) -> DataFrame:
     return few.groupBy("norm", "year").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title"))).alias("papers"))
 
 
-def blocks_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries with ``class`` and ``part``, and how many parts each class of lengths has."""
-    marked = entries.withColumn("class", size_class(F.length("norm")))
+def blocks_of(entries: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
+    """Entries with ``class`` and ``part``, and how many parts each class of lengths has in each round; by length from round ``apart`` on. Equal titles lie together."""
+    # the first of several rounds has few titles and hardly a score to beat: they lie together
+    marked = entries.withColumn("class", F.when(F.col("round") >= apart, size_class(F.length("norm"))).otherwise(0))
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("norm")) / BLOCK_LETTERS, F.lit(1.0))).cast("int")
-    classes = marked.groupBy("class").agg(parts.alias("parts"))
-    # some dozens of rows, a few an octave of lengths
-    return marked.join(F.broadcast(classes), "class").withColumn("part", F.pmod(F.xxhash64("norm", "year"), F.col("parts")).cast("int")).drop("parts"), classes
-
-
-def first_scores(asked: DataFrame, entries: DataFrame, top: int) -> DataFrame:
-    """``qid, least``: the score of a title's ``top``-th best paper among those sharing rare grams, where there are so many.
-
-    ``asked`` has ``qid, q_norm, q_year`` and is small (counted by the caller).
-    """
-    wanted = asked.select("qid", F.explode(grams(F.col("q_norm"))).alias("gram"))
-    every = entries.select("norm", "year", F.size("papers").alias("n"), F.explode(grams(F.col("norm"))).alias("gram"))
-    known = every.join(F.broadcast(wanted.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") <= SEED_DF)
-    rare = F.row_number().over(Window.partitionBy("qid").orderBy("df", "gram"))
-    seeds = wanted.join(F.broadcast(known), "gram").withColumn("_r", rare).filter(F.col("_r") <= SEED_GRAMS).select("qid", "gram")
-    shared = every.join(F.broadcast(seeds), "gram").groupBy("qid", "norm", "year", "n").agg(F.count("*").alias("shared"))
-    near = F.col("shared") / (F.length("q_norm") + F.length("norm") + 1)
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(near), "norm", "year"))
-    tried = shared.join(F.broadcast(asked), "qid").withColumn("_b", best).filter(F.col("_b") <= max(SEED_TRIES, top))
-    tried = tried.withColumn("nudge", adjusted(F.lit(0.0), F.col("q_year"), F.col("year")))
-
-    def score(frames):
-        for f in frames:
-            yield pd.DataFrame({"qid": f["qid"].astype(object), "n": f["n"], "s": np.minimum(similarities(f["q_norm"].tolist(), f["norm"].tolist()) + f["nudge"].to_numpy(), 1.0)})
-
-    scored = tried.select("qid", "q_norm", "norm", "nudge", "n").mapInPandas(score, "qid string, n int, s double")
-    upto = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return scored.withColumn("upto", upto).filter(F.col("upto") >= top).groupBy("qid").agg(F.max("s").alias("least"))
+    # some dozens of rows a round, a few an octave of lengths
+    classes = written(marked.groupBy("round", "class").agg(parts.alias("parts")), "titles-classes")
+    return marked.join(F.broadcast(classes), ["round", "class"]).withColumn("part", F.pmod(F.xxhash64("norm", F.lit("part")), F.col("parts")).cast("int")).drop("parts"), classes
+
+
+def scores_to_beat(found: DataFrame, top: int) -> DataFrame:
+    """``key, least``: the score of each title's ``top``-th best paper among those found, where there are so many."""
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return found.withColumn("upto", upto).filter(F.col("upto") >= top).groupBy("key").agg(F.max("s").alias("least"))
+
+
+class Block:
+    """Entries of one block by their titles, shorter ones first: lengths, letters, their places, and years."""
+
+    def __init__(self, titles: pd.DataFrame) -> None:
+        of, norms = pd.factorize(titles["norm"])
+        norms = norms.tolist()
+        sizes = np.fromiter(map(len, norms), dtype=np.int64, count=len(norms))
+        longer = np.argsort(sizes, kind="stable")
+        self.norms, self.sizes = [norms[i] for i in longer], sizes[longer]
+        place = np.empty(len(norms), dtype=np.int64)
+        place[longer] = np.arange(len(norms))
+        self.of, self.copies = place[of], titles["n"].to_numpy()
+        # entries of each title
+        self.order, self.count = np.argsort(self.of, kind="stable"), np.bincount(self.of, minlength=len(norms))
+        self.first = np.cumsum(self.count) - self.count
+        self.years = np.array([y if isinstance(y, str) and y else "" for y in titles["year"]], dtype=object)
+        self.letters, self.longest = np.zeros((37, len(norms)), dtype=np.int64), int(self.sizes.max(initial=0))
+        #: from, to and places of the letters of titles of about one length
+        self.runs: list[tuple[int, int, np.ndarray | None]] = []
+        start = 0
+        while start < len(norms):
+            most = max(2 * int(self.sizes[start]), WORD)
+            most = min(most, LONGEST) if self.sizes[start] <= LONGEST else most
+            end = min(start + ABREAST, int(np.searchsorted(self.sizes, most, side="right")))
+            text = symbols(self.norms[start:end])
+            self.letters[:, start:end] = letters(text)
+            self.runs.append((start, end, places(text) if len(text) <= LONGEST else None))
+            start = end
+        # the best that agreement of years may add to any entry of a title
+        self.other = np.where(np.bincount(self.of, weights=self.years == "", minlength=len(norms)) > 0, 0.0, -NUDGE)
+        self.by_year: dict[str, np.ndarray] = {}
+        self.least: dict[tuple[int, int, type], np.ndarray] = {}
+
+    def nudge(self, year: str | None) -> np.ndarray:
+        """What agreement with ``year`` adds to each title's score at most."""
+        key = year if isinstance(year, str) else ""
+        if key not in self.by_year:
+            self.by_year[key] = most = self.other.copy() if key else np.zeros(len(self.norms))
+            most[self.of[self.years == key]] = NUDGE if key else 0.0
+        return self.by_year[key]
+
+    def common(self, asked: list[int]) -> np.ndarray:
+        """Letters that each title has in common with ``asked`` in any order."""
+        kind = np.uint8 if min(len(asked), self.longest) < 256 else np.int32
+        total = np.zeros(len(self.norms), dtype=kind)
+        for key in ((c, n, kind) for c, n in enumerate(np.bincount(asked, minlength=38)[:37].tolist()) if n):
+            if key not in self.least:
+                self.least[key] = np.minimum(self.letters[key[0]], key[1]).astype(kind)
+            total += self.least[key]
+        return total
+
+    def in_order(self, asked: list[int], at: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Letters that the titles ``at``, a rising list, have in common with ``asked`` in their order, or ``common`` where that is dear."""
+        common = common[at].astype(np.int64)
+        ends = np.searchsorted(at, [end for _, end, _ in self.runs]).tolist()
+        for (start, end, marks), first, last in zip(self.runs, [0, *ends], ends):
+            if marks is not None and last - first > 8 and len(asked) <= LONGEST:
+                few = at[first:last] - start
+                some = 3 * len(few) < end - start
+                found = subsequences(asked, marks, few if some else None)
+                common[first:last] = found if some else found[few]
+        return common
 
 
 def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
     """The entries of one block that may be among the ``top`` best of each title: ``qid, at, s``."""
-    norms, years = titles["norm"].tolist(), titles["year"].to_numpy(dtype=object)
-    sizes, held, text = np.array([len(x) for x in norms]), np.ascontiguousarray(letters(norms).T), symbols(norms)
-    copies = titles["n"].to_numpy()
-    dated = np.array([y is not None and y != "" for y in years])
-    of_year = {y: years == y for y in set(asked["q_year"]) if isinstance(y, str)}
-    qids, questions, wanted, floors = asked["qid"].tolist(), asked["q_norm"].tolist(), asked["q_year"].tolist(), asked["least"].to_numpy(dtype=float).copy()
-    own = letters(questions)
+    block = Block(titles)
+    of, questions = pd.factorize(asked["q_norm"])
+    questions, qids, wanted = questions.tolist(), asked["qid"].tolist(), [y if isinstance(y, str) else None for y in asked["q_year"]]
+    floors = asked["least"].to_numpy(dtype=float).copy()
+    # rows that ask for each title, by their years
+    order, count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(questions))
+    first = np.cumsum(count) - count
+    years = np.array([y or "" for y in wanted], dtype=object)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def nudged(n: int) -> np.ndarray:
-        return np.where(dated, np.where(of_year[wanted[n]], NUDGE, -NUDGE), 0.0) if isinstance(wanted[n], str) else np.zeros(len(norms))
+    def reach(n: int, share: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """By how much titles that share so many letters of both may pass the floor of any row that asks; under 0 none."""
+        best = None
+        for row in order[first[n] : first[n] + count[n]].tolist():
+            over = share + (block.nudge(wanted[row])[at] - (floors[row] - 1e-9))
+            best = over if best is None else np.maximum(best, over)
+        return best
+
+    def shared(n: int, common: np.ndarray, at: np.ndarray) -> np.ndarray:
+        total = block.sizes[at] + len(questions[n])
+        return np.where(total > 0, 2 * common.astype(float) / np.maximum(total, 1), 1.0)
 
     def candidates(n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries whose bound reaches the floor, best bound first."""
-        q, nudge = questions[n], nudged(n)
-        total = sizes + len(q)
-        upper = lambda common, at: np.minimum(np.where(total[at] > 0, 2 * common / np.maximum(total[at], 1), 1.0) + nudge[at], 1.0) + 1e-9
-        at = np.arange(len(norms))
-        bound = upper(np.minimum(held, own[n][:, None]).sum(axis=0), at)
-        at = np.flatnonzero(bound >= floors[n])
-        bound = bound[at]
-        if len(at) > 8 and max(len(q), sizes[at].max()) <= LONGEST:
-            bound = np.minimum(bound, upper(subsequences(q, text[: sizes[at].max(), at]), at))
-            at, bound = at[bound >= floors[n]], bound[bound >= floors[n]]
-        order = np.argsort(-bound, kind="stable")
-        return at[order], bound[order]
-
-    def match(pairs: list[tuple[int, np.ndarray]]) -> None:
-        """Scores of entries with titles; raises the titles' floors."""
-        n = np.repeat([x for x, _ in pairs], [len(at) for _, at in pairs])
-        at = np.concatenate([at for _, at in pairs])
-        ratio = similarities([questions[i] for i in n], [norms[i] for i in at])
-        begin = 0
-        for x, of in pairs:
-            s = np.minimum(ratio[begin : begin + len(of)] + nudged(x)[of], 1.0)
-            begin += len(of)
-            order = np.argsort(-s, kind="stable")
-            enough = np.flatnonzero(np.cumsum(copies[of[order]]) >= top)
-            if len(enough):
-                floors[x] = max(floors[x], s[order[enough[0]]])
-            keep = s >= floors[x]
-            out.append((np.full(keep.sum(), x), of[keep], s[keep]))
+        """Titles whose bound reaches a floor, best bound first, and the bounds without years."""
+        asked = numbers(questions[n])
+        common = block.common(asked)
+        at = np.flatnonzero(reach(n, shared(n, common, slice(None)), slice(None)) >= 0)
+        bound = shared(n, block.in_order(asked, at, common), at)
+        over = reach(n, bound, at)
+        best = np.flatnonzero(over >= 0)
+        best = best[np.argsort(-over[best], kind="stable")]
+        return at[best], bound[best]
+
+    def match(n: np.ndarray, at: np.ndarray, share: np.ndarray) -> None:
+        """Scores of entries with titles asked for; raises the floors."""
+        ratio = similarities([questions[i] for i in n.tolist()], [block.norms[i] for i in at.tolist()], share)
+        # each row that asks with each entry of the title
+        times = count[n] * block.count[at]
+        pair = np.repeat(np.arange(len(n)), times)
+        within = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+        row = order[first[n[pair]] + within // block.count[at[pair]]]
+        entry = block.order[block.first[at[pair]] + within % block.count[at[pair]]]
+        a, b = years[row], block.years[entry]
+        s = np.minimum(ratio[pair] + np.where((a == "") | (b == ""), 0.0, np.where(a == b, NUDGE, -NUDGE)), 1.0)
+        some = np.flatnonzero(s >= floors[row])
+        some = some[np.lexsort((-s[some], row[some]))]
+        row, entry, s = row[some], entry[some], s[some]
+        held = np.cumsum(block.copies[entry])
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        before = np.concatenate([[0], held])[begin]
+        enough = held - np.repeat(before, np.diff(begin, append=len(row))) >= top
+        np.maximum.at(floors, row[enough], s[enough])
+        keep = s >= floors[row]
+        out.append((row[keep], entry[keep], s[keep]))
 
     def settle(found: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        """The best bounds first, then what still reaches the floor."""
-        first = top + 5
-        match([(n, at[:first]) for n, at, _ in found])
-        rest = [(n, at[first:][bound[first:] >= floors[n]]) for n, at, bound in found]
-        if any(len(at) for _, at in rest):
-            match([(n, at) for n, at in rest if len(at)])
+        """The best bounds first, then by and by what still reaches a floor."""
+        some = top + 5
+        while found:
+            n = np.repeat([n for n, _, _ in found], [len(at[:some]) for _, at, _ in found])
+            at, bound = (np.concatenate([x[i][:some] for x in found]) for i in (1, 2))
+            # the least share that reaches the floor of a row
+            match(n, at, np.concatenate([b[:some] - reach(n, b[:some], at[:some]) for n, at, b in found]))
+            left = [(n, at[some:], bound[some:], reach(n, bound[some:], at[some:]) >= 0) for n, at, bound in found if len(at) > some]
+            found = [(n, at[ok], bound[ok]) for n, at, bound, ok in left if ok.any()]
+            some *= 4
 
     waiting, pairs = [], 0
     for n in range(len(questions)):
@@ -290,14 +399,15 @@ def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
         if len(at):
             waiting.append((n, at, bound))
             pairs += len(at)
-        if pairs >= 8 * PAIRS:
+        if pairs >= WAITING:
             settle(waiting)
             waiting, pairs = [], 0
     if waiting:
         settle(waiting)
-    n, at, s = (np.concatenate([x[c] for x in out] or [np.zeros(0, dtype=int)]) for c in range(3))
-    keep = s >= floors[n.astype(int)]
-    return pd.DataFrame({"qid": [qids[i] for i in n[keep].astype(int)], "at": at[keep].astype(int), "s": s[keep].astype(float)})
+    row, at, s = (np.concatenate([x[c] for x in out] or [np.zeros(0)]) for c in range(3))
+    row, at = row.astype(int), at.astype(int)
+    keep = s >= floors[row]
+    return pd.DataFrame({"qid": [qids[i] for i in row[keep].tolist()], "at": at[keep], "s": s[keep].astype(float)})
 
 
 def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float | None = None) -> DataFrame:
@@ -307,46 +417,66 @@ def resolve(queries: DataFrame, papers: DataFrame, top: int = 3, *, least: float
     empty. With ``least``, papers under that score are not looked for. The result is that of
     matching all pairs.
     """
-    number = queries.count()
-    passes = max(1, -(-number // MAX_TITLES))
+    q = queries.select("qid", split_year(F.coalesce("query", F.lit(""))).alias("s")).select("qid", normalize_title(F.coalesce("s.title", F.lit(""))).alias("q_norm"), F.col("s.year").alias("q_year"))
+    # titles asked for that are equal, with their years, are one; the tables are read once
+    every = written(q.withColumn("key", F.concat_ws(":", F.coalesce("q_year", F.lit("-")), "q_norm")), "titles-asked")
+    asked = written(every.groupBy("key").agg(F.first("q_norm").alias("q_norm"), F.first("q_year").alias("q_year")), "titles-keys")
     entries = written(entries_of(papers, top), "titles")
-    blocked, classes = blocks_of(entries)
-    classes = written(classes, "titles-classes")
-    # so many tasks whatever their bytes: a block is small and its matching long, and small partitions would be made one
-    tasks = 2 * SHARES * max(1, classes.agg(F.sum("parts")).first()[0] or 0)
-    found = None
-    for p in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
-        q = part.select("qid", split_year(F.coalesce("query", F.lit(""))).alias("s")).select("qid", normalize_title(F.coalesce("s.title", F.lit(""))).alias("q_norm"), F.col("s.year").alias("q_year"))
-        q = q.join(F.broadcast(first_scores(q, entries, top)), "qid", "left")
+    number, rounds = entries.count(), 0
+    while number // ROUND ** (rounds + 1) >= FEWEST:
+        rounds += 1
+    shares = max(SHARES, -(-asked.count() // SHARE_ROWS))
+    chance, turn = F.pmod(F.xxhash64("norm", F.lit("round")), F.lit(ROUND**rounds)), F.lit(rounds)
+    for r in reversed(range(rounds)):
+        turn = F.when(chance % ROUND ** (rounds - r) == 0, r).otherwise(turn)
+    drawn = entries.select("norm", "year", F.size("papers").alias("n"), turn.cast("int").alias("round"))
+    apart = min(rounds, 1)
+    blocked, classes = blocks_of(drawn, apart)
+    every_class = classes.groupBy("round").agg(F.sum("parts").alias("parts")).collect()
+    dealt = {r["round"]: shares if r["round"] >= apart else 4 * shares for r in every_class}
+    tasks = {r["round"]: min(MOST_TASKS, 2 * dealt[r["round"]] * r["parts"]) for r in every_class}
+    equal = asked.join(drawn.withColumnRenamed("norm", "q_norm"), "q_norm").select("key", F.col("q_norm").alias("norm"), "year", adjusted(F.lit(1.0), F.col("q_year"), F.col("year")).alias("s"), "n", "round")
+    met: list[DataFrame] = []
+    for r in sorted(tasks):
+        # equal titles, and whatever the rounds before found
+        known = equal.filter(F.col("round") >= r).drop("round")
+        for x in met:
+            known = known.unionByName(x)
         floor = F.greatest(F.coalesce("least", F.lit(-1.0)), F.lit(-1.0 if least is None else least))
-        q = written(q.withColumn("least", floor), "titles-asked")
+        now = written(asked.join(scores_to_beat(known, top), "key", "left").withColumn("least", floor), "titles-scores")
         # lengths that can reach the score: the shorter of two sides bounds what they share
         need, size = F.col("least") - NUDGE, F.length("q_norm")
         open_ended = need <= 0.01
         low = F.when(open_ended, F.lit(0)).otherwise(F.floor(size * need / (2 - need)) - 1)
         high = F.when(open_ended, F.lit((1 << 31) - 2)).otherwise(F.ceil(size * (2 - need) / need) + 1)
-        spread = F.sequence(size_class(F.greatest(low, F.lit(0))), size_class(high))
-        sent = q.select("qid", "q_norm", "q_year", "least", F.explode(spread).alias("class")).join(F.broadcast(classes), "class")
-        sent = sent.select("qid", "q_norm", "q_year", "least", "class", F.pmod(F.xxhash64("qid"), F.lit(SHARES)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        spread = F.sequence(size_class(F.greatest(low, F.lit(0))), size_class(high)) if r >= apart else F.array(F.lit(0))
+        fields = [F.col("key").alias("qid"), "q_norm", "q_year", "least"]
+        sent = now.select(*fields, F.explode(spread).alias("class")).join(F.broadcast(classes.filter(F.col("round") == r)), "class")
+        sent = sent.select("qid", "q_norm", "q_year", "least", "class", F.pmod(F.xxhash64("q_norm"), F.lit(dealt[r])).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
         def both(titles: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            got = meet(titles, asked, top)
-            norm, year = titles["norm"].tolist(), titles["year"].tolist()
+            # what meets nothing is not prepared
+            got = meet(titles, asked, top) if len(titles) and len(asked) else pd.DataFrame({"qid": [], "at": [], "s": []})
+            norm, year, n = titles["norm"].tolist(), titles["year"].tolist(), titles["n"].tolist()
+            at = got["at"].astype(int).tolist()
             # plain objects: text columns of several chunks do not go back to Spark
-            found = {"qid": got["qid"].tolist(), "norm": [norm[i] for i in got["at"]], "year": [year[i] for i in got["at"]]}
-            return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in found.items()} | {"s": got["s"].astype(float)})
+            found = {"key": got["qid"].tolist(), "norm": [norm[i] for i in at], "year": [year[i] for i in at]}
+            return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in found.items()} | {"s": got["s"].astype(float), "n": [n[i] for i in at]})
 
         spot = ["class", "part", "share"]
-        lying = blocked.select("class", "part", F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share"), "norm", "year", F.size("papers").alias("n"))
-        met = lying.repartition(tasks, *spot).groupBy(*spot)
-        near = met.cogroup(sent.repartition(tasks, *spot).groupBy(*spot)).applyInPandas(both, "qid string, norm string, year string, s double")
-        found = near if found is None else found.unionByName(near)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "paper_id"))
+        lying = blocked.filter(F.col("round") == r).select("class", "part", F.explode(F.sequence(F.lit(0), F.lit(dealt[r] - 1))).alias("share"), "norm", "year", "n")
+        # so many tasks whatever their bytes: a block is small and its matching long, and small partitions would be made one
+        near = lying.repartition(tasks[r], *spot).groupBy(*spot).cogroup(sent.repartition(tasks[r], *spot).groupBy(*spot)).applyInPandas(both, "key string, norm string, year string, s double, n int")
+        met.append(near if r == max(tasks) else written(near, "titles-met"))
+    found = met[0] if met else equal.drop("round")
+    for x in met[1:]:
+        found = found.unionByName(x)
+    place = lambda of: F.row_number().over(Window.partitionBy(of).orderBy(F.desc("s"), "paper_id"))
     # an entry has ``top`` papers at most
     named = found.alias("f").join(entries.alias("e"), (F.col("f.norm") == F.col("e.norm")) & F.col("f.year").eqNullSafe(F.col("e.year")))
-    named = named.select("qid", "s", "f.year", F.explode("papers").alias("p")).select("qid", "s", "year", "p.paper_id", "p.title")
-    ranked = named.withColumn("rank", place).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
+    named = named.select("key", "s", "f.year", F.explode("papers").alias("p")).select("key", "s", "year", "p.paper_id", "p.title")
+    best = named.withColumn("rank", place("key")).filter(F.col("rank") <= top).drop("rank")
+    ranked = every.select("qid", "key").join(best, "key").withColumn("rank", place("qid")).filter(F.col("rank") <= top).withColumn("score", F.round("s", 3))
     return ranked.select("qid", "rank", "paper_id", "title", "year", "score", band(F.col("score")).alias("band"))
 
 

@@ -464,3 +464,59 @@ def test_resolver_compares_by_blocks(spark, sf_dir):
     assert "Join Cross" not in plan and "Cartesian" not in plan and "FlatMapCoGroups" in plan
     few = resolve.meet(pd.DataFrame({"norm": ["abc", "abd", "xyz"], "year": [None] * 3, "n": [1, 1, 1]}), pd.DataFrame({"qid": ["q"], "q_norm": ["abc"], "q_year": [None], "least": [0.6]}), 3)
     assert few["at"].tolist() == [0, 1]
+
+
+def test_resolve_in_rounds(spark, monkeypatch):
+    """Rounds over growing samples, by few titles a round, rank what all pairs would; years of one title and copies included."""
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(resolve, "FEWEST", 3)
+    monkeypatch.setattr(resolve, "ROUND", 4)
+    rng = random.Random(12)
+    words = ["gauge", "theory", "mirror", "string", "duality", "of", "the", "knots"]
+    names = [" ".join(rng.choices(words, k=rng.choice([1, 3, 6, 12, 40]))) for _ in range(50)]
+    known = [(f"p{i:03d}", rng.choice(names), rng.choice(["1990", "2001", "????", "", None])) for i in range(160)]
+    asked = [(f"q{i}", (rng.choice(names) + rng.choice(["", " knot"])) + rng.choice(["", " (1990)", " (2001)", " (????)"])) for i in range(40)]
+    papers = spark.createDataFrame([(*k, k[1]) for k in known], "paper_id string, title string, year string, norm string").repartition(3)
+    got = {(r.qid, r["rank"]): r.paper_id for r in resolve.resolve(spark.createDataFrame(asked, "qid string, query string"), papers).collect()}
+    assert len(got) == 3 * len(asked)
+    for qid, query in asked:
+        title, year = (query[:-7], query[-5:-1]) if query.endswith(")") else (query, None)
+        year = None if year == "????" else year
+        nudge = lambda y: 0.0 if not (year and y) else 0.05 if y == year else -0.05
+        ranked = sorted((-min(SequenceMatcher(None, title, t).ratio() + nudge(y), 1.0), p) for p, t, y in known)[:3]
+        assert [got[qid, k] for k in (1, 2, 3)] == [p for _, p in ranked], qid
+
+
+def test_equal_titles_are_matched_once(monkeypatch):
+    """A title of many years, asked for with many years, is one pair to match; few others are matched at all."""
+    import random
+
+    pairs, plain = [], resolve.similarities
+    monkeypatch.setattr(resolve, "similarities", lambda a, b, *more: pairs.extend(zip(a, b)) or plain(a, b, *more))
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefg hijkl", k=30)).strip() for _ in range(400)]
+    years = [str(y) for y in range(1976, 2026)]
+    titles = pd.DataFrame([(t, y, 1) for t in names for y in years], columns=["norm", "year", "n"])
+    asked = pd.DataFrame([(f"{i}-{y}", names[i], y, 0.9) for i in range(5) for y in years], columns=["qid", "q_norm", "q_year", "least"])
+    got = resolve.meet(titles, asked, 3)
+    best = got.sort_values("s", ascending=False).groupby("qid").first()
+    assert len(pairs) == len(set(pairs)) and len(pairs) < 5 * 400 / 10
+    assert best["s"].eq(1.0).all() and all(f"{names.index(titles['norm'][a])}-{titles['year'][a]}" == q for q, a in best["at"].items())
+
+
+def test_similarities_that_fall_short_are_left():
+    """With a least value, pairs that reach it score as the matcher does, the others anything under it."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(10)
+    parts = ["the", "of", "tion", "en", "a", "7", "1989", "aaaa"]
+    title = lambda: " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 25)))[: rng.choice([5, 60, 150, 199])]
+    a, b = [title() for _ in range(2000)], [title() for _ in range(2000)]
+    least = np.array([rng.choice([0.0, 0.3, 0.5, 0.7, 1.0]) for _ in a])
+    true = np.array([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    least[::7] = true[::7]
+    got = resolve.similarities(a, b, least)
+    assert (got == true)[true >= least].all() and (got < least)[true < least].all()
