@@ -36,7 +36,7 @@ MOST_TASKS = 4096
 CLASSES, NUDGE = 2, 0.05
 
 #: Letters beyond which a common subsequence costs more than it saves, titles advanced at once, and letters in a word of theirs.
-LONGEST, ABREAST, WORD = 640, 4096, 63
+LONGEST, ABREAST, WORD = 640, 8192, 63
 
 #: Letters from which on the matcher leaves out frequent ones, pairs matched in one go, and pairs kept until many titles' best are matched together.
 JUNK, PAIRS, WAITING = 200, 1024, 2_000_000
@@ -213,17 +213,17 @@ def subsequences(asked: list[int], marks: np.ndarray, at: np.ndarray | None = No
     v = np.full((wide, size), full)
     u, total = np.empty((2, wide, size), dtype=np.uint64)
     carry = np.empty(size, dtype=np.uint64)
-    for c in asked:
-        np.bitwise_and(v, tables[c], out=u)
-        np.add(v, u, out=total)
+    for met in (tables[c] for c in asked):
+        np.bitwise_and(v, met, u)
+        np.add(v, u, total)
         # a word has a bit to spare, for what goes over to the next one
         for w in range(1, wide):
-            np.right_shift(total[w - 1], top, out=carry)
-            np.add(total[w], carry, out=total[w])
-        np.bitwise_xor(v, u, out=v)
-        np.bitwise_or(v, total, out=v)
+            np.right_shift(total[w - 1], top, carry)
+            np.add(total[w], carry, total[w])
+        np.bitwise_xor(v, u, v)
+        np.bitwise_or(v, total, v)
         if wide > 1:
-            np.bitwise_and(v, full, out=v)
+            np.bitwise_and(v, full, v)
     # bits beyond a title never meet a letter and stay set
     return WORD * wide - np.bitwise_count(v & full).sum(axis=0, dtype=np.int64)
 
@@ -345,8 +345,10 @@ def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
         return best
 
     def shared(n: int, common: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = block.sizes[at] + len(questions[n])
-        return np.where(total > 0, 2 * common.astype(float) / np.maximum(total, 1), 1.0)
+        total = block.sizes[at] + float(len(questions[n]))
+        if questions[n]:
+            return 2.0 * common / total
+        return np.where(total > 0, 2.0 * common / np.maximum(total, 1.0), 1.0)
 
     def candidates(n: int) -> tuple[np.ndarray, np.ndarray]:
         """Titles whose bound reaches a floor, best bound first, and the bounds without years."""
@@ -383,7 +385,7 @@ def meet(titles: pd.DataFrame, asked: pd.DataFrame, top: int) -> pd.DataFrame:
 
     def settle(found: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """The best bounds first, then by and by what still reaches a floor."""
-        some = top + 5
+        some = top + 1
         while found:
             n = np.repeat([n for n, _, _ in found], [len(at[:some]) for _, at, _ in found])
             at, bound = (np.concatenate([x[i][:some] for x in found]) for i in (1, 2))
